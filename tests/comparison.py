@@ -1,0 +1,54 @@
+"""Run a query and its SQL, and compare rows regardless of order."""
+
+from __future__ import annotations
+
+import datetime
+import math
+from decimal import Decimal
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+    "conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    return con
+
+
+def plain(value):
+    if isinstance(value, float) and math.isnan(value):
+        return "nan"
+    if isinstance(value, Decimal):
+        return float(value)
+    if isinstance(value, (list, tuple)):
+        return tuple(plain(v) for v in value)
+    if isinstance(value, datetime.datetime):
+        return value.replace(tzinfo=None).isoformat(sep=" ")
+    if isinstance(value, datetime.date):
+        return value.isoformat()
+    return value
+
+
+def table_of(columns: list[str], rows: list) -> tuple[list[str], list[tuple]]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    values = [tuple(plain(row[i]) for i in order) for row in rows]
+    return [columns[i] for i in order], sorted(values, key=repr)
+
+
+def compare(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
+    """None if both results are equal to the last bit, else a description of the first difference."""
+    names, rows = table_of(spark_df.columns, spark_df.collect())
+    cursor = con.execute(sql)
+    other_names, other_rows = table_of([d[0] for d in cursor.description], cursor.fetchall())
+    if names != other_names:
+        return f"columns differ: {names} against {other_names}"
+    if len(rows) != len(other_rows):
+        return f"{len(rows)} rows against {len(other_rows)}"
+    different = [(a, b) for a, b in zip(rows, other_rows) if a != b or list(map(type, a)) != list(map(type, b))]
+    return f"{len(different)} of {len(rows)} rows differ, first: {different[0]}" if different else None

@@ -39,9 +39,11 @@ def _statistics(name: str, data_type: T.DataType) -> list[Column]:
     column = F.col(name)
     # Times are profiled as seconds since the epoch and shown as times again at the end.
     number = F.unix_timestamp(column).cast("double") if _is_time(data_type) else column.cast("double")
+    # Adding zero shows a negative zero as zero.
+    shown = (lambda v: v + F.lit(0.0)) if isinstance(data_type, T.DoubleType) else (lambda v: v)
     return [
-        F.min(column).alias(f"{name}__min"),
-        F.max(column).alias(f"{name}__max"),
+        shown(F.min(column)).alias(f"{name}__min"),
+        shown(F.max(column)).alias(f"{name}__max"),
         F.approx_count_distinct(column, 0.02).alias(f"{name}__distinct"),
         F.avg(number).alias(f"{name}__avg"),
         F.stddev_samp(number).alias(f"{name}__std"),

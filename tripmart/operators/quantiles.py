@@ -106,8 +106,9 @@ def histogram_quantiles(
             value_at(measure, F.ceil(position(fraction))).alias(high),
             place(measure, fraction).alias(at),
         ]
-        mixed = (F.ceil(at) - F.col(at)) * F.col(low) + (F.col(at) - F.floor(at)) * F.col(high)
-        results.append(F.when(F.col(low) == F.col(high), F.col(low)).otherwise(mixed).alias(name))
+        between = F.col(low) + (F.col(high) - F.col(low)) * (F.col(at) - F.floor(at))
+        # Equal neighbours need no interpolation, and two infinite ones allow none.
+        results.append(F.when(F.col(low) == F.col(high), F.col(low)).otherwise(between).alias(name))
     picked = rows.groupBy(*keys).agg(*parts, *[F.max(name).alias(name) for name in sums])
     return picked.select(*keys, *results, *sums)
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tripmart.functions.semantics import to_int_half_even
 from tripmart.session import small_table
-from tripmart.sources.files import PERIOD_PATTERN, footers
+from tripmart.sources.files import PERIOD_PATTERN, file_listing, footers
 from tripmart.sources.schema import TAXI_TYPES, TRIPS_COLUMNS
 
 # Names of up to this many monthly datasets are sent to every executor (about 200 bytes each).
@@ -143,3 +143,12 @@ def read_trips(spark: SparkSession, root: str, sources: Collection[str] | None =
     if not parts:
         raise FileNotFoundError(f"none of the asked sources is below {root}")
     return reduce(DataFrame.unionByName, parts)
+
+
+def sources_of_first_periods(spark: SparkSession, root: str, periods: int) -> list[str]:
+    """Monthly datasets of the earliest ``periods`` months: a name per dataset, whatever its size."""
+    names = file_listing(spark, root).select("source").distinct()
+    year, month = src_period(F.col("source"))
+    dated = names.select("source", year.alias("y"), month.alias("m")).where(F.col("m").isNotNull())
+    first = dated.select("y", "m").distinct().orderBy("y", "m").limit(periods)
+    return [row["source"] for row in dated.join(F.broadcast(first), ["y", "m"]).select("source").toLocalIterator()]
