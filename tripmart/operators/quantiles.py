@@ -106,7 +106,8 @@ def histogram_quantiles(
             value_at(measure, F.ceil(position(fraction))).alias(high),
             place(measure, fraction).alias(at),
         ]
-        between = F.col(low) + (F.col(high) - F.col(low)) * (F.col(at) - F.floor(at))
+        above = F.col(at) - F.floor(at)
+        between = F.col(low) * (F.lit(1.0) - above) + F.col(high) * above
         # Equal neighbours need no interpolation, and two infinite ones allow none.
         results.append(F.when(F.col(low) == F.col(high), F.col(low)).otherwise(between).alias(name))
     picked = rows.groupBy(*keys).agg(*parts, *[F.max(name).alias(name) for name in sums])

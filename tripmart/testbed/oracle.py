@@ -303,8 +303,8 @@ def _eda() -> dict[str, str]:
                AS milla_desde, count(*) AS viajes FROM kept GROUP BY ALL"""
         ),
         "q4_p8_valores_atipicos": _sql(
-            f"""SELECT taxi_type, count(*) AS viajes, max(lf) AS limite_tarifa,
-                sum(CAST(fare_amount > lf AS INTEGER))::BIGINT AS tarifas_atipicas, max(ld) AS limite_distancia,
+            f"""SELECT taxi_type, count(*) AS viajes, round(max(lf), 4) AS limite_tarifa,
+                sum(CAST(fare_amount > lf AS INTEGER))::BIGINT AS tarifas_atipicas, round(max(ld), 4) AS limite_distancia,
                 sum(CAST(trip_distance > ld AS INTEGER))::BIGINT AS distancias_atipicas,
                 sum(CAST({MPH} > 80 AS INTEGER))::BIGINT AS velocidad_mayor_80mph,
                 sum(CAST({MPH} < 1 AS INTEGER))::BIGINT AS velocidad_menor_1mph
@@ -387,7 +387,7 @@ def _workload() -> dict[str, str]:
                 {rounded('max(total_amount)', 'total_max')} FROM trips WHERE trip_distance < 1 AND total_amount > 150"""
         ),
         "b7_percentiles_tarifa": _sql(
-            """SELECT taxi_type, q[1] AS mediana, q[2] AS p90, q[3] AS p99 FROM (
+            f"""SELECT taxi_type, {rounded('q[1]', 'mediana')}, {rounded('q[2]', 'p90')}, {rounded('q[3]', 'p99')} FROM (
                  SELECT taxi_type, quantile_cont(fare_amount, [0.5, 0.9, 0.99]) AS q FROM trips
                  WHERE fare_amount > 0 GROUP BY taxi_type)"""
         ),
