@@ -39,28 +39,50 @@ class Layout:
         return f"{self.root}/zones"
 
 
-_written: dict[tuple[str, str], Layout] = {}
+_layouts: dict[tuple[str, str], Layout] = {}
+_written: set[str] = set()
 
 
-def layout(spark: SparkSession, sf_dir: str) -> Layout:
-    """The derived data of ``sf_dir``; written at first use in an application, then shared."""
+def _layout(spark: SparkSession, sf_dir: str) -> Layout:
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written:
-        _written[key] = write_layout(spark, tables.trips(spark, sf_dir), tables.zones(spark, sf_dir))
-    return _written[key]
+    if key not in _layouts:
+        _layouts[key] = Layout(new_folder(spark, "trips"))
+    return _layouts[key]
+
+
+def trips_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trips of ``sf_dir`` as a partitioned table, written at first use in an application.
+
+    Deriving trips joins two large tables; doing it once turns every later query into a scan of
+    a few columns.
+    """
+    target = _layout(spark, sf_dir).table
+    if target not in _written:
+        materialize_trips(tables.trips(spark, sf_dir), target)
+        _written.add(target)
+    return read_trips_table(spark, target)
+
+
+def raw_layout(spark: SparkSession, sf_dir: str) -> Layout:
+    """The raw files and the zone CSV of ``sf_dir``, written at first use in an application."""
+    target = _layout(spark, sf_dir)
+    if target.raw not in _written:
+        write_raw(trips_table(spark, sf_dir), tables.zones(spark, sf_dir), target)
+        _written.add(target.raw)
+    return target
+
 
+def write_raw(table: DataFrame, zones: DataFrame, target: Layout) -> None:
+    """Write a trips table as raw files of three generations, and the zones as CSV.
 
-def write_layout(spark: SparkSession, trips: DataFrame, zones: DataFrame) -> Layout:
-    target = Layout(new_folder(spark, "trips"))
-    materialize_trips(trips, target.table)
-    table = read_trips_table(spark, target.table)
+    Each write reads only its own folders of the table, whose rows are grouped by period already.
+    """
     year = F.col("src_year")
     generations = [
         year < SECOND_GENERATION,
         (year >= SECOND_GENERATION) & (year < THIRD_GENERATION),
         year >= THIRD_GENERATION,
     ]
-    # Each write reads only its own folders of the table, whose rows are grouped by period already.
     for number, years in enumerate(generations, start=1):
         for taxi_type in TAXI_TYPES:
             rows = table.where(years & (F.col("taxi_type") == taxi_type))
@@ -75,7 +97,6 @@ def write_layout(spark: SparkSession, trips: DataFrame, zones: DataFrame) -> Lay
         "service_zone",
     )
     named.write.option("header", "true").csv(target.zones_csv)
-    return target
 
 
 def raw_columns(taxi_type: str, generation: int) -> list:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tripmart.functions.semantics import round_to
 from tripmart.operators.clean import clean_trips
 from tripmart.operators.equivalence import result_equivalence
-from tripmart.operators.sinks import materialize_indicators, read_trips_table
+from tripmart.operators.sinks import materialize_indicators
 from tripmart.plans import audit
 from tripmart.plans.dashboard import DASHBOARD
 from tripmart.plans.eda import EDA
@@ -26,18 +26,11 @@ from tripmart.sources.files import file_listing, footer_metadata, footer_schema
 from tripmart.sources.raw import read_trips, scan_raw, sources_of_first_periods
 from tripmart.sources.zones import read_zones
 from tripmart.testbed import tables
-from tripmart.testbed.layout import layout
+from tripmart.testbed.layout import raw_layout, trips_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 OVER_TRIPS = {**EXPLORATION, **EDA, **INCORPORATION, **WORKLOAD, **INDICATORS, **EVOLUTION, **DASHBOARD}
-USES_LOCATIONS = {
-    "q3_5_muestra_aleatoria",
-    "q3_5b_primeros_por_tipo",
-    "q4_p11_zonas_recogida",
-    "b5_top_pares_de_zonas",
-    "ind_08_top_zonas_recogida",
-}
 # These show sums, means and interpolated quantiles of doubles unrounded. Their last bits depend on
 # the order of additions and on the processor, so a fixed number of digits is compared.
 UNROUNDED = {
@@ -54,8 +47,7 @@ FIRST_PERIODS = 12
 
 def _over_trips(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    trips = tables.trips(spark, sf_dir, locations=name in USES_LOCATIONS)
-    result = OVER_TRIPS[name](trips, tables.zones(spark, sf_dir))
+    result = OVER_TRIPS[name](trips_table(spark, sf_dir), tables.zones(spark, sf_dir))
     if name not in UNROUNDED:
         return result
     doubles = [f.name for f in result.schema.fields if f.dataType.typeName() == "double"]
@@ -64,7 +56,7 @@ def _over_trips(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _over_files(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return audit.AUDIT[name](spark, layout(spark, sf_dir).raw)
+    return audit.AUDIT[name](spark, raw_layout(spark, sf_dir).raw)
 
 
 def _base_name(path: str) -> F.Column:
@@ -81,24 +73,24 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows of each type, by time so that the choice is repeatable."""
     configure(spark)
     order = ["pickup_ts", "dropoff_ts", "fare_amount", "trip_distance", "vendor_id", "total_amount"]
-    return first_by_type(tables.trips(spark, sf_dir), order=[F.col(c) for c in order])
+    return first_by_type(trips_table(spark, sf_dir), order=[F.col(c) for c in order])
 
 
 def exact_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact part of the profile; distinct counts and quartiles are estimates."""
     configure(spark)
-    profile = column_profile(tables.trips(spark, sf_dir, locations=False))
+    profile = column_profile(trips_table(spark, sf_dir))
     return profile.select("column_name", "column_type", "min", "max", "count", "null_percentage")
 
 
 def raw_rows(taxi_type: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return scan_raw(spark, layout(spark, sf_dir).raw, taxi_type).withColumn("filename", _base_name("filename"))
+    return scan_raw(spark, raw_layout(spark, sf_dir).raw, taxi_type).withColumn("filename", _base_name("filename"))
 
 
 def trips_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return read_trips(spark, layout(spark, sf_dir).raw).withColumn("filename", _base_name("filename"))
+    return read_trips(spark, raw_layout(spark, sf_dir).raw).withColumn("filename", _base_name("filename"))
 
 
 def file_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,44 +100,43 @@ def file_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zones_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return read_zones(spark, layout(spark, sf_dir).zones_csv)
+    return read_zones(spark, raw_layout(spark, sf_dir).zones_csv)
 
 
 def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    files = file_listing(spark, layout(spark, sf_dir).raw)
+    files = file_listing(spark, raw_layout(spark, sf_dir).raw)
     return files.select(_base_name("source").alias("file_name")).distinct()
 
 
 def footer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    meta = footer_metadata(spark, layout(spark, sf_dir).raw)
+    meta = footer_metadata(spark, raw_layout(spark, sf_dir).raw)
     return meta.select(_base_name("file_name").alias("file_name"), "num_rows")
 
 
 def footer_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    columns = footer_schema(spark, layout(spark, sf_dir).raw)
+    columns = footer_schema(spark, raw_layout(spark, sf_dir).raw)
     return columns.select(_base_name("file_name").alias("file_name"), "name", "type")
 
 
 def first_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of the first twelve months, opening only their files."""
     configure(spark)
-    raw = layout(spark, sf_dir).raw
+    raw = raw_layout(spark, sf_dir).raw
     return _period_totals(read_trips(spark, raw, sources_of_first_periods(spark, raw, FIRST_PERIODS)))
 
 
 def table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return _period_totals(read_trips_table(spark, layout(spark, sf_dir).table))
+    return _period_totals(trips_table(spark, sf_dir))
 
 
 def indicator_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ten indicators as tables and count their rows."""
     configure(spark)
-    source = layout(spark, sf_dir)
-    trips, zones = read_trips_table(spark, source.table), read_zones(spark, source.zones_csv)
+    trips, zones = trips_table(spark, sf_dir), read_zones(spark, raw_layout(spark, sf_dir).zones_csv)
     builds = {name: partial(build, trips, zones) for name, build in INDICATORS.items()}
     written, failed = materialize_indicators(builds, new_folder(spark, "indicators"))
     if failed:
@@ -160,8 +151,7 @@ def indicator_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does each workload query give the same result over raw files and over the table?"""
     configure(spark)
-    source = layout(spark, sf_dir)
-    from_files, from_table = read_trips(spark, source.raw), read_trips_table(spark, source.table)
+    from_files, from_table = read_trips(spark, raw_layout(spark, sf_dir).raw), trips_table(spark, sf_dir)
     verdicts = [
         result_equivalence(query(from_files), query(from_table), RESULT_KEYS[name]).withColumn("consulta", F.lit(name))
         for name, query in WORKLOAD.items()
@@ -182,7 +172,7 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(slot != 3, slot != 4).alias("publicado"),
         F.when(slot == 5, F.lit(1)).cast("bigint").alias("bytes_remoto"),
     )
-    return audit.completeness_audit(spark, layout(spark, sf_dir).raw, manifest, years, today)
+    return audit.completeness_audit(spark, raw_layout(spark, sf_dir).raw, manifest, years, today)
 
 
 def audit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,15 +183,25 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_summary(_audit(spark, sf_dir))
 
 
+def monthly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query straight from the order tables, without a table in between.
+
+    It needs no zones, so neither the customer nor the supplier join is planned.
+    """
+    configure(spark)
+    return INDICATORS["ind_02_ingreso_mensual"](tables.trips(spark, sf_dir, locations=False))
+
+
 def clean_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return clean_trips(tables.trips(spark, sf_dir))
+    return clean_trips(trips_table(spark, sf_dir))
 
 
 def all_queries() -> dict[str, Query]:
     named: dict[str, Query] = {name: partial(_over_trips, name) for name in OVER_TRIPS}
     named |= {name: partial(_over_files, name) for name in audit.AUDIT}
     named |= {
+        "ind_02_ingreso_mensual": monthly_revenue,
         "q3_5b_primeros_por_tipo": first_rows,
         "q3_6_resumen_exacto": exact_profile,
         "scan_raw": partial(raw_rows, "yellow"),

@@ -18,8 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _plus_seconds(ts: Column, seconds: Column) -> Column:
-    zero = F.lit(0)
-    return ts + F.make_dt_interval(zero, zero, zero, seconds.cast("decimal(18,6)"))
+    return F.timestamp_add("SECOND", seconds.cast("int"), ts)
 
 
 def trips(spark: SparkSession, sf_dir: str, locations: bool = True) -> DataFrame:
