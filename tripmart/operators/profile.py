@@ -56,7 +56,7 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: range, distinct count, mean, deviation, quartiles, NULL percentage."""
     types = {name: df.schema[name].dataType for name in columns}
     stats = [stat for name in columns for stat in _statistics(name, types[name])]
-    one_row = df.agg(F.count(F.lit(1)).alias("rows"), *stats)
+    one_row = df.agg(F.count("*").alias("rows"), *stats)
 
     def as_text(value: Column, data_type: T.DataType) -> Column:
         if _is_time(data_type):

@@ -31,7 +31,7 @@ def value_histogram(df: DataFrame, keys: list[str], measures: Mapping[str, Colum
             for name, value in measures.items()
         ]
         long = df.select(*keys, F.inline(F.array(*pairs)))
-    return long.groupBy(*keys, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy(*keys, "measure", "value").agg(F.count("*").alias("n"))
 
 
 def _bucket(value: Column) -> Column:

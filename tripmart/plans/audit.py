@@ -39,16 +39,16 @@ def files_by_type_year(spark: SparkSession, root: str) -> DataFrame:
     name = F.col("file_name")
     return _sources(spark, root).groupBy(
         _folder(name, TYPE_FOLDER_PATTERN).alias("taxi_type"), _folder(name, YEAR_FOLDER_PATTERN).alias("anio")
-    ).agg(F.count(F.lit(1)).alias("archivos"))
+    ).agg(F.count("*").alias("archivos"))
 
 
 def total_files(spark: SparkSession, root: str) -> DataFrame:
-    return _sources(spark, root).agg(F.count(F.lit(1)).alias("total_archivos"))
+    return _sources(spark, root).agg(F.count("*").alias("total_archivos"))
 
 
 def rows_footer_vs_scan(spark: SparkSession, root: str) -> DataFrame:
     in_footers = footer_metadata(spark, root).agg(F.sum("num_rows").alias("filas_segun_metadatos"))
-    scanned = read_trips(spark, root).agg(F.count(F.lit(1)).alias("filas_segun_conteo"))
+    scanned = read_trips(spark, root).agg(F.count("*").alias("filas_segun_conteo"))
     # One row on each side.
     return in_footers.crossJoin(scanned).withColumn(
         "coinciden", F.col("filas_segun_metadatos") == F.col("filas_segun_conteo")
@@ -99,7 +99,7 @@ def files_and_rows_by_year(spark: SparkSession, root: str) -> DataFrame:
     name = F.col("file_name")
     return footer_metadata(spark, root).groupBy(
         _folder(name, TYPE_FOLDER_PATTERN).alias("taxi_type"), _folder(name, YEAR_FOLDER_PATTERN).alias("anio")
-    ).agg(F.count(F.lit(1)).alias("archivos"), F.sum("num_rows").alias("filas"))
+    ).agg(F.count("*").alias("archivos"), F.sum("num_rows").alias("filas"))
 
 
 def schema_by_year(spark: SparkSession, root: str) -> DataFrame:
@@ -163,7 +163,7 @@ def completeness_audit(
 def audit_summary(audit: DataFrame) -> DataFrame:
     """Datasets and rows per state, and whether the state is a problem."""
     return audit.groupBy("estado").agg(
-        F.count(F.lit(1)).alias("periodos"), F.coalesce(F.sum("filas"), F.lit(0)).alias("filas")
+        F.count("*").alias("periodos"), F.coalesce(F.sum("filas"), F.lit(0)).alias("filas")
     ).withColumn("problema", F.col("estado").isin(*PROBLEM_STATES))
 
 

@@ -17,7 +17,7 @@ def kpis(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     Revenue adds the monthly amounts as shown (two decimals), so it equals the monthly indicator's sum.
     """
     months = trips.withColumn("clean", is_clean()).groupBy("taxi_type", "src_year", "src_month").agg(
-        F.count(F.lit(1)).alias("registros"),
+        F.count("*").alias("registros"),
         F.count_if("clean").alias("conservados"),
         round_to(F.sum(F.when(F.col("clean"), F.col("total_amount"))), 2).alias("ingreso"),
     )

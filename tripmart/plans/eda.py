@@ -12,7 +12,6 @@ from tripmart.operators.quantiles import exact_quantiles, histogram_quantiles, v
 from tripmart.operators.shaping import top_n, with_share
 from tripmart.session import settle
 
-ROWS = F.lit(1)
 UNUSUAL_DAYS = 15
 EXTREME_TRIPS = 10
 FARE_BIN, FARE_CAP = 5, 100
@@ -22,7 +21,7 @@ FAST_MPH, SLOW_MPH = 80, 1
 
 def monthly_trips(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     return clean_trips(trips).groupBy("taxi_type", "src_year", "src_month").agg(
-        F.count(ROWS).alias("viajes"),
+        F.count("*").alias("viajes"),
         round_to(F.sum("total_amount"), 0).alias("ingreso_total"),
         round_to(F.avg("total_amount"), 2).alias("total_medio"),
     )
@@ -33,7 +32,7 @@ def unusual_days(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     days = (
         clean_trips(trips)
         .groupBy("taxi_type", F.col("pickup_ts").cast("date").alias("dia"))
-        .agg(F.count(ROWS).alias("viajes"))
+        .agg(F.count("*").alias("viajes"))
     )
     month = Window.partitionBy("taxi_type", F.trunc("dia", "month"))
     spread = F.nullif(F.stddev_pop("viajes").over(month), F.lit(0.0))
@@ -47,13 +46,13 @@ def unusual_days(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
 
 
 def hourly_demand(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    counts = clean_trips(trips).groupBy("taxi_type", F.hour("pickup_ts").alias("hora")).agg(F.count(ROWS).alias("viajes"))
+    counts = clean_trips(trips).groupBy("taxi_type", F.hour("pickup_ts").alias("hora")).agg(F.count("*").alias("viajes"))
     return with_share(counts, ["taxi_type"], "pct_viajes")
 
 
 def weekday_demand(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     days = clean_trips(trips).groupBy("taxi_type", iso_weekday(F.col("pickup_ts")).alias("dia_iso")).agg(
-        F.count(ROWS).alias("viajes"),
+        F.count("*").alias("viajes"),
         round_to(F.avg("total_amount"), 2).alias("total_medio"),
         round_to(F.avg("trip_distance"), 2).alias("distancia_media"),
         F.min("pickup_ts").alias("any_day"),
@@ -83,7 +82,7 @@ def trip_quantiles(trips: DataFrame, zones: DataFrame | None = None) -> DataFram
 
 
 def passengers(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    counts = clean_trips(trips).groupBy("taxi_type", "passenger_count").agg(F.count(ROWS).alias("viajes"))
+    counts = clean_trips(trips).groupBy("taxi_type", "passenger_count").agg(F.count("*").alias("viajes"))
     shares = with_share(counts, ["taxi_type"])
     label = F.coalesce(F.col("passenger_count").cast("string"), F.lit("NULL"))
     return shares.select("taxi_type", label.alias("pasajeros"), "viajes", "pct")
@@ -92,7 +91,7 @@ def passengers(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
 def type_comparison(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     speed = speed_mph(F.col("trip_distance"), F.col("duration_min"))
     return clean_trips(trips).groupBy("taxi_type").agg(
-        F.count(ROWS).alias("viajes"),
+        F.count("*").alias("viajes"),
         round_to(F.avg("trip_distance"), 2).alias("distancia_media_mi"),
         round_to(F.avg("duration_min"), 1).alias("duracion_media_min"),
         round_to(F.avg(speed), 1).alias("velocidad_media_mph"),
@@ -105,7 +104,7 @@ def type_comparison(trips: DataFrame, zones: DataFrame | None = None) -> DataFra
 
 def payment_methods(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     counts = clean_trips(trips).groupBy("taxi_type", "payment_type").agg(
-        F.count(ROWS).alias("viajes"), round_to(F.avg("tip_amount"), 2).alias("propina_media")
+        F.count("*").alias("viajes"), round_to(F.avg("tip_amount"), 2).alias("propina_media")
     )
     shares = with_share(counts, ["taxi_type"])
     label = labels.payment_label(F.col("payment_type")).alias("metodo")
@@ -140,12 +139,12 @@ def card_tips(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
 def fare_bins(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     start = F.floor(F.col("fare_amount") / FARE_BIN) * FARE_BIN
     bins = F.least(start, F.lit(FARE_CAP).cast("bigint")).cast("int").alias("tarifa_desde")
-    return clean_trips(trips).groupBy("taxi_type", bins).agg(F.count(ROWS).alias("viajes"))
+    return clean_trips(trips).groupBy("taxi_type", bins).agg(F.count("*").alias("viajes"))
 
 
 def distance_bins(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     bins = F.least(F.floor("trip_distance"), F.lit(MILE_CAP).cast("bigint")).cast("int").alias("milla_desde")
-    return clean_trips(trips).groupBy("taxi_type", bins).agg(F.count(ROWS).alias("viajes"))
+    return clean_trips(trips).groupBy("taxi_type", bins).agg(F.count("*").alias("viajes"))
 
 
 def outliers(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
@@ -208,7 +207,7 @@ def rule_report(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """Rows breaking each rule (a NULL breaks none) and rows kept, in one pass."""
     broken = [F.count_if(~kept).alias(name) for name, kept in rules().items()]
     return trips.groupBy("taxi_type").agg(
-        F.count(ROWS).alias("registros"), *broken, F.count_if(is_clean()).alias("registros_conservados")
+        F.count("*").alias("registros"), *broken, F.count_if(is_clean()).alias("registros_conservados")
     )
 
 
@@ -227,7 +226,7 @@ def fare_per_mile(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame
             labels.distance_band_order(F.col("trip_distance")).alias("orden"),
             F.col("fare_amount").alias("value"),
         )
-        .agg(F.count(ROWS).alias("n"), F.sum(F.col("fare_amount") / F.col("trip_distance")).alias("per_mile"))
+        .agg(F.count("*").alias("n"), F.sum(F.col("fare_amount") / F.col("trip_distance")).alias("per_mile"))
         .withColumn("measure", F.lit("fare"))
     )
     stats = histogram_quantiles(
@@ -247,7 +246,7 @@ def fare_per_mile(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame
 
 def pickup_boroughs(trips: DataFrame, zones: DataFrame) -> DataFrame:
     """Trips are counted per zone first, so the dimension joins a few hundred rows, not the trips."""
-    per_zone = clean_trips(trips).groupBy("taxi_type", "pu_location_id").agg(F.count(ROWS).alias("viajes"))
+    per_zone = clean_trips(trips).groupBy("taxi_type", "pu_location_id").agg(F.count("*").alias("viajes"))
     named = per_zone.join(zones, F.col("pu_location_id") == F.col("location_id"), "left")
     counts = named.groupBy("taxi_type", "borough").agg(F.sum("viajes").alias("viajes"))
     shares = with_share(counts, ["taxi_type"])

@@ -17,7 +17,6 @@ from tripmart.operators.shaping import distinct_sorted, with_share
 
 YEAR = ["taxi_type", "src_year"]
 MONTH = [*YEAR, "src_month"]
-ROWS = F.lit(1)
 
 
 def common_months(cube: DataFrame) -> DataFrame:
@@ -126,7 +125,7 @@ def yearly_payment_mix(trips: DataFrame, zones: DataFrame | None = None) -> Data
 
 def yearly_quality(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """Share of dropped rows; a year without any clean row has no result row."""
-    cube = trips.groupBy(*MONTH).agg(F.count(ROWS).alias("n"), F.count_if(is_clean()).alias("kept"))
+    cube = trips.groupBy(*MONTH).agg(F.count("*").alias("n"), F.count_if(is_clean()).alias("kept"))
     years = common_months(cube).groupBy(*YEAR).agg(F.sum("n").alias("registros"), F.sum("kept").alias("conservados"))
     dropped = F.col("registros") - F.col("conservados")
     return years.where("conservados > 0").withColumn(
@@ -138,7 +137,7 @@ def green_share(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     months = clean_trips(trips).groupBy("src_year", "src_month").agg(
         F.count_if(F.col("taxi_type") == "yellow").alias("viajes_amarillos"),
         F.count_if(F.col("taxi_type") == "green").alias("viajes_verdes"),
-        F.count(ROWS).alias("n"),
+        F.count("*").alias("n"),
     )
     return months.select(
         period_start(F.col("src_year"), F.col("src_month")).alias("periodo"),

@@ -18,7 +18,7 @@ FIRST_ROWS = 5
 
 
 def rows_by_type_year(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    return trips.groupBy("taxi_type", "src_year").agg(F.count(F.lit(1)).alias("registros"))
+    return trips.groupBy("taxi_type", "src_year").agg(F.count("*").alias("registros"))
 
 
 def random_sample(trips: DataFrame, zones: DataFrame | None = None, rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
@@ -53,7 +53,7 @@ def nulls_by_type(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame
         "dropoff_ts": "dropoff_nulos",
     }
     return trips.groupBy("taxi_type").agg(
-        F.count(F.lit(1)).alias("registros"),
+        F.count("*").alias("registros"),
         *[F.count_if(F.col(column).isNull()).alias(name) for column, name in inspected.items()],
     )
 
@@ -73,7 +73,7 @@ def basic_anomalies(trips: DataFrame, zones: DataFrame | None = None) -> DataFra
         "pago_fuera_de_catalogo": (F.col("payment_type") == 0) | (F.col("payment_type") > 6),
     }
     return trips.groupBy("taxi_type").agg(
-        F.count(F.lit(1)).alias("registros"),
+        F.count("*").alias("registros"),
         *[F.count_if(condition).alias(name) for name, condition in anomalies.items()],
     )
 
@@ -82,13 +82,13 @@ def date_range_by_period(trips: DataFrame, zones: DataFrame | None = None) -> Da
     return trips.groupBy("taxi_type", "src_year", "src_month").agg(
         F.min("pickup_ts").alias("primera_recogida"),
         F.max("pickup_ts").alias("ultima_recogida"),
-        F.count(F.lit(1)).alias("registros"),
+        F.count("*").alias("registros"),
     )
 
 
 def code_lists(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """Value counts of both code columns from one scan: pairs are counted, then each code is summed."""
-    pairs = trips.groupBy("taxi_type", "payment_type", "ratecode_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = trips.groupBy("taxi_type", "payment_type", "ratecode_id").agg(F.count("*").alias("n"))
     codes = F.array(
         *[
             F.struct(F.lit(name).alias("campo"), F.col(name).cast("string").alias("valor"))

@@ -13,7 +13,7 @@ MONTH = ["taxi_type", "src_year", "src_month"]
 def months_by_year(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """Trips per calendar month, one column per year that occurs."""
     counts = trips.groupBy("taxi_type", F.col("src_month").alias("mes"), F.col("src_year").alias("anio")).agg(
-        F.count(F.lit(1)).alias("n")
+        F.count("*").alias("n")
     )
     return wide(counts, ["taxi_type", "mes"], "anio", F.sum("n"), fill=0)
 

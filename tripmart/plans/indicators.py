@@ -22,7 +22,7 @@ def _by_month(rows: DataFrame, *measures) -> DataFrame:
 
 
 def monthly_trips(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    return _by_month(clean_trips(trips), F.count(F.lit(1)).alias("viajes"))
+    return _by_month(clean_trips(trips), F.count("*").alias("viajes"))
 
 
 def monthly_revenue(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
@@ -37,7 +37,7 @@ def hourly_demand(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame
     counts = (
         clean_trips(trips)
         .groupBy("taxi_type", labels.day_type(F.col("pickup_ts")).alias("dia_tipo"), F.hour("pickup_ts").alias("hora"))
-        .agg(F.count(F.lit(1)).alias("viajes"))
+        .agg(F.count("*").alias("viajes"))
     )
     return with_share(counts, ["taxi_type", "dia_tipo"], "pct_viajes")
 
@@ -55,7 +55,7 @@ def yearly_payment(trips: DataFrame, zones: DataFrame | None = None) -> DataFram
     counts = (
         clean_trips(trips)
         .groupBy("taxi_type", "src_year", labels.payment_group(F.col("payment_type")).alias("metodo"))
-        .agg(F.count(F.lit(1)).alias("viajes"))
+        .agg(F.count("*").alias("viajes"))
     )
     return with_share(counts, ["taxi_type", "src_year"])
 
@@ -65,7 +65,7 @@ def monthly_tip(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     return _by_month(
         by_card,
         round_to(F.lit(100) * F.avg(F.col("tip_amount") / F.col("fare_amount")), 2).alias("pct_propina_medio"),
-        round_to(percent(F.count_if(F.col("tip_amount") == 0), F.count(F.lit(1))), 2).alias("pct_sin_propina"),
+        round_to(percent(F.count_if(F.col("tip_amount") == 0), F.count("*")), 2).alias("pct_sin_propina"),
     )
 
 
@@ -73,7 +73,7 @@ def distance_distribution(trips: DataFrame, zones: DataFrame | None = None) -> D
     counts = (
         clean_trips(trips)
         .groupBy("taxi_type", labels.distance_band_order(F.col("trip_distance")).alias("orden"))
-        .agg(F.count(F.lit(1)).alias("viajes"))
+        .agg(F.count("*").alias("viajes"))
     )
     shares = with_share(counts, ["taxi_type"])
     return shares.select(
@@ -82,7 +82,7 @@ def distance_distribution(trips: DataFrame, zones: DataFrame | None = None) -> D
 
 
 def top_pickup_zones(trips: DataFrame, zones: DataFrame) -> DataFrame:
-    counts = clean_trips(trips).groupBy("taxi_type", "pu_location_id").agg(F.count(F.lit(1)).alias("viajes"))
+    counts = clean_trips(trips).groupBy("taxi_type", "pu_location_id").agg(F.count("*").alias("viajes"))
     best_first = Window.partitionBy("taxi_type").orderBy(
         F.col("viajes").desc(), F.col("pu_location_id").asc_nulls_last()
     )
@@ -107,14 +107,14 @@ def hourly_speed(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
         .groupBy("taxi_type", F.hour("pickup_ts").alias("hora"))
         .agg(
             round_to(F.avg(speed_mph(F.col("trip_distance"), F.col("duration_min"))), 2).alias("velocidad_media_mph"),
-            F.count(F.lit(1)).alias("viajes"),
+            F.count("*").alias("viajes"),
         )
     )
 
 
 def monthly_quality(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """All and kept rows in one pass over the trips."""
-    counts = _by_month(trips, F.count(F.lit(1)).alias("registros"), F.count_if(is_clean()).alias("conservados"))
+    counts = _by_month(trips, F.count("*").alias("registros"), F.count_if(is_clean()).alias("conservados"))
     dropped = F.col("registros") - F.col("conservados")
     return counts.withColumn("pct_descartado", round_to(percent(dropped, F.col("registros")), 2))
 

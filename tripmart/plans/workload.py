@@ -12,12 +12,12 @@ TOP_PAIRS = 20
 
 
 def count_rows(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    return trips.agg(F.count(F.lit(1)).alias("viajes"))
+    return trips.agg(F.count("*").alias("viajes"))
 
 
 def totals_by_type(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     return trips.groupBy("taxi_type").agg(
-        F.count(F.lit(1)).alias("viajes"),
+        F.count("*").alias("viajes"),
         F.avg("fare_amount").alias("tarifa_media"),
         F.avg("trip_distance").alias("distancia_media"),
         F.sum("total_amount").alias("ingreso_total"),
@@ -26,20 +26,20 @@ def totals_by_type(trips: DataFrame, zones: DataFrame | None = None) -> DataFram
 
 def trips_by_hour(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     return trips.groupBy("taxi_type", F.hour("pickup_ts").alias("hora")).agg(
-        F.count(F.lit(1)).alias("viajes"), F.avg("total_amount").alias("total_medio")
+        F.count("*").alias("viajes"), F.avg("total_amount").alias("total_medio")
     )
 
 
 def monthly_by_payment(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     return trips.groupBy("taxi_type", "src_year", "src_month", "payment_type").agg(
-        F.count(F.lit(1)).alias("viajes"),
+        F.count("*").alias("viajes"),
         F.sum("total_amount").alias("ingreso"),
         F.avg("tip_amount").alias("propina_media"),
     )
 
 
 def top_zone_pairs(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    pairs = trips.groupBy("pu_location_id", "do_location_id").agg(F.count(F.lit(1)).alias("viajes"))
+    pairs = trips.groupBy("pu_location_id", "do_location_id").agg(F.count("*").alias("viajes"))
     return top_n(
         pairs,
         TOP_PAIRS,
@@ -51,7 +51,7 @@ def top_zone_pairs(trips: DataFrame, zones: DataFrame | None = None) -> DataFram
 
 def selective_filter(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     return trips.where((F.col("total_amount") > 150) & (F.col("trip_distance") < 1)).agg(
-        F.count(F.lit(1)).alias("viajes"),
+        F.count("*").alias("viajes"),
         F.avg("total_amount").alias("total_medio"),
         F.max("total_amount").alias("total_max"),
     )

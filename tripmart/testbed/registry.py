@@ -65,7 +65,7 @@ def _base_name(path: str) -> F.Column:
 
 def _period_totals(trips: DataFrame) -> DataFrame:
     return trips.groupBy("taxi_type", "src_year", "src_month").agg(
-        F.count(F.lit(1)).alias("filas"), round_to(F.sum("total_amount"), 2).alias("total")
+        F.count("*").alias("filas"), round_to(F.sum("total_amount"), 2).alias("total")
     )
 
 
@@ -95,7 +95,7 @@ def trips_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = trips_from_files(spark, sf_dir)
-    return trips.groupBy("filename", "src_year", "src_month").agg(F.count(F.lit(1)).alias("filas"))
+    return trips.groupBy("filename", "src_year", "src_month").agg(F.count("*").alias("filas"))
 
 
 def zones_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +142,7 @@ def indicator_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     if failed:
         raise RuntimeError(f"indicators failed: {failed}")
     rows = [
-        spark.read.parquet(path).agg(F.count(F.lit(1)).alias("filas")).withColumn("indicador", F.lit(name))
+        spark.read.parquet(path).agg(F.count("*").alias("filas")).withColumn("indicador", F.lit(name))
         for name, path in written.items()
     ]
     return reduce(DataFrame.unionByName, rows)
