@@ -20,6 +20,10 @@ def to_int_half_even(value: Column) -> Column:
     return F.rint(value).cast("int")
 
 
+# Times without zone are counted in UTC seconds, so plain arithmetic gives their calendar fields. It is
+# several times faster than year(), hour() and the like, which build a date-time object for each call.
+
+
 def whole_seconds(ts: Column) -> Column:
     """Seconds since the epoch, without the sub-second part."""
     return F.unix_timestamp(ts)
@@ -30,18 +34,28 @@ def seconds_between(start: Column, end: Column) -> Column:
     return whole_seconds(end) - whole_seconds(start)
 
 
-def _hour_number(ts: Column) -> Column:
+def hour_number(ts: Column) -> Column:
+    """Hours since the epoch."""
     return F.floor(whole_seconds(ts) / F.lit(3600))
 
 
 def hours_between(start: Column, end: Column) -> Column:
     """Number of hour boundaries crossed: 00:59:59 to 01:00:00 counts as one."""
-    return _hour_number(end) - _hour_number(start)
+    return hour_number(end) - hour_number(start)
+
+
+def hour_of_day(ts: Column) -> Column:
+    return F.pmod(hour_number(ts), F.lit(24)).cast("int")
+
+
+def day_of(ts: Column) -> Column:
+    """Calendar day as DATE."""
+    return F.date_from_unix_date(F.floor(whole_seconds(ts) / F.lit(86400)).cast("int"))
 
 
 def iso_weekday(ts: Column) -> Column:
     """1 = Monday ... 7 = Sunday."""
-    return F.weekday(ts) + F.lit(1)
+    return F.weekday(day_of(ts)) + F.lit(1)
 
 
 def day_name(ts: Column) -> Column:
@@ -49,6 +63,12 @@ def day_name(ts: Column) -> Column:
     return F.date_format(ts, "EEEE")
 
 
+def in_month(ts: Column, year: Column, month: Column) -> Column:
+    """Does the time lie in that month? NULL where a part is NULL."""
+    day = day_of(ts)
+    return (F.year(day) == year) & (F.month(day) == month)
+
+
 def period_start(year: Column, month: Column) -> Column:
     """First day of the month as DATE."""
     return F.make_date(year, month, F.lit(1))

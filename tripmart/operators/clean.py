@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.functions.semantics import seconds_between
+from tripmart.functions.semantics import in_month, seconds_between
 
 # Limits of the rules.
 MAX_SECONDS = 6 * 3600
@@ -21,7 +21,7 @@ def rules() -> dict[str, Column]:
     pickup, dropoff = F.col("pickup_ts"), F.col("dropoff_ts")
     distance, fare, total = F.col("trip_distance"), F.col("fare_amount"), F.col("total_amount")
     return {
-        "r1_fuera_de_periodo": (F.year(pickup) == F.col("src_year")) & (F.month(pickup) == F.col("src_month")),
+        "r1_fuera_de_periodo": in_month(pickup, F.col("src_year"), F.col("src_month")),
         "r2_llegada_no_posterior": dropoff > pickup,
         "r3_duracion_mayor_6h": seconds_between(pickup, dropoff) <= MAX_SECONDS,
         "r4_distancia_invalida": (distance > 0) & (distance <= MAX_MILES),

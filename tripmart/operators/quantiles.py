@@ -24,14 +24,20 @@ def value_histogram(df: DataFrame, keys: list[str], measures: Mapping[str, Colum
     """One row (keys, measure, value, n) per distinct value of each measure; NULL values kept."""
     if len(measures) == 1:
         ((name, value),) = measures.items()
-        long = df.select(*keys, F.lit(name).alias("measure"), value.cast("double").alias("value"))
-    else:
-        pairs = [
-            F.struct(F.lit(name).alias("measure"), value.cast("double").alias("value"))
-            for name, value in measures.items()
-        ]
-        long = df.select(*keys, F.inline(F.array(*pairs)))
-    return long.groupBy(*keys, "measure", "value").agg(F.count("*").alias("n"))
+        one = df.select(*keys, F.lit(name).alias("measure"), value.cast("double").alias("value"))
+        return one.groupBy(*keys, "measure", "value").agg(F.count("*").alias("n"))
+    # One grouping set per measure: each row is counted once for each, in one pass.
+    columns = {name: f"value__{name}" for name in measures}
+    rows = df.select(*keys, *[value.cast("double").alias(columns[name]) for name, value in measures.items()])
+    sets = [[*keys, column] for column in columns.values()]
+    counted = rows.groupingSets(sets, *keys, *columns.values()).agg(
+        F.count("*").alias("n"), F.grouping_id().alias("set")
+    )
+    # The grouping id has a one for every column left out of the set.
+    everything = 2 ** len(columns) - 1
+    ids = {name: everything - 2 ** (len(columns) - 1 - i) for i, name in enumerate(columns)}
+    measure = reduce(lambda chain, name: chain.when(F.col("set") == ids[name], name), columns, F)
+    return counted.select(*keys, measure.alias("measure"), F.coalesce(*columns.values()).alias("value"), "n")
 
 
 def _bucket(value: Column) -> Column:

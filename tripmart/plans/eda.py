@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmart.functions import labels
-from tripmart.functions.semantics import day_name, iso_weekday, percent, round_to, speed_mph
+from tripmart.functions.semantics import day_name, day_of, hour_of_day, iso_weekday, percent, round_to, speed_mph
 from tripmart.operators.clean import clean_trips, is_clean, rules
 from tripmart.operators.quantiles import exact_quantiles, histogram_quantiles, value_histogram
 from tripmart.operators.shaping import top_n, with_share
@@ -31,7 +31,7 @@ def unusual_days(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """Days farthest from their month's daily mean, in standard deviations."""
     days = (
         clean_trips(trips)
-        .groupBy("taxi_type", F.col("pickup_ts").cast("date").alias("dia"))
+        .groupBy("taxi_type", day_of(F.col("pickup_ts")).alias("dia"))
         .agg(F.count("*").alias("viajes"))
     )
     month = Window.partitionBy("taxi_type", F.trunc("dia", "month"))
@@ -46,7 +46,7 @@ def unusual_days(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
 
 
 def hourly_demand(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    counts = clean_trips(trips).groupBy("taxi_type", F.hour("pickup_ts").alias("hora")).agg(F.count("*").alias("viajes"))
+    counts = clean_trips(trips).groupBy("taxi_type", hour_of_day(F.col("pickup_ts")).alias("hora")).agg(F.count("*").alias("viajes"))
     return with_share(counts, ["taxi_type"], "pct_viajes")
 
 

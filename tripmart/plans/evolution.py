@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmart.functions.labels import CARD
-from tripmart.functions.semantics import percent, period_start, round_to
+from tripmart.functions.semantics import hour_of_day, percent, period_start, round_to
 from tripmart.operators.clean import clean_trips, duration_minutes, is_clean
 from tripmart.operators.shaping import distinct_sorted, with_share
 
@@ -110,7 +110,7 @@ def yearly_change(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame
 
 def peak_hour(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """Busiest pickup hour; the earlier hour wins a tie."""
-    cube = _flagged(trips).groupBy(*MONTH, F.hour("pickup_ts").alias("hora")).agg(F.count_if("clean").alias("n"))
+    cube = _flagged(trips).groupBy(*MONTH, hour_of_day(F.col("pickup_ts")).alias("hora")).agg(F.count_if("clean").alias("n"))
     hours = common_months(cube).groupBy(*YEAR, "hora").agg(F.sum("n").alias("viajes")).where("viajes > 0")
     busiest = Window.partitionBy(*YEAR).orderBy(F.col("viajes").desc(), F.col("hora"))
     ranked = with_share(hours, YEAR, "pct_del_dia").withColumn("rank", F.row_number().over(busiest))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.functions.semantics import hours_between
+from tripmart.functions.semantics import hours_between, in_month
 from tripmart.operators.profile import profile
 from tripmart.operators.shaping import top_n
 
@@ -61,7 +61,7 @@ def nulls_by_type(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame
 def basic_anomalies(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     pickup, dropoff = F.col("pickup_ts"), F.col("dropoff_ts")
     anomalies = {
-        "fuera_del_periodo_del_archivo": (F.year(pickup) != F.col("src_year")) | (F.month(pickup) != F.col("src_month")),
+        "fuera_del_periodo_del_archivo": ~in_month(pickup, F.col("src_year"), F.col("src_month")),
         "llegada_antes_de_salida": dropoff < pickup,
         "duracion_mayor_24h": hours_between(pickup, dropoff) > 24,
         "distancia_cero": F.col("trip_distance") == 0,

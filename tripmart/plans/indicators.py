@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmart.functions import labels
-from tripmart.functions.semantics import percent, period_start, round_to, speed_mph
+from tripmart.functions.semantics import hour_of_day, percent, period_start, round_to, speed_mph
 from tripmart.operators.clean import clean_trips, is_clean
 from tripmart.operators.shaping import with_share
 
@@ -36,7 +36,7 @@ def monthly_revenue(trips: DataFrame, zones: DataFrame | None = None) -> DataFra
 def hourly_demand(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     counts = (
         clean_trips(trips)
-        .groupBy("taxi_type", labels.day_type(F.col("pickup_ts")).alias("dia_tipo"), F.hour("pickup_ts").alias("hora"))
+        .groupBy("taxi_type", labels.day_type(F.col("pickup_ts")).alias("dia_tipo"), hour_of_day(F.col("pickup_ts")).alias("hora"))
         .agg(F.count("*").alias("viajes"))
     )
     return with_share(counts, ["taxi_type", "dia_tipo"], "pct_viajes")
@@ -104,7 +104,7 @@ def hourly_speed(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     return (
         clean_trips(trips)
         .where(F.col("duration_min") >= 1)
-        .groupBy("taxi_type", F.hour("pickup_ts").alias("hora"))
+        .groupBy("taxi_type", hour_of_day(F.col("pickup_ts")).alias("hora"))
         .agg(
             round_to(F.avg(speed_mph(F.col("trip_distance"), F.col("duration_min"))), 2).alias("velocidad_media_mph"),
             F.count("*").alias("viajes"),

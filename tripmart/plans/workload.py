@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripmart.functions.semantics import hour_of_day
 from tripmart.operators.quantiles import exact_quantiles
 from tripmart.operators.shaping import top_n
 
@@ -25,7 +26,7 @@ def totals_by_type(trips: DataFrame, zones: DataFrame | None = None) -> DataFram
 
 
 def trips_by_hour(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    return trips.groupBy("taxi_type", F.hour("pickup_ts").alias("hora")).agg(
+    return trips.groupBy("taxi_type", hour_of_day(F.col("pickup_ts")).alias("hora")).agg(
         F.count("*").alias("viajes"), F.avg("total_amount").alias("total_medio")
     )
 
