@@ -47,7 +47,8 @@ def test_name_without_period_is_kept_but_never_clean(spark, tmp_path):
     }
 
 
-def test_folder_of_parts_and_mixed_schemas_are_one_source(spark, tmp_path):
+@pytest.mark.parametrize("max_files", [50_000, 0])
+def test_folder_of_parts_and_mixed_schemas_are_one_source(spark, tmp_path, monkeypatch, max_files):
     import pyarrow.parquet as pq
 
     folder = tmp_path / "yellow" / "2024" / "yellow_tripdata_2024-03.parquet"
@@ -57,7 +58,9 @@ def test_folder_of_parts_and_mixed_schemas_are_one_source(spark, tmp_path):
     other = tmp_path / "yellow" / "2024" / "yellow_tripdata_2024-04.parquet"
     other.mkdir()
     pq.write_table(raw_table("yellow", 2024, 4, rows=4), other / "part-0.parquet")
+    monkeypatch.setattr("tripmart.sources.raw.MAX_BROADCAST_FILES", max_files)
     raw = scan_raw(spark, str(tmp_path), "yellow")
+    assert {r["filename"] for r in raw.collect()} == {f"file:{folder}", f"file:{other}"}
     assert sorted((r["src_month"], r["count"]) for r in raw.groupBy("src_month").count().collect()) == [(3, 5), (4, 4)]
     assert audit.total_files(spark, str(tmp_path)).first()[0] == 2
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Collection
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +13,11 @@ from pyspark.sql import types as T
 
 from tripmart.functions.semantics import to_int_half_even
 from tripmart.session import small_table
-from tripmart.sources.files import PERIOD_PATTERN, file_listing, footers
+from tripmart.sources.files import PERIOD_PATTERN, file_listing, footers, source_of
 from tripmart.sources.schema import TAXI_TYPES, TRIPS_COLUMNS
 
-# Names of up to this many monthly datasets are sent to every executor (about 200 bytes each).
-MAX_BROADCAST_SOURCES = 50_000
+# The names of up to this many files are sent to every executor (about 300 bytes each).
+MAX_BROADCAST_FILES = 50_000
 
 
 def src_period(filename: Column) -> tuple[Column, Column]:
@@ -26,49 +27,61 @@ def src_period(filename: Column) -> tuple[Column, Column]:
     return year, month
 
 
-def _schema_groups(spark: SparkSession, root: str, sources: Collection[str] | None) -> list[tuple[list[str], bool]]:
-    """Paths to read together because their files have the same columns and types.
+@dataclass
+class _Group:
+    """Files with the same columns and types: what to read, and the source of each file if listed."""
 
-    One row per monthly dataset reaches the driver, however many part files it has. Part
-    files are named one by one only where a dataset mixes schemas.
-    """
-    files = footers(spark, root).where("readable")
-    if sources is not None:
-        files = files.where(F.col("source").isin(list(sources)))
+    paths: set[str] = field(default_factory=set)
+    source_of: dict[str, str] = field(default_factory=dict)
+
+
+def _schema_groups(spark: SparkSession, folder: str, sources: Collection[str] | None) -> list[_Group]:
+    """Footers are read by tasks; the driver receives one row per file if there are few files,
+    else one row per monthly dataset (and per file only in datasets that mix schemas)."""
     column = F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["type"]))
-    files = files.select("path", "source", F.concat_ws(",", column).alias("columns"))
-    per_source = files.groupBy("source").agg(
-        F.min("columns").alias("columns"),
-        (F.min("columns") != F.max("columns")).alias("mixed"),
-        F.max(F.col("path") != F.col("source")).alias("is_folder"),
-    )
-    uniform = per_source.where(~F.col("mixed")).select("columns", "is_folder", F.col("source").alias("path"))
-    mixed = files.join(per_source.where("mixed").select("source"), "source").select(
-        "columns", F.lit(False).alias("is_folder"), "path"
-    )
-    groups: dict[tuple[str, bool], list[str]] = defaultdict(list)
-    for row in uniform.unionByName(mixed).orderBy("path").toLocalIterator():
-        groups[row["columns"], row["is_folder"]].append(row["path"])
-    return [(paths, is_folder) for (_, is_folder), paths in groups.items()]
-
-
-def _with_source(spark: SparkSession, rows: DataFrame, paths: list[str], is_folder: bool) -> DataFrame:
-    """Add filename, src_year and src_month.
-
-    They are the same for all rows of a dataset. Matching the path with a pattern costs about
-    a microsecond a row, so it is done once per dataset and looked up by path.
+    files = footers(spark, folder).where("readable").select("path", "source", F.concat_ws(",", column).alias("columns"))
+    listing = file_listing(spark, folder)
+    if sources is not None:
+        asked = F.col("source").isin(list(sources))
+        files, listing = files.where(asked), listing.where(asked)
+
+    groups: dict[str, _Group] = defaultdict(_Group)
+    if listing.count() <= MAX_BROADCAST_FILES:
+        rows = files.collect()
+        layouts = defaultdict(set)
+        for row in rows:
+            layouts[row["source"]].add(row["columns"])
+        for row in sorted(rows):
+            group = groups[row["columns"]]
+            group.paths.add(row["source"] if len(layouts[row["source"]]) == 1 else row["path"])
+            group.source_of[row["path"]] = row["source"]
+    else:
+        per_source = files.groupBy("source").agg(
+            F.min("columns").alias("columns"), (F.min("columns") != F.max("columns")).alias("mixed")
+        )
+        uniform = per_source.where(~F.col("mixed")).select("columns", F.col("source").alias("path"))
+        mixed = files.join(per_source.where("mixed").select("source"), "source").select("columns", "path")
+        for row in uniform.unionByName(mixed).toLocalIterator():
+            groups[row["columns"]].paths.add(row["path"])
+    return [groups[columns] for columns in sorted(groups)]
+
+
+def _read_group(spark: SparkSession, group: _Group) -> DataFrame:
+    """Rows of a group with filename, src_year and src_month.
+
+    These are the same for all rows of a file. Taking them out of the path costs about a
+    microsecond a row, so it is done once per file and looked up by path where the list of
+    files is small enough to send to every executor.
     """
+    rows = spark.read.option("mergeSchema", "false").parquet(*sorted(group.paths))
     path = F.col("_metadata.file_path")
-    if is_folder:
-        part = F.length("_metadata.file_name") + 1
-        path = F.left(path, F.length(path) - part)
-    keyed = rows.withColumn("__path", path)
-    if len(paths) > MAX_BROADCAST_SOURCES:
-        year, month = src_period(F.col("__path"))
-        return keyed.withColumns({"filename": F.col("__path"), "src_year": year, "src_month": month}).drop("__path")
     year, month = src_period(F.col("filename"))
-    named = small_table(spark, filename=paths).withColumns({"src_year": year, "src_month": month})
-    return keyed.join(F.broadcast(named), F.col("__path") == F.col("filename"), "left").drop("__path")
+    if not group.source_of:
+        named = rows.withColumn("filename", source_of(path))
+        return named.withColumns({"src_year": year, "src_month": month})
+    files = small_table(spark, __path=list(group.source_of), filename=list(group.source_of.values()))
+    files = files.withColumns({"src_year": year, "src_month": month})
+    return rows.withColumn("__path", path).join(F.broadcast(files), "__path", "left").drop("__path")
 
 
 def scan_raw(
@@ -85,10 +98,7 @@ def scan_raw(
     groups = _schema_groups(spark, folder, sources)
     if not groups:
         raise FileNotFoundError(f"no readable Parquet file below {folder}")
-    parts = [
-        _with_source(spark, spark.read.option("mergeSchema", "false").parquet(*paths), paths, is_folder)
-        for paths, is_folder in groups
-    ]
+    parts = [_read_group(spark, group) for group in groups]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
