@@ -34,29 +34,42 @@ def _is_time(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.TimestampNTZType, T.TimestampType))
 
 
-def _statistics(name: str, data_type: T.DataType) -> list[Column]:
-    """Aggregates for one column. Quartiles and distinct counts are mergeable sketches."""
+def _number(name: str, data_type: T.DataType) -> Column:
+    """Times are profiled as seconds since the epoch and shown as times again at the end."""
     column = F.col(name)
-    # Times are profiled as seconds since the epoch and shown as times again at the end.
-    number = F.unix_timestamp(column).cast("double") if _is_time(data_type) else column.cast("double")
+    return F.unix_timestamp(column).cast("double") if _is_time(data_type) else column.cast("double")
+
+
+def _statistics(name: str, data_type: T.DataType) -> list[Column]:
+    """Exact aggregates for one column; all of them run in generated code."""
+    column, number = F.col(name), _number(name, data_type)
     # Adding zero shows a negative zero as zero.
     shown = (lambda v: v + F.lit(0.0)) if isinstance(data_type, T.DoubleType) else (lambda v: v)
     return [
         shown(F.min(column)).alias(f"{name}__min"),
         shown(F.max(column)).alias(f"{name}__max"),
-        F.approx_count_distinct(column, 0.02).alias(f"{name}__distinct"),
         F.avg(number).alias(f"{name}__avg"),
         F.stddev_samp(number).alias(f"{name}__std"),
-        F.kll_sketch_agg_double(number).alias(f"{name}__sketch"),
         F.count(column).alias(f"{name}__count"),
     ]
 
 
+def _sketches(name: str, data_type: T.DataType) -> list[Column]:
+    """Mergeable estimates of fixed size: distinct values and quartiles."""
+    return [
+        F.approx_count_distinct(name, 0.02).alias(f"{name}__distinct"),
+        F.kll_sketch_agg_double(_number(name, data_type)).alias(f"{name}__sketch"),
+    ]
+
+
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: range, distinct count, mean, deviation, quartiles, NULL percentage."""
     types = {name: df.schema[name].dataType for name in columns}
     stats = [stat for name in columns for stat in _statistics(name, types[name])]
-    one_row = df.agg(F.count("*").alias("rows"), *stats)
+    sketches = [sketch for name in columns for sketch in _sketches(name, types[name])]
+    # Sketches switch off code generation for every aggregate beside them, which costs more
+    # than a second pass over the columns. Each side is one row.
+    one_row = df.agg(F.count("*").alias("rows"), *stats).crossJoin(df.agg(*sketches))
 
     def as_text(value: Column, data_type: T.DataType) -> Column:
         if _is_time(data_type):

@@ -32,7 +32,10 @@ def source_of(path: Column) -> Column:
 
 
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
-    """All Parquet files below a folder: (path, source, length). File contents are not read."""
+    """All Parquet files below a folder: (path, source, length). File contents are not read.
+
+    Spark plans a task per block of data; as none of it is read, tasks are merged to the cluster's size.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -40,7 +43,8 @@ def file_listing(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
     )
     path = F.col("_metadata.file_path")
-    return files.select(path.alias("path"), source_of(path).alias("source"), "length")
+    listed = files.select(path.alias("path"), source_of(path).alias("source"), "length")
+    return listed.coalesce(spark.sparkContext.defaultParallelism)
 
 
 def _open(path: str):
@@ -80,13 +84,8 @@ def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def footers(spark: SparkSession, root: str) -> DataFrame:
-    """One row per file with its footer's counts and columns; only footers are read.
-
-    Files are spread by path, so many small reads run side by side.
-    """
-    listing = file_listing(spark, root)
-    tasks = spark.sparkContext.defaultParallelism
-    return listing.repartition(tasks, "path").mapInPandas(_read_footers, _FOOTER_SCHEMA)
+    """One row per file with its footer's counts and columns; the listing tasks read the footers."""
+    return file_listing(spark, root).mapInPandas(_read_footers, _FOOTER_SCHEMA)
 
 
 def footer_metadata(spark: SparkSession, root: str) -> DataFrame:
