@@ -173,15 +173,19 @@ def outliers(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
         return high + 3 * (high - low)
 
     limits = quartiles.select(
-        "taxi_type", limit("fare").alias("limite_tarifa"), limit("distance").alias("limite_distancia")
+        F.col("taxi_type").alias("limit_of"),
+        limit("fare").alias("limite_tarifa"),
+        limit("distance").alias("limite_distancia"),
     )
 
     def count_where(measure: str, condition):
         hit = (F.col("measure") == measure) & condition
         return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
 
-    # One row of limits per taxi type: small whatever the number of trips.
-    with_limits = histogram.join(F.broadcast(limits), "taxi_type")
+    # One row of limits per taxi type: small whatever the number of trips. A plain equality would
+    # filter this side by "not NULL", and Spark would count a second histogram for it.
+    same_type = F.col("taxi_type").eqNullSafe(F.col("limit_of"))
+    with_limits = histogram.join(F.broadcast(limits), same_type)
     counts = with_limits.groupBy("taxi_type").agg(
         count_where("fare", F.lit(True)).alias("viajes"),
         F.any_value("limite_tarifa").alias("limite_tarifa"),
