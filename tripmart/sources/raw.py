@@ -70,8 +70,9 @@ def _read_group(spark: SparkSession, group: _Group) -> DataFrame:
     """Rows of a group with filename, src_year and src_month.
 
     These are the same for all rows of a file. Taking them out of the path costs about a
-    microsecond a row, so it is done once per file and looked up by path where the list of
-    files is small enough to send to every executor.
+    microsecond a row, so it is done once per file and looked up where the list of files is
+    small enough to send to every executor. The lookup key is a number made from the path:
+    comparing paths for each row would take longer than reading the row.
     """
     rows = spark.read.option("mergeSchema", "false").parquet(*sorted(group.paths))
     path = F.col("_metadata.file_path")
@@ -81,7 +82,12 @@ def _read_group(spark: SparkSession, group: _Group) -> DataFrame:
         return named.withColumns({"src_year": year, "src_month": month})
     files = small_table(spark, __path=list(group.source_of), filename=list(group.source_of.values()))
     files = files.withColumns({"src_year": year, "src_month": month})
-    return rows.withColumn("__path", path).join(F.broadcast(files), "__path", "left").drop("__path")
+
+    hashes = [row[0] for row in files.select(F.xxhash64("__path")).collect()]
+    key = F.xxhash64 if len(set(hashes)) == len(hashes) else F.col
+    files = files.withColumn("__key", key("__path")).drop("__path")
+    keyed = rows.withColumn("__path", path).withColumn("__key", key("__path")).drop("__path")
+    return keyed.join(F.broadcast(files), "__key", "left").drop("__key")
 
 
 def scan_raw(
