@@ -73,5 +73,32 @@ scored AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM scored
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+""",
+    "op6_benchmark_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, ws[s:s + least(len(ws), 10) - 1] AS w
+  FROM b, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS t(s) WHERE len(ws) > 0),
+lengths AS (SELECT DISTINCT n FROM windows),
+doc_windows AS (
+  SELECT rid, n, s, ws[s:s + n - 1] AS w
+  FROM d, lengths, unnest(range(1, greatest(len(ws) - n + 2, 1))) AS t(s)),
+found AS (SELECT rid, item_id, s, n FROM doc_windows JOIN windows USING (n, w)),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM found, unnest(range(s, s + n)) AS t(p) GROUP BY rid),
+items AS (
+  SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM found GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
 """,
 }

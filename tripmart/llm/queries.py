@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmart.llm import mixing, simhash, topk, url_filter
+from tripmart.llm import decontamination, mixing, simhash, topk, url_filter
 from tripmart.session import small_table
 
 URL_RULES = [
@@ -53,9 +53,19 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filters,
     "op2_source_mixing": source_mixing,
     "op3_simhash_near_dedup": simhash_near_dedup,
     "op4_exact_top_k": exact_top_k,
+    "op6_benchmark_decontamination": benchmark_decontamination,
 }
