@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmart.llm import decontamination, mixing, simhash, topk, url_filter
+from tripmart.llm import decontamination, mixing, simhash, suffix_dedup, topk, url_filter
 from tripmart.session import small_table
 
 URL_RULES = [
@@ -62,10 +62,17 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix_dedup.cut_repeats(docs, with_text=False)
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filters,
     "op2_source_mixing": source_mixing,
     "op3_simhash_near_dedup": simhash_near_dedup,
     "op4_exact_top_k": exact_top_k,
     "op6_benchmark_decontamination": benchmark_decontamination,
+    "op8_suffix_array_dedup": suffix_array_dedup,
 }
