@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmart.llm import decontamination, mixing, simhash, suffix_dedup, topk, url_filter
+from tripmart.llm import (
+    chat_format,
+    decontamination,
+    html_extraction,
+    mixing,
+    passage_dedup,
+    simhash,
+    suffix_dedup,
+    topk,
+    toxicity,
+    url_filter,
+)
 from tripmart.session import small_table
 
 URL_RULES = [
@@ -68,11 +79,66 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+TOOLS = {
+    "answer": {
+        "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}, "turn": {"type": "integer"}},
+        "required": ["query", "limit"],
+        "additionalProperties": False,
+    },
+    "configure": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer", "enum": [0]}}, "required": ["query"]},
+}
+
+
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls that Spark derives from the conversations: a user's turn calls ``answer``, a system's ``configure``.
+
+    The assistant's turn after a call is its result. A call depends on the call of half its turn, so the order has
+    some depth; both tools get their length in words as the limit.
+    """
+    turns = _table(spark, sf_dir, "conversations").where(F.col("role").isNotNull() & F.col("turn").isNotNull())
+    call_id = F.concat(F.lit("call-"), F.col("turn"))
+    asked = turns.where(F.col("role") != "assistant")
+    arguments = F.to_json(
+        F.struct(F.coalesce("text", F.lit("")).alias("query"), mixing.count_words(F.col("text")).alias("limit"), "turn")
+    )
+    calls = asked.select(
+        "conv_id", "turn", call_id.alias("call_id"), arguments.alias("arguments"),
+        F.when(F.col("role") == "system", "configure").otherwise("answer").alias("name"),
+        F.when(F.col("turn") > 0, F.array(F.concat(F.lit("call-"), F.floor(F.col("turn") / 2)))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+    )
+    results = turns.where(F.col("role") == "assistant").select(
+        "conv_id", F.concat(F.lit("call-"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("result")
+    )
+    return chat_format.link_calls(calls, results, TOOLS)
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select(
+        "row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def passage_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.document_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filters,
     "op2_source_mixing": source_mixing,
     "op3_simhash_near_dedup": simhash_near_dedup,
     "op4_exact_top_k": exact_top_k,
+    "op5_html_extraction": page_extraction,
     "op6_benchmark_decontamination": benchmark_decontamination,
+    "op7_chat_formatting": chat_formatting,
     "op8_suffix_array_dedup": suffix_array_dedup,
+    "op9_toxicity": toxicity_scores,
+    "op10_substring_dedup": passage_substring_dedup,
 }
