@@ -1,6 +1,6 @@
 """Removal of repeated byte strings by suffix arrays built in two stages.
 
-**Which text must be sorted together.** Any string of MIN_LENGTH bytes has a smallest K-gram hash, and equal strings
+**Which text must be sorted together.** Any string of MIN_LENGTH bytes has a smallest gram hash, and equal strings
 have the same one. Each document is cut into segments: maximal runs of string starts with the same smallest hash. Two
 equal strings therefore lie in segments of the same key, wherever they occur, and only keys that
 occur more than once (or repeat inside one segment) go on. Equal segments are collapsed and counted first.
@@ -11,7 +11,8 @@ over the buckets of first bytes, each bucket's entries placing their predecessor
 of MIN_LENGTH bytes mark the repeated strings.
 
 A key with more than HOT_SEGMENTS different segments (a short line that a third of the documents share) is not
-sorted in one task: the strings of its segments are counted by a 128-bit hash of each whole string.
+sorted in one task: its segments are cut again by longer grams, up to grams as long as the strings themselves, where
+segments of one key are equal and collapse.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tripmart.llm.common import sorted_runs, stored
 
 MIN_LENGTH = 200
-K = 32
+GRAMS = (32, 104, 168, 200)  # bytes; multiples of 8, the last as long as the strings
 HOT_SEGMENTS = 2000
 BLOCK_BYTES = 2_000_000
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
@@ -38,13 +39,13 @@ _FULL = 1 << 40
 # Segments ---------------------------------------------------------------------------------------
 
 
-def gram_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of the K bytes at each position."""
+def gram_hashes(text: bytes, gram: int) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` bytes at each position."""
     words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
-    n = len(text) - K + 1
+    n = len(text) - gram + 1
     h = np.zeros(n, np.uint64)
-    for i in range(K // 8):
-        h = (h ^ (h >> np.uint64(29))) + words[8 * i : 8 * i + n] * np.uint64(_MIX[i])
+    for i in range(gram // 8):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(_MIX[-1]) + words[8 * i : 8 * i + n] * np.uint64(_MIX[i % 4])
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(33))
@@ -58,7 +59,7 @@ def _sliding(op, x: np.ndarray, width: int) -> np.ndarray:
     return x if size == width else op(x[: len(x) - (width - size)], x[width - size :])
 
 
-def segments(text: bytes, length: int = MIN_LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(text: bytes, length: int = MIN_LENGTH, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``key, lo, hi, again``: strings that start at lo..hi share their smallest hash ``key``.
 
     ``again``: the smallest gram stands in the segment more than once, so the segment may repeat itself.
@@ -66,7 +67,7 @@ def segments(text: bytes, length: int = MIN_LENGTH) -> tuple[np.ndarray, np.ndar
     if len(text) < length:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none.astype(bool)
-    h, width = gram_hashes(text), length - K + 1
+    h, width = gram_hashes(text, gram), length - gram + 1
     low = _sliding(np.minimum, h, width)
     cut = np.flatnonzero(low[1:] != low[:-1]) + 1
     lo, hi = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(low) - 1]])
@@ -81,13 +82,13 @@ def segments(text: bytes, length: int = MIN_LENGTH) -> tuple[np.ndarray, np.ndar
     return key, lo, hi, times > 1
 
 
-def _segment_batches(length: int):
+def _segment_batches(length: int, gram: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(2)):
                 text = text.as_py() or b""
-                key, lo, hi, again = segments(text, length)
+                key, lo, hi, again = segments(text, length, gram)
                 digest = [
                     xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)
                 ]
@@ -257,29 +258,18 @@ def _slice_batches(length: int):
     return take
 
 
-def _string_batches(length: int):
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for at in range(len(text) - length + 1):
-                    rows.append((xxhash.xxh3_128_digest(text[at : at + length]), key, digest, at))
-            for at in range(0, len(rows), 100_000):
-                part = list(zip(*rows[at : at + 100_000], strict=True))
-                types = [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, types, strict=True)], ["string", "key", "digest", "from"])
-
-    return hashes
-
-
-def repeated_ranges(keyed: DataFrame, length: int = MIN_LENGTH, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+def repeated_ranges(
+    keyed: DataFrame, length: int = MIN_LENGTH, hot_segments: int = HOT_SEGMENTS, grams: tuple[int, ...] = GRAMS
+) -> DataFrame:
     """``id, mark, ranges``: for each document the ranges (from, to) of positions at which repeated strings begin.
 
-    ``keyed``: ``id, mark, bytes`` and any more columns; id and mark name a document's text.
+    ``keyed``: ``id, mark, bytes`` and any more columns; id and mark name a document's text. Keys that are too
+    crowded at the first of ``grams`` are solved by the next, their segments taken as documents.
     """
+    gram, *longer = (g for g in grams if g <= length)
     found = stored(
         keyed.select("id", "mark", "bytes").mapInArrow(
-            _segment_batches(length), "id string, mark long, key long, digest long, lo int, hi int, again boolean"
+            _segment_batches(length, gram), "id string, mark long, key long, digest long, lo int, hi int, again boolean"
         ),
         "segments",
     )
@@ -296,9 +286,10 @@ def repeated_ranges(keyed: DataFrame, length: int = MIN_LENGTH, hot_segments: in
     )
     distinct = stored(distinct, "distinct-segments")
     to_sort = distinct.where("various OR again")
-    crowded = to_sort.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot_segments).select("key", F.lit(True).alias("hot"))
+    crowded = to_sort.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot_segments)
+    crowded = stored(crowded.select("key", F.lit(True).alias("hot")), "crowded-keys")
     wanted = (
-        to_sort.join(stored(crowded, "crowded-keys"), "key", "left")
+        to_sort.join(crowded, "key", "left")
         .groupBy("id", "mark")
         .agg(F.collect_list(F.struct("key", "digest", F.coalesce("hot", F.lit(False)).alias("hot"), "lo", "hi")).alias("wanted"))
     )
@@ -310,17 +301,21 @@ def repeated_ranges(keyed: DataFrame, length: int = MIN_LENGTH, hot_segments: in
         "pieces",
     )
     sorted_ranges = (
-        pieces.where("NOT hot").select("key", "digest", "bytes")
+        (pieces.where("NOT hot") if longer else pieces).select("key", "digest", "bytes")
         .repartition("key").sortWithinPartitions("key")
         .mapInArrow(_sorter(length), "key long, digest long, from int, to int")
     )
-    strings = pieces.where("hot").select("key", "digest", "bytes").mapInArrow(
-        _string_batches(length), "string binary, key long, digest long, from int"
-    )
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    counted_ranges = strings.join(twice, "string").select("key", "digest", "from", F.col("from").alias("to"))
     copies = distinct.where("n > 1").select("key", "digest", F.lit(0).alias("from"), (F.col("hi") - F.col("lo")).alias("to"))
-    ranges = stored(copies.unionByName(sorted_ranges).unionByName(counted_ranges), "ranges")
+    ranges = copies.unionByName(sorted_ranges)
+    if longer and not crowded.isEmpty():
+        hot = pieces.where("hot").select(F.col("key").cast("string").alias("id"), F.col("digest").alias("mark"), "bytes")
+        inner = repeated_ranges(hot, length, hot_segments, tuple(longer))
+        ranges = ranges.unionByName(
+            inner.select(F.col("id").cast("long").alias("key"), F.col("mark").alias("digest"), F.inline("ranges")).toDF(
+                "key", "digest", "from", "to"
+            )
+        )
+    ranges = stored(ranges, "ranges")
     return (
         shared.select("id", "mark", "key", "digest", "lo")
         .join(ranges, ["key", "digest"])
