@@ -12,27 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.llm.common import lower_ascii, row_of, stored
+from tripmart.llm.common import lower_ascii, stored
 
 WINDOW = 10
 ANCHORS = 2
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a-z, A-Z, 0-9 and everything beyond ASCII
 
 
-def _raw_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), F.lit(0))
-
-
 def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; null has none."""
-    return F.transform(_raw_words(text), lower_ascii)
+    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
 
 
 def _postings(docs: DataFrame) -> DataFrame:
     """One row a word: ``id, mark, position, term``."""
-    return docs.select("id", "mark", F.posexplode(_raw_words(F.col("text"))).alias("position", "term")).withColumn(
-        "term", lower_ascii(F.col("term"))
-    )
+    return docs.select("id", "mark", F.posexplode(words(F.col("text"))).alias("position", "term"))
 
 
 def _items(items: DataFrame, item_id: str, text: str, window: int = WINDOW) -> DataFrame:
@@ -83,8 +77,18 @@ def anchor_places(docs: DataFrame, items: DataFrame, anchors: DataFrame) -> Data
 
 def phrase_candidates(docs: DataFrame, items: DataFrame, anchors: DataFrame) -> DataFrame:
     """``id, mark, item, diagonal, starts``: windows all of whose anchors meet on one diagonal."""
-    by_item = anchors.groupBy("item").agg(F.collect_list(F.struct("start", "rare")).alias("windows"))
-    met = anchor_places(docs, items, anchors).groupBy("id", "mark", "item", "diagonal").agg(F.collect_set("at").alias("met"))
+    by_item = anchors.groupBy("item").agg(
+        F.min(F.size("rare")).alias("least"), F.collect_list(F.struct("start", "rare")).alias("windows")
+    )
+    by_item = stored(by_item, "item-windows")
+    met = (
+        anchor_places(docs, items, anchors)
+        .groupBy("id", "mark", "item", "diagonal")
+        .agg(F.collect_set("at").alias("met"))
+        .join(by_item.select("item", "least"), "item")
+        .where(F.size("met") >= F.col("least"))  # before the wide windows come in: most diagonals hold one chance posting
+        .drop("least")
+    )
     fit = F.filter(
         "windows",
         lambda w: (w["start"] + F.col("diagonal") >= 0) & (F.size(F.array_except(w["rare"], F.col("met"))) == 0),
@@ -99,8 +103,9 @@ def phrase_candidates(docs: DataFrame, items: DataFrame, anchors: DataFrame) ->
 def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The text with the pair that names it: its id and a hash. Rows that agree in both have one result."""
     body = docs[f"`{text}`"]
+    rest = [docs[f"`{c}`"] for c in docs.columns if c != text]
     return docs.select(
-        row_of(docs), F.coalesce(docs[f"`{doc_id}`"].cast("string"), F.lit("")).alias("id"),
+        F.struct(*rest).alias("row"), F.coalesce(docs[f"`{doc_id}`"].cast("string"), F.lit("")).alias("id"),
         F.xxhash64(body).alias("mark"), body.alias("text"),
     )
 
@@ -111,12 +116,12 @@ def decontaminate(
 ) -> DataFrame:
     """Every document with what the benchmark's windows hit in it.
 
-    Returns ``row`` (the document's columns), ``n_words, n_hit`` (words inside an exact occurrence of a
+    Returns ``row`` (the document's other columns), ``text, n_words, n_hit`` (words inside an exact occurrence of a
     window), ``items`` (sorted distinct ids, as strings, of items with such a window) and ``starts``
     (sorted word positions at which windows begin). An item shorter than the window is one window. Null and
     wordless texts are hit by nothing; wordless items hit nothing; items without an id hit words but are not
     listed; repeated rows each get the result. The index and the candidates are
-    tables; a join is broadcast only where Spark finds the stored side small.
+    tables; the benchmark's side of a join is broadcast only where Spark finds the stored table small.
     """
     marked = _marked(docs, doc_id, text)
     plain = marked.select("id", "mark", "text")
@@ -129,7 +134,10 @@ def decontaminate(
         ),
         "places",
     )
-    joined = marked.withColumn("ws", words(F.col("text"))).join(places, ["id", "mark"], "left")
+    # Candidates grow with the corpus, so this join is always shuffled; only their texts are cut into words again.
+    joined = marked.join(places.hint("merge"), ["id", "mark"], "left").withColumn(
+        "ws", F.when(F.col("places").isNotNull(), words(F.col("text")))
+    )
 
     def length(place: Column) -> Column:
         return F.least(F.size(place["ws"]), F.lit(window))
@@ -145,7 +153,8 @@ def decontaminate(
         return F.struct(place["item_id"].alias("item_id"), length(place).alias("length"), begins.alias("begins"))
 
     exact = F.filter(F.transform("places", occurring), lambda p: F.size(p["begins"]) > 0)
-    found = joined.select("row", F.size("ws").alias("n_words"), F.coalesce(exact, F.array()).alias("exact"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0))
+    found = joined.select("row", "text", n_words.alias("n_words"), F.coalesce(exact, F.array()).alias("exact"))
     hit = F.flatten(
         F.transform(
             "exact", lambda p: F.flatten(F.transform(p["begins"], lambda b: F.sequence(b, b + p["length"] - 1)))
@@ -153,7 +162,7 @@ def decontaminate(
     )
     ids = F.array_sort(F.array_distinct(F.filter(F.col("exact.item_id"), lambda i: i.isNotNull())))
     return found.select(
-        "row", F.col("n_words").cast("long").alias("n_words"), F.size(F.array_distinct(hit)).cast("long").alias("n_hit"),
+        "row", "text", F.col("n_words").cast("long").alias("n_words"), F.size(F.array_distinct(hit)).cast("long").alias("n_hit"),
         ids.alias("items"), F.array_sort(F.array_distinct(F.flatten("exact.begins"))).alias("starts"),
     )
 
