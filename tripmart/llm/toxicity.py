@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ def grams(word: str) -> list[str]:
     return [marked[i : i + n] for n in GRAM_SIZES for i in range(len(marked) - n + 1)]
 
 
-def _association(docs: list[list[str]], labels: np.ndarray, keep: int) -> dict[str, float]:
+def _association(docs: Iterable[list[str]], labels: np.ndarray, keep: int) -> dict[str, float]:
     """Smoothed log odds of the label for documents with a token, for the ``keep`` tokens furthest from zero."""
     with_label, without = Counter(), Counter()
     for tokens, label in zip(docs, labels, strict=True):
@@ -236,8 +236,9 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 4,
     word_odds = _association(counted, y[half[0]], VOCABULARY) if len(half[0]) else {}
     vocabulary = {w for words in counted for w in words}
     of_word = {w: grams(w) for w in vocabulary}
-    gram_docs = [[g for w in set(words) for g in of_word[w]] for words in counted]
-    model = Model(word_odds, _association(gram_docs, y[half[0]], VOCABULARY) if gram_docs else {}, seed)
+    gram_docs = ([g for w in set(words) for g in of_word[w]] for words in counted)
+    model = Model(word_odds, _association(gram_docs, y[half[0]], VOCABULARY) if counted else {}, seed)
+    del of_word, vocabulary, counted
     y, docs = y[half[1]], [docs[i] for i in half[1]]
     if not 0 < y.sum() < len(y):
         model.p["bias"][:] = -3 if not y.any() else 0
