@@ -12,16 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.llm.common import lower_ascii, stored
+from tripmart.llm.common import LOWER, UPPER, stored
 
 WINDOW = 10
 ANCHORS = 2
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a-z, A-Z, 0-9 and everything beyond ASCII
+# Words are made of a-z, A-Z, 0-9 and everything beyond ASCII; the other ASCII characters separate them.
+_SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; null has none."""
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + _SEPARATORS, LOWER + " " * len(_SEPARATORS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _postings(docs: DataFrame) -> DataFrame:
@@ -135,7 +137,8 @@ def decontaminate(
         "places",
     )
     # Candidates grow with the corpus, so this join is always shuffled; only their texts are cut into words again.
-    joined = marked.join(places.hint("merge"), ["id", "mark"], "left").withColumn(
+    counted = marked.withColumn("n_words", F.size(words(F.col("text"))))
+    joined = counted.join(places.hint("merge"), ["id", "mark"], "left").withColumn(
         "ws", F.when(F.col("places").isNotNull(), words(F.col("text")))
     )
 
@@ -153,8 +156,7 @@ def decontaminate(
         return F.struct(place["item_id"].alias("item_id"), length(place).alias("length"), begins.alias("begins"))
 
     exact = F.filter(F.transform("places", occurring), lambda p: F.size(p["begins"]) > 0)
-    n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0))
-    found = joined.select("row", "text", n_words.alias("n_words"), F.coalesce(exact, F.array()).alias("exact"))
+    found = joined.select("row", "text", "n_words", F.coalesce(exact, F.array()).alias("exact"))
     hit = F.flatten(
         F.transform(
             "exact", lambda p: F.flatten(F.transform(p["begins"], lambda b: F.sequence(b, b + p["length"] - 1)))
