@@ -229,25 +229,27 @@ class Scorer:
 def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 4, seed: int = 7) -> Model:
     """Fit a model; without two kinds of labels it stays untrained, and scores stay near one half or below."""
     rng = np.random.default_rng(seed)
-    docs, y = [text_words(t) for t in texts], np.array(labels, np.float32)
-    order = rng.permutation(len(docs))
+    y = np.array(labels, np.float32)
+    order = rng.permutation(len(texts))
     half = order[: len(order) // 2], order[len(order) // 2 :]
-    counted = [docs[i] for i in half[0]]
-    word_odds = _association(counted, y[half[0]], VOCABULARY) if len(half[0]) else {}
-    vocabulary = {w for words in counted for w in words}
-    of_word = {w: grams(w) for w in vocabulary}
-    gram_docs = ([g for w in set(words) for g in of_word[w]] for words in counted)
+    one: dict[str, str] = {}  # equal words are kept once
+    counted = [{one.setdefault(w, w) for w in text_words(texts[i])} for i in half[0]]
+    word_odds = _association(counted, y[half[0]], VOCABULARY) if counted else {}
+    gram_docs = ({g for w in words for g in grams(w)} for words in counted)
     model = Model(word_odds, _association(gram_docs, y[half[0]], VOCABULARY) if counted else {}, seed)
-    del of_word, vocabulary, counted
-    y, docs = y[half[1]], [docs[i] for i in half[1]]
+    del counted, one
+    y = y[half[1]]
     if not 0 < y.sum() < len(y):
         model.p["bias"][:] = -3 if not y.any() else 0
         return model
-    vocabulary = sorted({w for words in docs for w in words})
-    number = {w: i + 1 for i, w in enumerate(vocabulary)}
+    number: dict[str, int] = {}
+    cut = [
+        windows(np.fromiter((number.setdefault(w, len(number) + 1) for w in text_words(texts[i])), np.int32)) for i in half[1]
+    ]
+    vocabulary = list(number)
+    del number
     word, flat, sizes = model.lookup(vocabulary)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    cut = [windows(np.array([number[w] for w in words], np.int64)) for words in docs]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     strength = np.concatenate([[0], np.maximum.reduceat(model.gram_score[flat], first) + model.word_score[word]])
     step = 0
