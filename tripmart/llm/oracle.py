@@ -1,4 +1,4 @@
-"""DuckDB SQL that states the same results plainly, for the queries SQL can express."""
+"""SQL that states the same results plainly, for the queries SQL can express."""
 
 from __future__ import annotations
 

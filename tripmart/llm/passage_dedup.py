@@ -163,7 +163,8 @@ def near_links(distinct: DataFrame, docs: DataFrame, similarity: float = SIMILAR
         .agg(F.min(F.struct("band", "value")).alias("b"))
         .select("b.band", "b.value", F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("tiles"))
     )
-    members = stored(entries.join(stored(buckets, "buckets"), ["band", "value"]), "bucket-members")
+    # buckets grow with the corpus: shuffled at every size, never broadcast
+    members = stored(entries.join(stored(buckets, "buckets").hint("merge"), ["band", "value"]), "bucket-members")
     wanted = (
         members.select("digest").distinct()
         .join(distinct.select("digest", "doc_id", "mark", "start", "end"), "digest")
