@@ -58,3 +58,10 @@ def test_day_without_spread_sorts_last(spark):
     busy = [trip(pickup_ts=datetime(2024, 1, d, 8), dropoff_ts=datetime(2024, 1, d, 9)) for d in (1, 1, 2)]
     scores = [r["z_score"] for r in unusual_days(trips(spark, [lone, *busy])).collect()]
     assert scores == [1.0, -1.0, None]
+
+
+def test_tolerance_holds_for_finite_values_only(spark):
+    inf, nan = float("inf"), float("nan")
+    for x, y, same in ((5.0, inf, False), (5.0, nan, False), (inf, -inf, False), (inf, inf, True), (nan, nan, True), (1.0, 1.0 + 1e-9, True)):
+        a, b = (spark.createDataFrame([(1, v)], "k int, x double") for v in (x, y))
+        assert (result_equivalence(a, b, ["k"]).first()["diferencias"] == 0) == same

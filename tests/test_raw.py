@@ -6,6 +6,7 @@ from tripmart.operators.sinks import materialize_trips, subset_by_files
 from tripmart.plans import audit, evolution, incorporation
 from tripmart.plans.eda import pickup_boroughs
 from tripmart.plans.indicators import top_pickup_zones
+from tripmart.sources.files import footer_metadata, footer_schema
 from tripmart.sources.raw import read_trips, scan_raw, sources_of_first_periods
 from tripmart.sources.schema import TRIPS_COLUMNS, TRIPS_SCHEMA
 from tripmart.sources.zones import read_zones
@@ -47,8 +48,7 @@ def test_name_without_period_is_kept_but_never_clean(spark, tmp_path):
     }
 
 
-@pytest.mark.parametrize("max_files", [50_000, 0])
-def test_folder_of_parts_and_mixed_schemas_are_one_source(spark, tmp_path, monkeypatch, max_files):
+def test_folder_of_parts_and_mixed_schemas_are_one_source(spark, tmp_path):
     import pyarrow.parquet as pq
 
     folder = tmp_path / "yellow" / "2024" / "yellow_tripdata_2024-03.parquet"
@@ -58,7 +58,6 @@ def test_folder_of_parts_and_mixed_schemas_are_one_source(spark, tmp_path, monke
     other = tmp_path / "yellow" / "2024" / "yellow_tripdata_2024-04.parquet"
     other.mkdir()
     pq.write_table(raw_table("yellow", 2024, 4, rows=4), other / "part-0.parquet")
-    monkeypatch.setattr("tripmart.sources.raw.MAX_BROADCAST_FILES", max_files)
     raw = scan_raw(spark, str(tmp_path), "yellow")
     assert {r["filename"] for r in raw.collect()} == {f"file:{folder}", f"file:{other}"}
     assert sorted((r["src_month"], r["count"]) for r in raw.groupBy("src_month").count().collect()) == [(3, 5), (4, 4)]
@@ -122,3 +121,25 @@ def test_missing_folder_is_an_error(spark, tmp_path):
     (tmp_path / "yellow").mkdir()
     with pytest.raises(FileNotFoundError):
         scan_raw(spark, str(tmp_path), "yellow")
+
+
+def test_unreadable_file_is_an_error_for_all_but_the_audit(spark, tmp_path):
+    _write_years(tmp_path, {2024: (1, 2)})
+    broken = tmp_path / "yellow" / "2024" / "yellow_tripdata_2024-03.parquet"
+    broken.write_bytes(b"PAR1 cut short")
+    root = str(tmp_path)
+    for read in (read_trips, audit.rows_footer_vs_scan):
+        with pytest.raises(Exception, match="2024-03"):
+            read(spark, root).collect()
+    for read in (footer_metadata, footer_schema):
+        with pytest.raises(Exception, match="2024-03"):
+            read(spark, root).collect()
+
+
+def test_period_filters_prune_files(spark, tmp_path):
+    _write_years(tmp_path, {2024: (1, 2, 3)})
+    month = scan_raw(spark, str(tmp_path), "yellow").where("src_month = 2")
+    month.collect()
+    plan = month._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    assert sum(leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size())) == 1

@@ -16,8 +16,10 @@ def _same(left: Column, right: Column, data_type: T.DataType) -> Column:
     """Cell comparison: NULL equals only NULL, floats may differ within the tolerance."""
     if not isinstance(data_type, (T.DoubleType, T.FloatType)):
         return left.eqNullSafe(right)
+    inf = F.lit(float("inf"))
+    finite = (F.abs(left) < inf) & (F.abs(right) < inf)  # NaN is greater than infinity
     allowed = F.greatest(F.lit(REL_TOLERANCE) * F.greatest(F.abs(left), F.abs(right)), F.lit(ABS_TOLERANCE))
-    return left.eqNullSafe(right) | F.coalesce(F.abs(left - right) <= allowed, F.lit(False))
+    return left.eqNullSafe(right) | F.coalesce(finite & (F.abs(left - right) <= allowed), F.lit(False))
 
 
 def result_equivalence(a: DataFrame, b: DataFrame, keys: list[str] | None) -> DataFrame:

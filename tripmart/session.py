@@ -39,6 +39,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tripmart-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)

@@ -63,20 +63,22 @@ def _open(path: str):
 
 
 def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow as pa
     import pyarrow.parquet as pq
 
     for batch in batches:
         lines = []
         for path, source, length in zip(batch["path"], batch["source"], batch["length"]):
             line = [path, source, length, False, None, None, None]
-            try:
-                with _open(path) as handle:
+            with _open(path) as handle:  # a file that cannot be opened fails the job
+                try:
                     meta = pq.ParquetFile(handle).metadata
+                except (pa.ArrowInvalid, OSError):  # no Parquet file, or cut short
+                    meta = None
+            if meta is not None:
                 leaves = [meta.schema.column(i) for i in range(meta.num_columns)]
                 columns = [{"name": leaf.name, "type": leaf.physical_type} for leaf in leaves]
                 line[3:] = [True, meta.num_rows, meta.num_row_groups, columns]
-            except Exception:  # an unreadable file is a finding of the audit, not a failure of the job
-                pass
             lines.append(line)
         names = ["path", "source", "file_size_bytes", "readable", "num_rows", "num_row_groups", "columns"]
         footers = pd.DataFrame(lines, columns=names)
@@ -88,9 +90,15 @@ def footers(spark: SparkSession, root: str) -> DataFrame:
     return file_listing(spark, root).mapInPandas(_read_footers, _FOOTER_SCHEMA)
 
 
+def readable_footers(spark: SparkSession, root: str) -> DataFrame:
+    """All footers; a file that is no whole Parquet file fails the job, by name. Only the audit tolerates such files."""
+    named = F.raise_error(F.concat(F.lit("not readable as Parquet: "), "path"))
+    return footers(spark, root).where(F.when(F.col("readable"), F.lit(True)).otherwise(named.cast("boolean")))
+
+
 def footer_metadata(spark: SparkSession, root: str) -> DataFrame:
     """Per monthly dataset: rows, row groups and bytes."""
-    sources = footers(spark, root).where("readable").groupBy(F.col("source").alias("file_name"))
+    sources = readable_footers(spark, root).groupBy(F.col("source").alias("file_name"))
     return sources.agg(
         F.sum("num_rows").alias("num_rows"),
         F.sum("num_row_groups").alias("num_row_groups"),
@@ -100,5 +108,5 @@ def footer_metadata(spark: SparkSession, root: str) -> DataFrame:
 
 def footer_schema(spark: SparkSession, root: str) -> DataFrame:
     """Per monthly dataset and column: name and physical type."""
-    columns = footers(spark, root).where("readable").select(F.col("source").alias("file_name"), F.inline("columns"))
+    columns = readable_footers(spark, root).select(F.col("source").alias("file_name"), F.inline("columns"))
     return columns.distinct()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Collection
-from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,14 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripmart.functions.semantics import to_int_half_even
-from tripmart.session import small_table
 from tripmart.sources.files import PERIOD_PATTERN, file_listing, footers, source_of
 from tripmart.sources.schema import TAXI_TYPES, TRIPS_COLUMNS
 
-# The names of up to this many files are sent to every executor (about 300 bytes each).
-MAX_BROADCAST_FILES = 50_000
-
-
 def src_period(filename: Column) -> tuple[Column, Column]:
     """Year and month in a file name; NULL where the name carries none."""
     year = F.regexp_extract(filename, PERIOD_PATTERN, 1).try_cast("int")
@@ -27,67 +21,40 @@ def src_period(filename: Column) -> tuple[Column, Column]:
     return year, month
 
 
-@dataclass
-class _Group:
-    """Files with the same columns and types: what to read, and the source of each file if listed."""
-
-    paths: set[str] = field(default_factory=set)
-    source_of: dict[str, str] = field(default_factory=dict)
+def _schema_groups(spark: SparkSession, folder: str, sources: Collection[str] | None) -> list[list[str]]:
+    """Paths to read together: datasets of one layout, ordered by their first path.
 
-
-def _schema_groups(spark: SparkSession, folder: str, sources: Collection[str] | None) -> list[_Group]:
-    """Footers are read by tasks; the driver receives one row per file if there are few files,
-    else one row per monthly dataset (and per file only in datasets that mix schemas)."""
+    One job reads the footers in tasks; the driver receives a row per dataset and layout (and a row per file only
+    in datasets that mix layouts). A file that cannot be read fails the call, by name.
+    """
     column = F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["type"]))
-    files = footers(spark, folder).where("readable").select("path", "source", F.concat_ws(",", column).alias("columns"))
-    listing = file_listing(spark, folder)
+    files = footers(spark, folder).withColumn("columns", F.concat_ws(",", column))
     if sources is not None:
-        asked = F.col("source").isin(list(sources))
-        files, listing = files.where(asked), listing.where(asked)
-
-    groups: dict[str, _Group] = defaultdict(_Group)
-    if listing.count() <= MAX_BROADCAST_FILES:
-        rows = files.collect()
-        layouts = defaultdict(set)
-        for row in rows:
-            layouts[row["source"]].add(row["columns"])
-        for row in sorted(rows):
-            group = groups[row["columns"]]
-            group.paths.add(row["source"] if len(layouts[row["source"]]) == 1 else row["path"])
-            group.source_of[row["path"]] = row["source"]
-    else:
-        per_source = files.groupBy("source").agg(
-            F.min("columns").alias("columns"), (F.min("columns") != F.max("columns")).alias("mixed")
-        )
-        uniform = per_source.where(~F.col("mixed")).select("columns", F.col("source").alias("path"))
-        mixed = files.join(per_source.where("mixed").select("source"), "source").select("columns", "path")
-        for row in uniform.unionByName(mixed).toLocalIterator():
-            groups[row["columns"]].paths.add(row["path"])
-    return [groups[columns] for columns in sorted(groups)]
-
-
-def _read_group(spark: SparkSession, group: _Group) -> DataFrame:
-    """Rows of a group with filename, src_year and src_month.
-
-    These are the same for all rows of a file. Taking them out of the path costs about a
-    microsecond a row, so it is done once per file and looked up where the list of files is
-    small enough to send to every executor. The lookup key is a number made from the path:
-    comparing paths for each row would take longer than reading the row.
-    """
-    rows = spark.read.option("mergeSchema", "false").parquet(*sorted(group.paths))
-    path = F.col("_metadata.file_path")
+        files = files.where(F.col("source").isin(list(sources)))
+    layouts = files.groupBy("source", "columns", "readable").agg(F.min("path").alias("path")).collect()
+    broken = sorted(row["path"] for row in layouts if not row["readable"])
+    if broken:
+        raise OSError(f"not readable as Parquet: {', '.join(broken[:10])}")
+    per_source = defaultdict(list)
+    for row in layouts:
+        per_source[row["source"]].append(row)
+    mixed = [source for source, rows in per_source.items() if len(rows) > 1]
+    groups: dict[str, list[str]] = defaultdict(list)
+    for source, rows in per_source.items():
+        if len(rows) == 1:
+            groups[rows[0]["columns"]].append(source)
+    if mixed:
+        for row in files.where(F.col("source").isin(mixed)).select("columns", "path").toLocalIterator():
+            groups[row["columns"]].append(row["path"])
+    return sorted(sorted(paths) for paths in groups.values())
+
+
+def _read_group(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows of a group with filename, src_year and src_month, all taken from the path, so that filters on them prune files."""
+    rows = spark.read.option("mergeSchema", "false").parquet(*paths)
+    named = rows.withColumn("filename", source_of(F.col("_metadata.file_path")))
     year, month = src_period(F.col("filename"))
-    if not group.source_of:
-        named = rows.withColumn("filename", source_of(path))
-        return named.withColumns({"src_year": year, "src_month": month})
-    files = small_table(spark, __path=list(group.source_of), filename=list(group.source_of.values()))
-    files = files.withColumns({"src_year": year, "src_month": month})
-
-    hashes = [row[0] for row in files.select(F.xxhash64("__path")).collect()]
-    key = F.xxhash64 if len(set(hashes)) == len(hashes) else F.col
-    files = files.withColumn("__key", key("__path")).drop("__path")
-    keyed = rows.withColumn("__path", path).withColumn("__key", key("__path")).drop("__path")
-    return keyed.join(F.broadcast(files), "__key", "left").drop("__key")
+    return named.withColumns({"src_year": year, "src_month": month})
 
 
 def scan_raw(

@@ -223,16 +223,16 @@ def _exploration() -> dict[str, str]:
         ),
         "q3_6c_anomalias_basicas": _per_type(
             "ruled", "count(*) AS registros", cases("NOT r1", "fuera_del_periodo_del_archivo"),
-            cases("secs < 0", "llegada_antes_de_salida"),
+            cases("dropoff_ts < pickup_ts", "llegada_antes_de_salida"),
             cases("datediff('hour', pickup_ts, dropoff_ts) >= 25", "duracion_mayor_24h"),
             cases("trip_distance = 0", "distancia_cero"), cases("trip_distance > 100", "distancia_mayor_100mi"),
-            cases("fare_amount < 0", "tarifa_negativa"), cases("NOT total_amount > 0", "total_no_positivo"),
+            cases("fare_amount < 0", "tarifa_negativa"), cases("total_amount <= 0", "total_no_positivo"),
             cases("passenger_count = 0", "pasajeros_cero"), cases("passenger_count IS NULL", "pasajeros_nulo"),
-            cases("payment_type NOT BETWEEN 1 AND 6", "pago_fuera_de_catalogo"),
+            cases("payment_type = 0 OR payment_type > 6", "pago_fuera_de_catalogo"),
         ),
         "q3_7_rango_fechas": _sql(
-            """SELECT taxi_type, src_year, src_month, arg_min(pickup_ts, pickup_ts) AS primera_recogida,
-               arg_max(pickup_ts, pickup_ts) AS ultima_recogida, count(*) AS registros
+            """SELECT taxi_type, src_year, src_month, min(pickup_ts) AS primera_recogida,
+               max(pickup_ts) AS ultima_recogida, count(*) AS registros
                FROM trips GROUP BY taxi_type, src_year, src_month"""
         ),
         "q3_7b_catalogos": _sql(f"{codes('payment_type')} UNION ALL {codes('ratecode_id')}"),
@@ -340,7 +340,7 @@ def _eda() -> dict[str, str]:
 def _incorporation() -> dict[str, str]:
     return {
         "q5_2_consulta_conjunta_por_mes": _sql(
-            "SELECT * FROM (PIVOT cells ON anio USING sum(n)::BIGINT GROUP BY taxi_type, mes)",
+            "SELECT * FROM (PIVOT cells ON anio IN (1995, 1996, 1997, 1998, 1999, 2000, 2001) USING sum(n)::BIGINT GROUP BY taxi_type, mes)",
             """cells AS (SELECT taxi_type, mes, anio, count(filename) AS n
                  FROM (SELECT DISTINCT taxi_type, src_month AS mes FROM trips)
                  CROSS JOIN (SELECT DISTINCT src_year AS anio FROM trips)
@@ -454,19 +454,19 @@ def _dashboard() -> dict[str, str]:
             "months AS (SELECT taxi_type, periodo, round(sum(total_amount), 2) AS amount FROM kept GROUP BY ALL)",
         ),
         "dash_payment_pivot": _sql(
-            "SELECT * FROM (PIVOT cells ON metodo USING coalesce(sum(pct), 0) GROUP BY grupo)",
+            "SELECT * FROM (PIVOT cells ON metodo IN ('tarjeta', 'efectivo', 'sin cargo', 'disputa', 'otro/desconocido') USING coalesce(sum(pct), 0) GROUP BY grupo)",
             f"counts AS ({ANNUAL_GROUPS})",
             shares.format("taxi_type, src_year"),
             "cells AS (SELECT taxi_type || ' ' || src_year AS grupo, metodo, pct FROM shares)",
         ),
         "dash_distance_pivot": _sql(
-            "SELECT * FROM (PIVOT cells ON taxi_type USING any_value(pct) GROUP BY orden, tramo_millas)",
+            "SELECT * FROM (PIVOT cells ON taxi_type IN ('green', 'yellow') USING any_value(pct) GROUP BY orden, tramo_millas)",
             f"counts AS ({BAND_COUNTS})",
             shares.format("taxi_type"),
             "cells AS (SELECT orden, tramo_millas, taxi_type, pct FROM shares)",
         ),
         "dash_trips_pivot": _sql(
-            "SELECT * FROM (PIVOT cells ON taxi_type USING any_value(n) GROUP BY periodo)",
+            "SELECT * FROM (PIVOT cells ON taxi_type IN ('green', 'yellow') USING any_value(n) GROUP BY periodo)",
             "cells AS (SELECT periodo, taxi_type, count(*) AS n FROM kept GROUP BY ALL)",
         ),
     }
