@@ -50,7 +50,7 @@ def test_half_even_ties(spark):
     assert column(spark, [0.5, 1.5, 2.5, -0.5, None], "double", sem.to_int_half_even) == [0, 2, 2, 0, None]
 
 
-STAMPS = st.datetimes(datetime(1971, 1, 1), datetime(2060, 1, 1))
+STAMPS = st.datetimes(datetime(1900, 1, 1), datetime(2060, 1, 1))
 
 
 @FEW

@@ -25,8 +25,10 @@ def to_int_half_even(value: Column) -> Column:
 
 
 def whole_seconds(ts: Column) -> Column:
-    """Seconds since the epoch, without the sub-second part."""
-    return F.unix_timestamp(ts)
+    """Seconds since the epoch, rounded down, before 1970 too."""
+    cut = F.unix_timestamp(ts)  # without a zone, but towards zero
+    below = (cut <= 0) & (ts < F.lit("1970-01-01").cast("timestamp_ntz")) & (F.date_part(F.lit("SECOND"), ts) % 1 != 0)
+    return cut - F.when(below, 1).otherwise(0)
 
 
 def seconds_between(start: Column, end: Column) -> Column:
