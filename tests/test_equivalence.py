@@ -1,10 +1,12 @@
 from functools import partial
 
+from pyspark.sql import functions as F
+
 from tests.builders import trip, trips
 from tripmart.operators.equivalence import result_equivalence
 from tripmart.operators.sinks import materialize_indicators
 from tripmart.plans.eda import unusual_days
-from tripmart.plans.exploration import code_lists
+from tripmart.plans.exploration import basic_anomalies, code_lists
 from tripmart.plans.indicators import monthly_trips, yearly_payment
 
 
@@ -65,3 +67,32 @@ def test_tolerance_holds_for_finite_values_only(spark):
     for x, y, same in ((5.0, inf, False), (5.0, nan, False), (inf, -inf, False), (inf, inf, True), (nan, nan, True), (1.0, 1.0 + 1e-9, True)):
         a, b = (spark.createDataFrame([(1, v)], "k int, x double") for v in (x, y))
         assert (result_equivalence(a, b, ["k"]).first()["diferencias"] == 0) == same
+
+
+def test_other_columns_are_never_equivalent(spark):
+    a = spark.createDataFrame([(1, 2.0)], "k int, x double")
+    for keys in (["k"], None):
+        for other in (a.withColumn("y", F.lit(1)), a.withColumn("x", F.col("x").cast("float")), a.withColumnRenamed("x", "z")):
+            for left, right in ((a, other), (other, a)):
+                row = result_equivalence(left, right, keys).first()
+                assert (row["filas_a"], row["filas_b"], row["diferencias"], row["equivalentes"]) == (1, 1, 1, False)
+        assert result_equivalence(a, a.select("x", "k"), keys).first()["equivalentes"]
+
+
+def test_without_keys_floats_are_tolerated(spark):
+    base = [(1, 1.0, "a"), (1, 2.0, "a"), (None, None, None), (2, float("nan"), "b")]
+    near = [(1, 2.0 + 1e-9, "a"), (None, None, None), (2, float("nan"), "b"), (1, 1.0 + 1e-9, "a")]
+    assert verdict(spark, base, near, None)["equivalentes"]
+    assert verdict(spark, base, [*near[:3], (1, 1.1, "a")], None)["diferencias"] == 1
+    assert verdict(spark, base, [*near[:3], (3, 1.0, "a")], None)["diferencias"] >= 2
+    assert verdict(spark, base[:1], [(1, float("inf"), "a")], None)["diferencias"] == 1
+    assert verdict(spark, [], [], None) == {"filas_a": 0, "filas_b": 0, "diferencias": 0, "equivalentes": True}
+
+
+def test_the_oracle_and_the_plan_agree_on_edges(spark):
+    """A negative code is in no catalogue limit, and an arrival within the second before the departure is early."""
+    from datetime import datetime
+
+    early = trip(payment_type=-1, pickup_ts=datetime(2024, 1, 10, 8, 0, 0, 500000), dropoff_ts=datetime(2024, 1, 10, 8, 0, 0, 400000))
+    row = basic_anomalies(trips(spark, [early])).first()
+    assert (row["pago_fuera_de_catalogo"], row["llegada_antes_de_salida"]) == (0, 1)

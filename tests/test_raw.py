@@ -6,7 +6,7 @@ from tripmart.operators.sinks import materialize_trips, subset_by_files
 from tripmart.plans import audit, evolution, incorporation
 from tripmart.plans.eda import pickup_boroughs
 from tripmart.plans.indicators import top_pickup_zones
-from tripmart.sources.files import footer_metadata, footer_schema
+from tripmart.sources.files import _open, footer_metadata, footer_schema
 from tripmart.sources.raw import read_trips, scan_raw, sources_of_first_periods
 from tripmart.sources.schema import TRIPS_COLUMNS, TRIPS_SCHEMA
 from tripmart.sources.zones import read_zones
@@ -113,6 +113,8 @@ def test_first_periods_open_only_their_files(spark, tmp_path):
 def test_no_zone_file_gives_defaults(spark, tmp_path):
     _write_years(tmp_path, {2024: (1,)})
     trips, zones = read_trips(spark, str(tmp_path)), read_zones(spark, None)
+    assert read_zones(spark, str(tmp_path / "no such.csv")).schema == zones.schema
+    assert read_zones(spark, str(tmp_path / "no such.csv")).count() == 0
     assert {r["borough"] for r in pickup_boroughs(trips, zones).collect()} == {"Sin zona"}
     assert {(r["zona"], r["borough"]) for r in top_pickup_zones(trips, zones).collect()} == {("Zona 10", "N/D")}
 
@@ -143,3 +145,23 @@ def test_period_filters_prune_files(spark, tmp_path):
     plan = month._jdf.queryExecution().executedPlan()
     leaves = plan.collectLeaves()
     assert sum(leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size())) == 1
+
+
+def test_unknown_scheme_is_an_error():
+    with pytest.raises(ValueError, match="odd://host"):
+        _open("odd://host/yellow_tripdata_2024-01.parquet")
+
+
+def test_corrupt_part_fails_with_one_layout_and_with_two(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    _write_years(tmp_path, {2024: (1,)})
+    folder = tmp_path / "yellow" / "2024" / "yellow_tripdata_2024-03.parquet"
+    folder.mkdir()
+    pq.write_table(raw_table("yellow", 2024, 3), folder / "part-0.parquet")
+    (folder / "part-1.parquet").write_bytes(b"no parquet")
+    with pytest.raises(OSError, match="part-1"):
+        read_trips(spark, str(tmp_path))
+    pq.write_table(raw_table("yellow", 2024, 3, VendorID=pa.int64()), folder / "part-2.parquet")
+    with pytest.raises(OSError, match="part-1"):
+        read_trips(spark, str(tmp_path))

@@ -1,10 +1,11 @@
-"""Exact interpolated quantiles that hold for groups of any size.
-
-``percentile`` keeps every distinct value of a group in one task's memory. Here a group is
-first reduced to a histogram (one row per distinct value, combined map-side and spread over
-the cluster by value, so one hot group or one hot value is no problem). The histogram is cut
-into ordered buckets; only bucket totals are accumulated per group, and only the few buckets
-that hold a wanted rank are sorted by value.
+"""Exact interpolated quantiles that hold for groups of any size, in two passes over the data.
+
+``percentile`` keeps every distinct value of a group in one task's memory. Here the first pass only
+counts rows in buckets of the value axis (about 512 for each factor of e), combined map-side, so a
+few thousand rows leave each task however many values there are. Running counts say which
+buckets hold the wanted ranks. The second pass reads the columns again, keeps the rows of those buckets, counts
+equal values, and cuts each bucket into equal steps between its bounds; only the steps that
+hold a rank are sorted. A group whose values all lie in one bucket is thus still spread over tasks.
 """
 
 from __future__ import annotations
@@ -16,28 +17,28 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripmart.session import held
+
 _BUCKETS_PER_E_FOLD = 512
+_STEPS = 256
 _LAST = 2**63 - 1
 
 
-def value_histogram(df: DataFrame, keys: list[str], measures: Mapping[str, Column]) -> DataFrame:
-    """One row (keys, measure, value, n) per distinct value of each measure; NULL values kept."""
-    if len(measures) == 1:
-        ((name, value),) = measures.items()
-        one = df.select(*keys, F.lit(name).alias("measure"), value.cast("double").alias("value"))
-        return one.groupBy(*keys, "measure", "value").agg(F.count("*").alias("n"))
-    # One grouping set per measure: each row is counted once for each, in one pass.
-    columns = {name: f"value__{name}" for name in measures}
-    rows = df.select(*keys, *[value.cast("double").alias(columns[name]) for name, value in measures.items()])
-    sets = [[*keys, column] for column in columns.values()]
-    counted = rows.groupingSets(sets, *keys, *columns.values()).agg(
-        F.count("*").alias("n"), F.grouping_id().alias("set")
-    )
-    # The grouping id has a one for every column left out of the set.
-    everything = 2 ** len(columns) - 1
-    ids = {name: everything - 2 ** (len(columns) - 1 - i) for i, name in enumerate(columns)}
-    measure = reduce(lambda chain, name: chain.when(F.col("set") == ids[name], name), columns, F)
-    return counted.select(*keys, measure.alias("measure"), F.coalesce(*columns.values()).alias("value"), "n")
+def _cells(df: DataFrame, keys: list[str], measures: Mapping[str, Column], sums: Mapping[str, Column]) -> DataFrame:
+    """One row (keys, measure, value, bucket, sums) for each row and measure; sums come with the first measure only."""
+    structs = [
+        F.struct(
+            F.lit(name).alias("measure"),
+            value.cast("double").alias("value"),
+            *[(F.lit(None) if i else expr).cast("double").alias(total) for total, expr in sums.items()],
+        )
+        for i, (name, value) in enumerate(measures.items())
+    ]
+    if len(structs) == 1:
+        rows = df.select(*keys, structs[0].alias("cell")).select(*keys, "cell.*")
+    else:
+        rows = df.select(*keys, F.inline(F.array(*structs)))
+    return rows.withColumn("bucket", _bucket(F.col("value")))
 
 
 def _bucket(value: Column) -> Column:
@@ -46,71 +47,101 @@ def _bucket(value: Column) -> Column:
     return F.when(F.isnan(value), F.lit(_LAST)).otherwise(F.floor(signed_log))
 
 
-def histogram_quantiles(
-    histogram: DataFrame,
-    keys: list[str],
-    wanted: Mapping[str, tuple[str, float]],
-    sums: Mapping[str, Column] | None = None,
-) -> DataFrame:
-    """One row per group with the wanted quantiles.
+def _step(value: Column, low: Column, high: Column) -> Column:
+    """One of equal steps between the bounds of a bucket; all in one where these are equal or not finite."""
+    width = high - low
+    cut = F.floor((value - low) / width * F.lit(_STEPS))
+    return F.when((width > 0) & (width < F.lit(float("inf"))), cut).otherwise(F.lit(0))
+
+
+def _holds(start: Column, size: Column, rank: Column) -> Column:
+    return (start <= rank) & (rank < start + size)
+
 
-    ``wanted`` maps an output column to (measure, fraction). ``sums`` maps an output column
-    to an expression over the histogram's columns that is summed over the whole group.
+def _located(df: DataFrame, keys: list[str], measures: Mapping[str, Column], wanted, sums) -> DataFrame:
+    """Distinct values, with counts, of the steps that hold a wanted rank.
+
+    Rows: keys, measure, bucket, step, value, n, total (values of the measure in the group), start (values before the step) and sums.
     """
-    sums = dict(sums or {})
-    cells = [*keys, "measure", "bucket"]
-    values = histogram.withColumn("bucket", _bucket(F.col("value")))
+    cell = [*keys, "measure", "bucket"]
 
-    buckets = values.groupBy(*cells).agg(
-        F.sum("n").alias("bucket_n"), *[F.sum(expr).alias(name) for name, expr in sums.items()]
-    )
-    filled = F.when(F.col("bucket").isNotNull(), F.col("bucket_n")).otherwise(F.lit(0))
+    def needed(start: Column, size: Column) -> Column:
+        ranks = [
+            (F.col("measure") == measure) & _holds(start, size, edge((F.col("total") - 1) * F.lit(fraction)))
+            for measure, fraction in set(wanted.values())
+            for edge in (F.floor, F.ceil)
+        ]
+        # A group of NULLs only has no bucket to look into but still gets its row.
+        return reduce(or_, ranks, F.col("bucket").isNull())
+
+    counts = _cells(df, keys, measures, sums).groupBy(*cell).agg(
+        F.count("value").alias("size"), F.min("value").alias("low"), F.max("value").alias("high"),
+        *[F.sum(name).alias(name) for name in sums],
+    )
     series = Window.partitionBy(*keys, "measure")
-    before = series.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("filled", filled).select(
-        *cells,
-        "filled",
-        F.sum("filled").over(series).alias("total"),
-        F.coalesce(F.sum("filled").over(before), F.lit(0)).alias("bucket_start"),
+    earlier = series.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = counts.select(
+        *cell, "size", "low", "high",
+        F.sum("size").over(series).alias("total"),
+        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"),
         *[F.sum(name).over(Window.partitionBy(*keys)).alias(name) for name in sums],
+    )
+    chosen = held(buckets.where(needed(F.col("start"), F.col("size"))).drop("size"))
+
+    def same(left: str, right: str, columns: list[str]) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
+
+    carried = ["total", "start", *sums]
+    found = _cells(df, keys, measures, {}).alias("v").join(chosen.alias("c"), same("v", "c", cell))
+    values = (
+        found.select(
+            *[F.col(f"v.{c}").alias(c) for c in cell], "value", _step(F.col("value"), F.col("low"), F.col("high")).alias("step"), *carried
+        )
+        .groupBy(*cell, "step", "value", *carried)
+        .agg(F.count("*").alias("n"))
+    )
+    before = Window.partitionBy(*cell).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = values.groupBy(*cell, "step", "total", "start").agg(F.sum("n").alias("step_n"))
+    step_start = F.col("start") + F.coalesce(F.sum("step_n").over(before), F.lit(0))
+    steps = steps.withColumn("step_start", step_start).where(needed(F.col("step_start"), F.col("step_n")))
+    v, s = values.alias("v"), steps.select(*cell, "step", "step_start").alias("s")
+    return v.join(s, same("v", "s", [*cell, "step"])).select(
+        *[F.col(f"v.{c}").alias(c) for c in [*cell, "step"]], "value", "n", "total", F.col("step_start").alias("start"), *sums
     )
 
-    def position(fraction: float) -> Column:
-        return (F.col("total") - 1) * F.lit(fraction)
 
-    def holds(start: Column, size: Column, rank: Column) -> Column:
-        return (start <= rank) & (rank < start + size)
+def exact_quantiles(
+    df: DataFrame,
+    keys: list[str],
+    measures: Mapping[str, Column],
+    wanted: Mapping[str, tuple[str, float]],
+    sums: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """One row per group with the wanted quantiles; NULL values are left out, a group of them alone has NULLs.
 
-    needed = [
-        (F.col("measure") == measure) & holds(F.col("bucket_start"), F.col("filled"), edge(position(fraction)))
-        for measure, fraction in wanted.values()
-        for edge in (F.floor, F.ceil)
-    ]
-    # A group of NULLs only has no bucket to look into but still gets its row.
-    chosen = buckets.where(reduce(or_, needed, F.col("bucket").isNull()))
+    ``wanted`` maps an output column to (measure, fraction). ``sums`` maps an output column to an
+    expression that is summed, as a double, over all rows of the group in the same first pass.
+    """
+    sums = dict(sums or {})
+    rows = _located(df, keys, measures, wanted, sums)
+    inside = Window.partitionBy(*keys, "measure", "bucket", "step").orderBy("value")
+    preceding = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("start", F.col("start") + F.coalesce(preceding, F.lit(0)))
 
-    v, c = values.alias("v"), chosen.alias("c")
-    same = reduce(lambda a, b: a & b, [F.col(f"v.{k}").eqNullSafe(F.col(f"c.{k}")) for k in cells])
-    rows = v.join(c, same).select(
-        *[F.col(f"v.{k}") for k in cells], "value", "n", "total", "bucket_start", *sums
-    )
-    inside = Window.partitionBy(*cells).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    def position(fraction: float) -> Column:
+        return (F.col("total") - 1) * F.lit(fraction)
 
     def value_at(measure: str, rank: Column) -> Column:
-        hit = (F.col("measure") == measure) & holds(F.col("start"), F.col("n"), rank)
+        hit = (F.col("measure") == measure) & _holds(F.col("start"), F.col("n"), rank)
         return F.max(F.when(hit & F.col("value").isNotNull(), F.col("value")))
 
-    def place(measure: str, fraction: float) -> Column:
-        return F.max(F.when(F.col("measure") == measure, position(fraction)))
-
     parts, results = [], []
     for name, (measure, fraction) in wanted.items():
         low, high, at = f"{name}__low", f"{name}__high", f"{name}__at"
         parts += [
             value_at(measure, F.floor(position(fraction))).alias(low),
             value_at(measure, F.ceil(position(fraction))).alias(high),
-            place(measure, fraction).alias(at),
+            F.max(F.when(F.col("measure") == measure, position(fraction))).alias(at),
         ]
         above = F.col(at) - F.floor(at)
         between = F.col(low) * (F.lit(1.0) - above) + F.col(high) * above
@@ -118,14 +149,3 @@ def histogram_quantiles(
         results.append(F.when(F.col(low) == F.col(high), F.col(low)).otherwise(between).alias(name))
     picked = rows.groupBy(*keys).agg(*parts, *[F.max(name).alias(name) for name in sums])
     return picked.select(*keys, *results, *sums)
-
-
-def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    measures: Mapping[str, Column],
-    wanted: Mapping[str, tuple[str, float]],
-    sums: Mapping[str, Column] | None = None,
-) -> DataFrame:
-    """``histogram_quantiles`` of ``value_histogram``; the data behind it are read once."""
-    return histogram_quantiles(value_histogram(df, keys, measures), keys, wanted, sums)

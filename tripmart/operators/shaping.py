@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmart.functions.semantics import percent, round_to
-from tripmart.session import settle
+from tripmart.session import held
 
 
 def with_share(counts: DataFrame, within: list[str], name: str = "pct", count: str = "viajes") -> DataFrame:
@@ -28,14 +31,25 @@ def distinct_sorted(value: Column, when: Column | None = None) -> Column:
 def wide(cells: DataFrame, rows: list[str], column: str, value: Column, fill: int | float | None = None) -> DataFrame:
     """Turn one column's values into columns, one per value that occurs.
 
-    The column list is data, so Spark must look at the cells twice; they are aggregated
-    already, and are settled first so that the trips behind them are read once.
+    The column list is data, so the cells, aggregated already, are looked at twice. Columns are ordered by value.
     """
-    small = settle(cells)
-    result = small.groupBy(*rows).pivot(column).agg(value)
+    small = held(cells)
+    names = [row[0] for row in small.select(column).distinct().orderBy(column).collect()]
+    result = small.groupBy(*rows).pivot(column, names).agg(value)
     return result if fill is None else result.fillna(fill, [c for c in result.columns if c not in rows])
 
 
 def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """First n rows by a total order: each task keeps n rows, no full sort."""
     return df.orderBy(*order).limit(n)
+
+
+def ordered(query: Callable[..., DataFrame], *order: str) -> Callable[..., DataFrame]:
+    """The query with its small result sorted; ``-`` before a column means from high to low. NULLs come last either way."""
+
+    @wraps(query)
+    def run(*args, **options) -> DataFrame:
+        columns = [F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_last() for c in order]
+        return query(*args, **options).orderBy(*columns)
+
+    return run

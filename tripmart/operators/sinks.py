@@ -23,14 +23,19 @@ def read_trips_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRIPS_SCHEMA).parquet(path).select(*TRIPS_COLUMNS)
 
 
-def materialize_trips(trips: DataFrame, path: str, files: Collection[str] | None = None) -> DataFrame:
+def materialize_trips(
+    trips: DataFrame, path: str, files: Collection[str] | None = None, by_period: bool = False
+) -> DataFrame:
     """Write trips (or those of some files) as a table partitioned by type and period.
 
     The rebalance hint gathers each period's rows into files of a good size: a large period is
     split over several tasks, small ones share a task, so neither tiny files nor a hot task arise.
+    Trips that are grouped by period already (``by_period``), as ``read_trips`` gives them from monthly files,
+    are written as they come, without a shuffle.
     """
     chosen = trips if files is None else subset_by_files(trips, files)
-    chosen.hint("rebalance", *PARTITIONS).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
+    rows = chosen if by_period else chosen.hint("rebalance", *PARTITIONS)
+    rows.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
     return read_trips_table(trips.sparkSession, path)
 
 

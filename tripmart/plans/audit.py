@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripmart.functions.semantics import round_to
 from tripmart.operators.profile import type_name
-from tripmart.operators.shaping import distinct_sorted
+from tripmart.operators.shaping import distinct_sorted, ordered
 from tripmart.session import small_table
 from tripmart.sources.files import (
     NAME_PATTERN,
@@ -168,13 +168,13 @@ def audit_summary(audit: DataFrame) -> DataFrame:
 
 
 AUDIT = {
-    "q3_1_archivos_por_tipo_anio": files_by_type_year,
+    "q3_1_archivos_por_tipo_anio": ordered(files_by_type_year, "taxi_type", "anio", "archivos"),
     "q3_1b_total_archivos": total_files,
     "q3_2b_registros_metadatos": rows_footer_vs_scan,
-    "q3_2c_filas_por_archivo": rows_per_file,
+    "q3_2c_filas_por_archivo": ordered(rows_per_file, "taxi_type", "periodo"),
     "q3_3_columnas_yellow": lambda spark, root: raw_columns(spark, root, "yellow"),
     "q3_3_columnas_green": lambda spark, root: raw_columns(spark, root, "green"),
-    "q3_4_deriva_de_esquema": schema_drift,
-    "q5_1_archivos_por_anio": files_and_rows_by_year,
-    "q5_5_consistencia_esquema_por_anio": schema_by_year,
+    "q3_4_deriva_de_esquema": ordered(schema_drift, "taxi_type", "columna"),
+    "q5_1_archivos_por_anio": ordered(files_and_rows_by_year, "taxi_type", "anio", "archivos", "filas"),
+    "q5_5_consistencia_esquema_por_anio": ordered(schema_by_year, "taxi_type", "anio", "columnas"),
 }

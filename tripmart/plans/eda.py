@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from tripmart.functions import labels
 from tripmart.functions.semantics import day_name, day_of, hour_of_day, iso_weekday, percent, round_to, speed_mph
 from tripmart.operators.clean import clean_trips, is_clean, rules
-from tripmart.operators.quantiles import exact_quantiles, histogram_quantiles, value_histogram
-from tripmart.operators.shaping import top_n, with_share
-from tripmart.session import settle
+from tripmart.operators.quantiles import exact_quantiles
+from tripmart.operators.shaping import ordered, top_n, with_share
 
 UNUSUAL_DAYS = 15
 EXTREME_TRIPS = 10
@@ -112,18 +111,18 @@ def payment_methods(trips: DataFrame, zones: DataFrame | None = None) -> DataFra
 
 
 def card_tips(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    """Tip relative to fare, for card payments. Mean and zero share come from the histogram too."""
-    ratio = {"tip": F.col("tip_amount") / F.col("fare_amount")}
+    """Tip relative to fare, for card payments. Mean and zero share come from the first pass of the median."""
+    ratio = F.col("tip_amount") / F.col("fare_amount")
     stats = exact_quantiles(
         clean_trips(trips).where(F.col("payment_type") == labels.CARD),
         ["taxi_type", "src_year"],
-        ratio,
+        {"tip": ratio},
         {"median": ("tip", 0.5)},
         sums={
-            "all_rows": F.col("n"),
-            "with_tip_value": F.when(F.col("value").isNotNull(), F.col("n")),
-            "ratio_sum": F.col("value") * F.col("n"),
-            "without_tip": F.when(F.col("value") == 0, F.col("n")).otherwise(0),
+            "all_rows": F.lit(1),
+            "with_tip_value": F.when(ratio.isNotNull(), 1),
+            "ratio_sum": ratio,
+            "without_tip": F.when(ratio == 0, 1).otherwise(0),
         },
     )
     mean = F.try_divide("ratio_sum", "with_tip_value")
@@ -148,18 +147,12 @@ def distance_bins(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame
 
 
 def outliers(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    """Tukey limits Q3 + 3 IQR and the trips beyond them, all from one histogram of one scan."""
-    speed = speed_mph(F.col("trip_distance"), F.col("duration_min"))
-    # Only the class of a speed is needed, so it is coded into three values: 1 fast, -1 slow, 0 other.
-    speed_class = F.when(speed > FAST_MPH, 1).when(speed < SLOW_MPH, -1).otherwise(0)
-    histogram = value_histogram(
-        clean_trips(trips),
-        ["taxi_type"],
-        {"fare": F.col("fare_amount"), "distance": F.col("trip_distance"), "speed": speed_class},
-    )
-    quartiles = histogram_quantiles(
-        histogram,
+    """Tukey limits Q3 + 3 IQR, and the trips beyond them counted in one more pass."""
+    clean = clean_trips(trips)
+    quartiles = exact_quantiles(
+        clean,
         ["taxi_type"],
+        {"fare": F.col("fare_amount"), "distance": F.col("trip_distance")},
         {
             "fare_q1": ("fare", 0.25),
             "fare_q3": ("fare", 0.75),
@@ -177,25 +170,18 @@ def outliers(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
         limit("fare").alias("limite_tarifa"),
         limit("distance").alias("limite_distancia"),
     )
-
-    def count_where(measure: str, condition):
-        hit = (F.col("measure") == measure) & condition
-        return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
-
-    # One row of limits per taxi type: small whatever the number of trips. A plain equality would
-    # filter this side by "not NULL", and Spark would count a second histogram for it.
-    same_type = F.col("taxi_type").eqNullSafe(F.col("limit_of"))
-    with_limits = histogram.join(F.broadcast(limits), same_type)
-    counts = with_limits.groupBy("taxi_type").agg(
-        count_where("fare", F.lit(True)).alias("viajes"),
+    speed = speed_mph(F.col("trip_distance"), F.col("duration_min"))
+    # One row of limits per taxi type: small whatever the number of trips.
+    with_limits = clean.join(F.broadcast(limits), F.col("taxi_type").eqNullSafe(F.col("limit_of")))
+    return with_limits.groupBy("taxi_type").agg(
+        F.count("*").alias("viajes"),
         F.any_value("limite_tarifa").alias("limite_tarifa"),
-        count_where("fare", F.col("value") > F.col("limite_tarifa")).alias("tarifas_atipicas"),
+        F.count_if(F.col("fare_amount") > F.col("limite_tarifa")).alias("tarifas_atipicas"),
         F.any_value("limite_distancia").alias("limite_distancia"),
-        count_where("distance", F.col("value") > F.col("limite_distancia")).alias("distancias_atipicas"),
-        count_where("speed", F.col("value") == 1).alias("velocidad_mayor_80mph"),
-        count_where("speed", F.col("value") == -1).alias("velocidad_menor_1mph"),
+        F.count_if(F.col("trip_distance") > F.col("limite_distancia")).alias("distancias_atipicas"),
+        F.count_if(speed > FAST_MPH).alias("velocidad_mayor_80mph"),
+        F.count_if(speed < SLOW_MPH).alias("velocidad_menor_1mph"),
     )
-    return counts
 
 
 def extreme_fares(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
@@ -216,35 +202,21 @@ def rule_report(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
 
 
 def fare_per_mile(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    """Median fare and mean fare per mile by distance band.
-
-    The histogram also carries the sum of fare per mile. It is settled because the
-    quantile step and the group sums read different columns of it, and Spark would
-    otherwise scan the trips once for each.
-    """
-    keys = ["taxi_type", "orden"]
-    cells = (
-        clean_trips(trips)
-        .groupBy(
-            "taxi_type",
-            labels.distance_band_order(F.col("trip_distance")).alias("orden"),
-            F.col("fare_amount").alias("value"),
-        )
-        .agg(F.count("*").alias("n"), F.sum(F.col("fare_amount") / F.col("trip_distance")).alias("per_mile"))
-        .withColumn("measure", F.lit("fare"))
-    )
-    stats = histogram_quantiles(
-        settle(cells),
-        keys,
+    """Median fare and mean fare per mile by distance band, in the order of the bands."""
+    banded = clean_trips(trips).withColumn("orden", labels.distance_band_order(F.col("trip_distance")))
+    stats = exact_quantiles(
+        banded,
+        ["taxi_type", "orden"],
+        {"fare": F.col("fare_amount")},
         {"median": ("fare", 0.5)},
-        sums={"viajes": F.col("n"), "per_mile_sum": F.col("per_mile")},
+        sums={"rows": F.lit(1), "per_mile_sum": F.col("fare_amount") / F.col("trip_distance")},
     )
-    return stats.select(
+    return stats.orderBy("taxi_type", "orden").select(
         "taxi_type",
         labels.distance_band_name(F.col("orden")).alias("tramo_millas"),
-        "viajes",
+        F.col("rows").cast("bigint").alias("viajes"),
         round_to(F.col("median"), 2).alias("tarifa_mediana"),
-        round_to(F.col("per_mile_sum") / F.col("viajes"), 2).alias("tarifa_por_milla_media"),
+        round_to(F.col("per_mile_sum") / F.col("rows"), 2).alias("tarifa_por_milla_media"),
     )
 
 
@@ -258,20 +230,20 @@ def pickup_boroughs(trips: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 EDA = {
-    "q4_p1_viajes_mensuales": monthly_trips,
+    "q4_p1_viajes_mensuales": ordered(monthly_trips, "taxi_type", "src_year", "src_month"),
     "q4_p1b_viajes_diarios": unusual_days,
-    "q4_p2_demanda_por_hora": hourly_demand,
-    "q4_p3_demanda_dia_semana": weekday_demand,
+    "q4_p2_demanda_por_hora": ordered(hourly_demand, "taxi_type", "hora"),
+    "q4_p3_demanda_dia_semana": ordered(weekday_demand, "taxi_type", "dia_iso"),
     "q4_p4_caracteristicas_viaje": trip_quantiles,
-    "q4_p4b_pasajeros": passengers,
+    "q4_p4b_pasajeros": ordered(passengers, "taxi_type", "-viajes"),
     "q4_p5_amarillo_vs_verde": type_comparison,
-    "q4_p6_metodos_de_pago": payment_methods,
-    "q4_p6b_propina_tarjeta": card_tips,
-    "q4_p7_histograma_tarifa": fare_bins,
-    "q4_p7b_histograma_distancia": distance_bins,
+    "q4_p6_metodos_de_pago": ordered(payment_methods, "taxi_type", "-viajes"),
+    "q4_p6b_propina_tarjeta": ordered(card_tips, "taxi_type", "src_year"),
+    "q4_p7_histograma_tarifa": ordered(fare_bins, "taxi_type", "tarifa_desde"),
+    "q4_p7b_histograma_distancia": ordered(distance_bins, "taxi_type", "milla_desde"),
     "q4_p8_valores_atipicos": outliers,
     "q4_p8b_top_extremos": extreme_fares,
     "q4_p9_reglas_limpieza": rule_report,
     "q4_p10_tarifa_por_milla": fare_per_mile,
-    "q4_p11_zonas_recogida": pickup_boroughs,
+    "q4_p11_zonas_recogida": ordered(pickup_boroughs, "taxi_type", "-viajes"),
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tripmart.functions.labels import CARD
 from tripmart.functions.semantics import hour_of_day, percent, period_start, round_to
 from tripmart.operators.clean import clean_trips, duration_minutes, is_clean
-from tripmart.operators.shaping import distinct_sorted, with_share
+from tripmart.operators.shaping import distinct_sorted, ordered, with_share
 
 YEAR = ["taxi_type", "src_year"]
 MONTH = [*YEAR, "src_month"]
@@ -148,11 +148,11 @@ def green_share(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
 
 
 EVOLUTION = {
-    "q8_0_meses_comunes": months_present,
-    "q8_1_resumen_anual_mismos_meses": yearly_summary,
-    "q8_2_variacion_interanual": yearly_change,
-    "q8_3_hora_pico_por_anio": peak_hour,
-    "q8_4_mezcla_de_pago_por_anio": yearly_payment_mix,
-    "q8_5_calidad_por_anio": yearly_quality,
-    "q8_6_participacion_verde": green_share,
+    "q8_0_meses_comunes": ordered(months_present, "taxi_type", "src_month"),
+    "q8_1_resumen_anual_mismos_meses": ordered(yearly_summary, "taxi_type", "src_year"),
+    "q8_2_variacion_interanual": ordered(yearly_change, "taxi_type", "src_year"),
+    "q8_3_hora_pico_por_anio": ordered(peak_hour, "taxi_type", "src_year"),
+    "q8_4_mezcla_de_pago_por_anio": ordered(yearly_payment_mix, "taxi_type", "src_year", "-viajes"),
+    "q8_5_calidad_por_anio": ordered(yearly_quality, "taxi_type", "src_year"),
+    "q8_6_participacion_verde": ordered(green_share, "periodo"),
 }

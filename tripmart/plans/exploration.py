@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripmart.functions.semantics import hours_between, in_month
 from tripmart.operators.profile import profile
-from tripmart.operators.shaping import top_n
+from tripmart.operators.shaping import ordered, top_n
 
 PROFILED = [
     "pickup_ts", "dropoff_ts", "passenger_count", "trip_distance", "ratecode_id",
@@ -103,12 +103,12 @@ def code_lists(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
 
 
 EXPLORATION = {
-    "q3_2_registros_por_tipo_anio": rows_by_type_year,
+    "q3_2_registros_por_tipo_anio": ordered(rows_by_type_year, "taxi_type", "src_year", "registros"),
     "q3_5_muestra_aleatoria": random_sample,
     "q3_5b_primeros_por_tipo": first_by_type,
     "q3_6_resumen_estadistico": column_profile,
     "q3_6b_nulos_por_tipo": nulls_by_type,
     "q3_6c_anomalias_basicas": basic_anomalies,
-    "q3_7_rango_fechas": date_range_by_period,
-    "q3_7b_catalogos": code_lists,
+    "q3_7_rango_fechas": ordered(date_range_by_period, "taxi_type", "src_year", "src_month", "primera_recogida", "ultima_recogida", "registros"),
+    "q3_7b_catalogos": ordered(code_lists, "campo", "taxi_type", "-registros"),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.operators.shaping import distinct_sorted, wide
+from tripmart.operators.shaping import distinct_sorted, ordered, wide
 
 MONTH = ["taxi_type", "src_year", "src_month"]
 
@@ -34,7 +34,7 @@ def months_present(trips: DataFrame, zones: DataFrame | None = None) -> DataFram
 
 
 INCORPORATION = {
-    "q5_2_consulta_conjunta_por_mes": months_by_year,
+    "q5_2_consulta_conjunta_por_mes": ordered(months_by_year, "taxi_type", "mes"),
     "q5_3_sin_archivos_duplicados": duplicated_periods,
-    "q5_4_meses_presentes": months_present,
+    "q5_4_meses_presentes": ordered(months_present, "taxi_type", "src_year", "meses_presentes"),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tripmart.functions import labels
 from tripmart.functions.semantics import hour_of_day, percent, period_start, round_to, speed_mph
 from tripmart.operators.clean import clean_trips, is_clean
-from tripmart.operators.shaping import with_share
+from tripmart.operators.shaping import ordered, with_share
 
 MONTH = ["taxi_type", "src_year", "src_month"]
 TOP_ZONES = 10
@@ -120,14 +120,14 @@ def monthly_quality(trips: DataFrame, zones: DataFrame | None = None) -> DataFra
 
 
 INDICATORS = {
-    "ind_01_viajes_mensuales": monthly_trips,
-    "ind_02_ingreso_mensual": monthly_revenue,
-    "ind_03_demanda_por_hora": hourly_demand,
-    "ind_04_viaje_tipico_mensual": typical_trip,
-    "ind_05_metodo_pago_anual": yearly_payment,
-    "ind_06_propina_mensual": monthly_tip,
-    "ind_07_distribucion_distancia": distance_distribution,
-    "ind_08_top_zonas_recogida": top_pickup_zones,
-    "ind_09_velocidad_por_hora": hourly_speed,
-    "ind_10_calidad_mensual": monthly_quality,
+    "ind_01_viajes_mensuales": ordered(monthly_trips, "taxi_type", "periodo"),
+    "ind_02_ingreso_mensual": ordered(monthly_revenue, "taxi_type", "periodo"),
+    "ind_03_demanda_por_hora": ordered(hourly_demand, "taxi_type", "dia_tipo", "hora"),
+    "ind_04_viaje_tipico_mensual": ordered(typical_trip, "taxi_type", "periodo"),
+    "ind_05_metodo_pago_anual": ordered(yearly_payment, "taxi_type", "src_year", "-viajes"),
+    "ind_06_propina_mensual": ordered(monthly_tip, "taxi_type", "periodo"),
+    "ind_07_distribucion_distancia": ordered(distance_distribution, "taxi_type", "orden"),
+    "ind_08_top_zonas_recogida": ordered(top_pickup_zones, "taxi_type", "posicion"),
+    "ind_09_velocidad_por_hora": ordered(hourly_speed, "taxi_type", "hora"),
+    "ind_10_calidad_mensual": ordered(monthly_quality, "taxi_type", "periodo"),
 }

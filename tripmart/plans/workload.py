@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripmart.functions.semantics import hour_of_day
 from tripmart.operators.quantiles import exact_quantiles
-from tripmart.operators.shaping import top_n
+from tripmart.operators.shaping import ordered, top_n
 
 TOP_PAIRS = 20
 
@@ -69,12 +69,12 @@ def fare_quantiles(trips: DataFrame, zones: DataFrame | None = None) -> DataFram
 
 WORKLOAD = {
     "b1_conteo": count_rows,
-    "b2_agregado_por_tipo": totals_by_type,
-    "b3_viajes_por_hora": trips_by_hour,
-    "b4_mensual_por_pago": monthly_by_payment,
+    "b2_agregado_por_tipo": ordered(totals_by_type, "taxi_type"),
+    "b3_viajes_por_hora": ordered(trips_by_hour, "taxi_type", "hora"),
+    "b4_mensual_por_pago": ordered(monthly_by_payment, "taxi_type", "src_year", "src_month", "payment_type"),
     "b5_top_pares_de_zonas": top_zone_pairs,
     "b6_filtro_selectivo": selective_filter,
-    "b7_percentiles_tarifa": fare_quantiles,
+    "b7_percentiles_tarifa": ordered(fare_quantiles, "taxi_type"),
 }
 
 # Columns that identify a result row of each query, for comparing two sources.

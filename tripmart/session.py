@@ -14,6 +14,8 @@ STATIC_SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+HELD_ROWS = 20_000
+
 _SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -58,10 +60,11 @@ def small_table(spark: SparkSession, **columns: list) -> DataFrame:
     return spark.createDataFrame(pa.table(columns))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write an aggregated result once so that several consumers do not recompute it.
+def held(df: DataFrame) -> DataFrame:
+    """An aggregated result as rows known to the planner, so that it is computed once and may be broadcast.
 
-    A reliable checkpoint in the shared folder: losing executors does not lose it.
+    At most HELD_ROWS rows pass through the driver. A larger result stays a plan like any other: it is computed
+    where it is used, and joins with it are shuffled.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    rows = df.limit(HELD_ROWS + 1).toArrow()
+    return df if rows.num_rows > HELD_ROWS else df.sparkSession.createDataFrame(rows, df.schema)

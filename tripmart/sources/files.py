@@ -7,6 +7,7 @@ file or, as Spark writes it, a directory of part files; counts per source are th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,8 @@ def source_of(path: Column) -> Column:
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
     """All Parquet files below a folder: (path, source, length). File contents are not read.
 
-    Spark plans a task per block of data; as none of it is read, tasks are merged to the cluster's size.
+    Spark plans a task per block of data; as none of it is read, tasks are merged to the number of shuffle
+    partitions, which does not depend on how many executors have started.
     """
     files = (
         spark.read.format("binaryFile")
@@ -44,22 +46,35 @@ def file_listing(spark: SparkSession, root: str) -> DataFrame:
     )
     path = F.col("_metadata.file_path")
     listed = files.select(path.alias("path"), source_of(path).alias("source"), "length")
-    return listed.coalesce(spark.sparkContext.defaultParallelism)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return listed.coalesce(tasks)
+
+
+# Address schemes of object stores, as Spark names them, and the names of their file systems.
+_SCHEMES = {"s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs"}
+
+
+@lru_cache(maxsize=64)
+def _file_system(scheme: str, host: str):
+    """One handle for each store and Python worker; an unknown scheme is an error."""
+    from pyarrow import fs
+
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem()
+    if scheme not in _SCHEMES:
+        raise ValueError(f"no file system for {scheme}://{host}")
+    return fs.FileSystem.from_uri(f"{_SCHEMES[scheme]}://{host}/")[0]
 
 
 def _open(path: str):
     """Open a file by the address Spark lists it under."""
     from urllib.parse import unquote, urlparse
 
-    from pyarrow import fs
-
     url = urlparse(path)
-    if url.scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_file(unquote(url.path))
-    system, _ = fs.FileSystem.from_uri(f"{url.scheme}://{url.netloc}/")
     inner = unquote(url.path)
-    # Object stores address files as bucket/key, HDFS by absolute path.
-    return system.open_input_file(inner if url.scheme in ("hdfs", "viewfs") else url.netloc + inner)
+    # Object stores address files as bucket/key, HDFS and local disks by absolute path.
+    whole = inner if url.scheme in ("", "file", "hdfs", "viewfs") else url.netloc.split("@")[0] + inner
+    return _file_system(url.scheme, url.netloc).open_input_file(whole)
 
 
 def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

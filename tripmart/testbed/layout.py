@@ -75,7 +75,8 @@ def raw_layout(spark: SparkSession, sf_dir: str) -> Layout:
 def write_raw(table: DataFrame, zones: DataFrame, target: Layout) -> None:
     """Write a trips table as raw files of three generations, and the zones as CSV.
 
-    Each write reads only its own folders of the table, whose rows are grouped by period already.
+    Each write reads only its own folders of the table, whose rows are grouped by period already, and replaces only
+    its own periods, so that a repeated write doubles nothing.
     """
     year = F.col("src_year")
     generations = [
@@ -89,14 +90,15 @@ def write_raw(table: DataFrame, zones: DataFrame, target: Layout) -> None:
             files = rows.select(
                 *raw_columns(taxi_type, number), F.col("src_year").alias("anio"), F.col("filename").alias("archivo")
             )
-            files.write.mode("append").partitionBy("anio", "archivo").parquet(f"{target.raw}/{taxi_type}")
+            writer = files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("anio", "archivo").parquet(f"{target.raw}/{taxi_type}")
     named = zones.select(
         F.col("location_id").alias("LocationID"),
         F.col("borough").alias("Borough"),
         F.col("zone").alias("Zone"),
         "service_zone",
     )
-    named.write.option("header", "true").csv(target.zones_csv)
+    named.write.mode("overwrite").option("header", "true").csv(target.zones_csv)
 
 
 def raw_columns(taxi_type: str, generation: int) -> list:

