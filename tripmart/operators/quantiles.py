@@ -11,9 +11,6 @@ hold a rank are sorted. A group whose values all lie in one bucket is thus still
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +51,19 @@ def _step(value: Column, low: Column, high: Column) -> Column:
     return F.when((width > 0) & (width < F.lit(float("inf"))), cut).otherwise(F.lit(0))
 
 
-def _holds(start: Column, size: Column, rank: Column) -> Column:
-    return (start <= rank) & (rank < start + size)
+# Conditions over many measures and ranks are written as SQL text: one call for each instead of dozens.
+
+
+def _position(fraction: float) -> str:
+    return f"(total - 1) * {float(fraction)!r}D"
+
+
+def _holds(start: str, size: str, measure: str, rank: str) -> str:
+    return f"(measure = '{measure}' AND {start} <= {rank} AND {rank} < {start} + {size})"
+
+
+def _same(left: str, right: str, columns: list[str]) -> Column:
+    return F.expr(" AND ".join(f"{left}.`{c}` <=> {right}.`{c}`" for c in columns))
 
 
 def _located(df: DataFrame, keys: list[str], measures: Mapping[str, Column], wanted, sums) -> DataFrame:
@@ -65,14 +73,14 @@ def _located(df: DataFrame, keys: list[str], measures: Mapping[str, Column], wan
     """
     cell = [*keys, "measure", "bucket"]
 
-    def needed(start: Column, size: Column) -> Column:
+    def needed(start: str, size: str) -> Column:
         ranks = [
-            (F.col("measure") == measure) & _holds(start, size, edge((F.col("total") - 1) * F.lit(fraction)))
-            for measure, fraction in set(wanted.values())
-            for edge in (F.floor, F.ceil)
+            _holds(start, size, measure, f"{edge}({_position(fraction)})")
+            for measure, fraction in sorted(set(wanted.values()))
+            for edge in ("floor", "ceil")
         ]
         # A group of NULLs only has no bucket to look into but still gets its row.
-        return reduce(or_, ranks, F.col("bucket").isNull())
+        return F.expr(" OR ".join([*ranks, "bucket IS NULL"]))
 
     counts = _cells(df, keys, measures, sums).groupBy(*cell).agg(
         F.count("value").alias("size"), F.min("value").alias("low"), F.max("value").alias("high"),
@@ -86,13 +94,10 @@ def _located(df: DataFrame, keys: list[str], measures: Mapping[str, Column], wan
         F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"),
         *[F.sum(name).over(Window.partitionBy(*keys)).alias(name) for name in sums],
     )
-    chosen = held(buckets.where(needed(F.col("start"), F.col("size"))).drop("size"))
-
-    def same(left: str, right: str, columns: list[str]) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
+    chosen = held(buckets.where(needed("start", "size")).drop("size"))
 
     carried = ["total", "start", *sums]
-    found = _cells(df, keys, measures, {}).alias("v").join(chosen.alias("c"), same("v", "c", cell))
+    found = _cells(df, keys, measures, {}).alias("v").join(chosen.alias("c"), _same("v", "c", cell))
     values = (
         found.select(
             *[F.col(f"v.{c}").alias(c) for c in cell], "value", _step(F.col("value"), F.col("low"), F.col("high")).alias("step"), *carried
@@ -103,9 +108,9 @@ def _located(df: DataFrame, keys: list[str], measures: Mapping[str, Column], wan
     before = Window.partitionBy(*cell).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     steps = values.groupBy(*cell, "step", "total", "start").agg(F.sum("n").alias("step_n"))
     step_start = F.col("start") + F.coalesce(F.sum("step_n").over(before), F.lit(0))
-    steps = steps.withColumn("step_start", step_start).where(needed(F.col("step_start"), F.col("step_n")))
+    steps = steps.withColumn("step_start", step_start).where(needed("step_start", "step_n"))
     v, s = values.alias("v"), steps.select(*cell, "step", "step_start").alias("s")
-    return v.join(s, same("v", "s", [*cell, "step"])).select(
+    return v.join(s, _same("v", "s", [*cell, "step"])).select(
         *[F.col(f"v.{c}").alias(c) for c in [*cell, "step"]], "value", "n", "total", F.col("step_start").alias("start"), *sums
     )
 
@@ -128,24 +133,17 @@ def exact_quantiles(
     preceding = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("start", F.col("start") + F.coalesce(preceding, F.lit(0)))
 
-    def position(fraction: float) -> Column:
-        return (F.col("total") - 1) * F.lit(fraction)
-
-    def value_at(measure: str, rank: Column) -> Column:
-        hit = (F.col("measure") == measure) & _holds(F.col("start"), F.col("n"), rank)
-        return F.max(F.when(hit & F.col("value").isNotNull(), F.col("value")))
-
     parts, results = [], []
     for name, (measure, fraction) in wanted.items():
-        low, high, at = f"{name}__low", f"{name}__high", f"{name}__at"
-        parts += [
-            value_at(measure, F.floor(position(fraction))).alias(low),
-            value_at(measure, F.ceil(position(fraction))).alias(high),
-            F.max(F.when(F.col("measure") == measure, position(fraction))).alias(at),
-        ]
-        above = F.col(at) - F.floor(at)
-        between = F.col(low) * (F.lit(1.0) - above) + F.col(high) * above
+        low, high, at = f"`{name}__low`", f"`{name}__high`", f"`{name}__at`"
+        for end, edge in ((low, "floor"), (high, "ceil")):
+            hit = _holds("start", "n", measure, f"{edge}({_position(fraction)})")
+            parts.append(F.expr(f"max(CASE WHEN {hit} THEN value END) AS {end}"))
+        parts.append(F.expr(f"max(CASE WHEN measure = '{measure}' THEN {_position(fraction)} END) AS {at}"))
+        above = f"({at} - floor({at}))"
         # Equal neighbours need no interpolation, and two infinite ones allow none.
-        results.append(F.when(F.col(low) == F.col(high), F.col(low)).otherwise(between).alias(name))
+        results.append(
+            F.expr(f"CASE WHEN {low} = {high} THEN {low} ELSE {low} * (1D - {above}) + {high} * {above} END AS `{name}`")
+        )
     picked = rows.groupBy(*keys).agg(*parts, *[F.max(name).alias(name) for name in sums])
     return picked.select(*keys, *results, *sums)

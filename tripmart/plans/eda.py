@@ -9,7 +9,7 @@ from tripmart.functions import labels
 from tripmart.functions.semantics import day_name, day_of, hour_of_day, iso_weekday, percent, round_to, speed_mph
 from tripmart.operators.clean import clean_trips, is_clean, rules
 from tripmart.operators.quantiles import exact_quantiles
-from tripmart.operators.shaping import ordered, top_n, with_share
+from tripmart.operators.shaping import in_order, ordered, top_n, with_share
 
 UNUSUAL_DAYS = 15
 EXTREME_TRIPS = 10
@@ -211,7 +211,7 @@ def fare_per_mile(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame
         {"median": ("fare", 0.5)},
         sums={"rows": F.lit(1), "per_mile_sum": F.col("fare_amount") / F.col("trip_distance")},
     )
-    return stats.orderBy("taxi_type", "orden").select(
+    return in_order(stats, "taxi_type", "orden").select(
         "taxi_type",
         labels.distance_band_name(F.col("orden")).alias("tramo_millas"),
         F.col("rows").cast("bigint").alias("viajes"),
