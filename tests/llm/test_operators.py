@@ -217,6 +217,53 @@ def test_passages(spark):
     assert got[2]["n_removed"] == 1 and got[1]["n_removed"] == 0
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Rows that repeat an id or a label count once; null and other labels and held-out ids are not learned from."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.extend(zip(texts, labels, strict=True)))
+    docs = spark.createDataFrame([(i % 20, f"text {i % 20} {i}") for i in range(200)] + [(None, "x"), (3, None), (4, "")], "doc_id long, text string")
+    labels = [(i % 20, int(i % 20 < 5)) for i in range(40)] + [(None, 1), (7, None), (8, 2)]
+    toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), rows=4)
+    ids = [t.split()[1] for t, _ in seen]
+    assert len(ids) == len(set(ids)) and sum(x for _, x in seen) <= 4 and 4 < len(seen) <= 8
+    held = spark.createDataFrame([(int(i),) for i in ids], "i long").where(toxicity.held_out(F.col("i"))).count()
+    assert held == 0
+
+
+def test_empty_tables(spark):
+    """Every operator gives no rows for no rows."""
+    none = spark.createDataFrame([], DOCS)
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert simhash.simhash_groups(none).count() == simhash.keep_one(none).count() == 0
+    assert suffix_dedup.cut_repeats(none).count() == passage_dedup.document_classes(none).count() == 0
+    assert decontamination.decontaminate(none, items).count() == 0
+    model = toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score_toxicity(none, model).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    rules = spark.createDataFrame([("allow", "org/")], "verdict string, rule string")
+    assert url_filter.filter_urls(pages, rules).count() == html_extraction.extract_text(pages).count() == 0
+    full = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    found = decontamination.decontaminate(full, items.limit(0)).collect()
+    assert sorted((r["row"]["doc_id"], r["n_hit"], r["items"]) for r in found) == [(1, 0, []), (2, 0, [])]
+    calls = spark.createDataFrame([], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    assert chat_format.link_calls(calls, spark.createDataFrame([], "conv_id long, call_id string, result string"), {}).count() == 0
+
+
+def test_clashing_columns(docs, spark):
+    """Columns of the input that carry an operator's own names come back unharmed."""
+    _, df = docs
+    wide = df.limit(40).withColumns({"score": F.lit("mine"), "kept": F.lit("mine"), "print": F.lit("mine"), "words": F.lit("mine")})
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    for made in (suffix_dedup.cut_repeats(wide), decontamination.decontaminate(wide, items), toxicity.score_toxicity(wide, toxicity.train([], []))):
+        row = made.select("row.*")
+        assert row.count() == 40 and row.where("score = 'mine' AND kept = 'mine' AND print = 'mine' AND row = 'clash'").count() == 40
+    assert simhash.keep_one(wide).where("print = 'mine'").count() > 0
+    pages = spark.createDataFrame([(1, "http://a.org/", "<p>x", "old", "old")], "page_id long, url string, html string, text string, host string")
+    rules = spark.createDataFrame([("allow", "org/")], "verdict string, rule string")
+    assert html_extraction.extract_text(pages).first()["text"] == "x"
+    assert url_filter.filter_urls(pages, rules).first()["host"] == "a.org"
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0

@@ -307,8 +307,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     # the window keeps only the first rows of each label; ids alone are ranked, texts join later
     chosen = named.withColumn("place", place).where(F.col("place") <= rows).drop("place")
     usable = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
-    sample = usable.join(F.broadcast(chosen), usable["doc_id"] == chosen["label_id"]).select("doc_id", "text", "toxic")
-    sample = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["text"]))
+    # an id that many rows repeat gives one text, so the sample's bound holds
+    sample = (
+        usable.join(F.broadcast(chosen), usable["doc_id"] == chosen["label_id"])
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("text").alias("text"))
+    )
+    sample = sorted(sample.collect(), key=lambda r: r["doc_id"])
     return train([r["text"] for r in sample], [r["toxic"] for r in sample])
 
 
