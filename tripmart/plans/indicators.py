@@ -14,7 +14,7 @@ MONTH = ["taxi_type", "src_year", "src_month"]
 TOP_ZONES = 10
 
 
-def _by_month(rows: DataFrame, *measures) -> DataFrame:
+def by_month(rows: DataFrame, *measures) -> DataFrame:
     """Aggregate per taxi type and source month, with the month shown as a date."""
     months = rows.groupBy(*MONTH).agg(*measures)
     period = period_start(F.col("src_year"), F.col("src_month")).alias("periodo")
@@ -22,11 +22,11 @@ def _by_month(rows: DataFrame, *measures) -> DataFrame:
 
 
 def monthly_trips(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    return _by_month(clean_trips(trips), F.count("*").alias("viajes"))
+    return by_month(clean_trips(trips), F.count("*").alias("viajes"))
 
 
 def monthly_revenue(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    return _by_month(
+    return by_month(
         clean_trips(trips),
         round_to(F.sum("total_amount"), 2).alias("ingreso_total"),
         round_to(F.avg("total_amount"), 2).alias("ingreso_por_viaje"),
@@ -43,7 +43,7 @@ def hourly_demand(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame
 
 
 def typical_trip(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
-    return _by_month(
+    return by_month(
         clean_trips(trips),
         round_to(F.avg("fare_amount"), 2).alias("tarifa_media"),
         round_to(F.avg("trip_distance"), 2).alias("distancia_media_mi"),
@@ -62,7 +62,7 @@ def yearly_payment(trips: DataFrame, zones: DataFrame | None = None) -> DataFram
 
 def monthly_tip(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     by_card = clean_trips(trips).where(F.col("payment_type") == labels.CARD)
-    return _by_month(
+    return by_month(
         by_card,
         round_to(F.lit(100) * F.avg(F.col("tip_amount") / F.col("fare_amount")), 2).alias("pct_propina_medio"),
         round_to(percent(F.count_if(F.col("tip_amount") == 0), F.count("*")), 2).alias("pct_sin_propina"),
@@ -75,6 +75,11 @@ def distance_distribution(trips: DataFrame, zones: DataFrame | None = None) -> D
         .groupBy("taxi_type", labels.distance_band_order(F.col("trip_distance")).alias("orden"))
         .agg(F.count("*").alias("viajes"))
     )
+    return named_bands(counts)
+
+
+def named_bands(counts: DataFrame) -> DataFrame:
+    """Shares of the distance bands, from trips per ``taxi_type, orden``."""
     shares = with_share(counts, ["taxi_type"])
     return shares.select(
         "taxi_type", labels.distance_band_name(F.col("orden")).alias("tramo_millas"), "orden", "viajes", "pct"
@@ -114,20 +119,41 @@ def hourly_speed(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
 
 def monthly_quality(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """All and kept rows in one pass over the trips."""
-    counts = _by_month(trips, F.count("*").alias("registros"), F.count_if(is_clean()).alias("conservados"))
+    counts = by_month(trips, F.count("*").alias("registros"), F.count_if(is_clean()).alias("conservados"))
+    return quality(counts)
+
+
+def quality(counts: DataFrame) -> DataFrame:
+    """Adds the share that cleaning drops."""
     dropped = F.col("registros") - F.col("conservados")
     return counts.withColumn("pct_descartado", round_to(percent(dropped, F.col("registros")), 2))
 
 
-INDICATORS = {
-    "ind_01_viajes_mensuales": ordered(monthly_trips, "taxi_type", "periodo"),
-    "ind_02_ingreso_mensual": ordered(monthly_revenue, "taxi_type", "periodo"),
-    "ind_03_demanda_por_hora": ordered(hourly_demand, "taxi_type", "dia_tipo", "hora"),
-    "ind_04_viaje_tipico_mensual": ordered(typical_trip, "taxi_type", "periodo"),
-    "ind_05_metodo_pago_anual": ordered(yearly_payment, "taxi_type", "src_year", "-viajes"),
-    "ind_06_propina_mensual": ordered(monthly_tip, "taxi_type", "periodo"),
-    "ind_07_distribucion_distancia": ordered(distance_distribution, "taxi_type", "orden"),
-    "ind_08_top_zonas_recogida": ordered(top_pickup_zones, "taxi_type", "posicion"),
-    "ind_09_velocidad_por_hora": ordered(hourly_speed, "taxi_type", "hora"),
-    "ind_10_calidad_mensual": ordered(monthly_quality, "taxi_type", "periodo"),
+# How each result is sorted; "-" means from high to low.
+ORDERS = {
+    "ind_01_viajes_mensuales": ("taxi_type", "periodo"),
+    "ind_02_ingreso_mensual": ("taxi_type", "periodo"),
+    "ind_03_demanda_por_hora": ("taxi_type", "dia_tipo", "hora"),
+    "ind_04_viaje_tipico_mensual": ("taxi_type", "periodo"),
+    "ind_05_metodo_pago_anual": ("taxi_type", "src_year", "-viajes"),
+    "ind_06_propina_mensual": ("taxi_type", "periodo"),
+    "ind_07_distribucion_distancia": ("taxi_type", "orden"),
+    "ind_08_top_zonas_recogida": ("taxi_type", "posicion"),
+    "ind_09_velocidad_por_hora": ("taxi_type", "hora"),
+    "ind_10_calidad_mensual": ("taxi_type", "periodo"),
 }
+
+_PLANS = {
+    "ind_01_viajes_mensuales": monthly_trips,
+    "ind_02_ingreso_mensual": monthly_revenue,
+    "ind_03_demanda_por_hora": hourly_demand,
+    "ind_04_viaje_tipico_mensual": typical_trip,
+    "ind_05_metodo_pago_anual": yearly_payment,
+    "ind_06_propina_mensual": monthly_tip,
+    "ind_07_distribucion_distancia": distance_distribution,
+    "ind_08_top_zonas_recogida": top_pickup_zones,
+    "ind_09_velocidad_por_hora": hourly_speed,
+    "ind_10_calidad_mensual": monthly_quality,
+}
+
+INDICATORS = {name: ordered(plan, *ORDERS[name]) for name, plan in _PLANS.items()}

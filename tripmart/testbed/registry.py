@@ -21,6 +21,7 @@ from tripmart.plans.evolution import EVOLUTION
 from tripmart.plans.exploration import EXPLORATION, column_profile, first_by_type, random_sample
 from tripmart.plans.incorporation import INCORPORATION
 from tripmart.plans.indicators import INDICATORS
+from tripmart.plans.marts import indicator_builders
 from tripmart.plans.workload import RESULT_KEYS, WORKLOAD
 from tripmart.session import configure, held, new_folder
 from tripmart.sources.files import file_listing, footer_metadata, footer_schema
@@ -156,10 +157,10 @@ def table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indicator_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the ten indicators as tables; rows of each and, as read back, the sum of each of its numbers."""
+    """Write the ten indicators as tables, from three passes over the trips; rows of each and, as read back, the sum of each of its numbers."""
     configure(spark)
     trips, zones = trips_table(spark, sf_dir), read_zones(spark, raw_layout(spark, sf_dir).zones_csv)
-    builds = {name: partial(build, trips, zones) for name, build in INDICATORS.items()}
+    builds = indicator_builders(trips, zones, new_folder(spark, "indicator-cells"))
     written, failed = materialize_indicators(builds, new_folder(spark, "indicators"))
     if failed:
         raise RuntimeError(f"indicators failed: {failed}")
