@@ -3,13 +3,17 @@
 import pytest
 
 import __spark_entry__ as contract
+from tests.builders import trip, trips
 from tests.conftest import SMALL
+from tripmart.plans.incorporation import duplicated_periods
 from tripmart.testbed.oracle import all_sql
 from tripmart.testbed.registry import all_queries
 
 QUERIES, SQL = all_queries(), all_sql()
 # Not expressible over the tables: a random draw, estimates, sizes of derived files.
 ROWS_ONLY = {"q3_5_muestra_aleatoria": 10, "q3_6_resumen_estadistico": 10, "q3_2c_filas_por_archivo": None}
+# A check that finds nothing: each period of the tables is one file.
+EMPTY = {"q5_3_sin_archivos_duplicados"}
 
 
 def test_all_queries_have_sql():
@@ -24,7 +28,12 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_rows(spark, name):
     rows = QUERIES[name](spark, SMALL).collect()
-    assert len(rows) == (ROWS_ONLY.get(name) or len(rows)) and rows
+    assert len(rows) == (ROWS_ONLY.get(name) or len(rows)) and bool(rows) != (name in EMPTY)
+
+
+def test_period_of_two_files_is_reported(spark):
+    data = trips(spark, [trip(), trip(), trip(filename="again.parquet"), trip(src_month=2)])
+    assert [tuple(r) for r in duplicated_periods(data).collect()] == [("yellow", 2024, 1, 2)]
 
 
 def test_results_add_up(spark):
