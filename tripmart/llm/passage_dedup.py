@@ -27,6 +27,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 MIN_WORDS = 14
 TILE = 512
+SMALL_RUN = 500_000  # shingles of a run that are compared as sets; more stay arrays, a tenth of the memory
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SENTENCE_END = re.compile(rb"(?<=[.!?])[ \t]+")
 
@@ -96,7 +97,7 @@ def find_units(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_unit_batches, "doc_id long, mark long, start int, end int, digest long, bands array<int>")
 
 
-def connect(keys: list[int], sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
+def connect(keys: list[int], sets: list[frozenset] | list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that connect what is similar, directly or in steps; what is connected is not compared again."""
     groups: list[list[int]] = []
     links = []
@@ -114,11 +115,11 @@ def connect(keys: list[int], sets: list[frozenset], similarity: float) -> list[t
     return links
 
 
-def _similar(a: frozenset, b: frozenset, similarity: float) -> bool:
+def _similar(a: frozenset | np.ndarray, b: frozenset | np.ndarray, similarity: float) -> bool:
     small, large = sorted((len(a), len(b)))
     if small < similarity * large:
         return False
-    both = len(a & b)
+    both = len(a & b) if isinstance(a, frozenset) else len(np.intersect1d(a, b, assume_unique=True))
     return both >= similarity * (len(a) + len(b) - both)
 
 
@@ -126,7 +127,9 @@ def _compare(similarity: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in sorted_runs(batches, ["band", "value", "tile"]):
             if run.num_rows > 1:
-                sets = [frozenset(np.frombuffer(s, np.int64).tolist()) for s in run.column("shingles").to_pylist()]
+                sets = [np.frombuffer(s, np.int64) for s in run.column("shingles").to_pylist()]
+                if sum(map(len, sets)) <= SMALL_RUN:
+                    sets = [frozenset(s.tolist()) for s in sets]
                 if links := connect(run.column("digest").to_pylist(), sets, similarity):
                     a, b = zip(*links, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
