@@ -1,10 +1,11 @@
 """Substring dedup by paragraph MinHash banding.
 
-Units are paragraphs (lines) of at least MIN_WORDS words and, inside paragraphs of several sentences, sentences of as many
-words. Equal units are collapsed by a digest. Paragraphs get BANDS x ROWS MinHash values of their word shingles: a pair at
+Units are paragraphs (lines) of at least MIN_WORDS words, inside paragraphs of several sentences, sentences of as many
+words, and windows of MIN_WORDS words over the whole text, which begin where their words say and so cover short lines, too. Equal units are collapsed by a digest. Paragraphs get BANDS x ROWS MinHash values of their word shingles: a pair at
 the wanted similarity shares a band with probability 1 - (1 - 0.8^ROWS)^BANDS, about 0.9998. Paragraphs
-that collide are compared by exact Jaccard similarity, and classes are connected components. Sentences take part by
-equality, which finds passages that stand in different surroundings.
+that collide are compared by exact Jaccard similarity, and classes are connected components. Sentences and windows take part by
+equality, which finds passages that stand in different surroundings: any 25 equal words in a row share a window. Two passages of
+51 words or more at the wanted similarity that differ by changed words have such a run, so windows need no bands.
 """
 
 from __future__ import annotations
@@ -29,7 +30,11 @@ MIN_WORDS = 14
 TILE = 512
 SMALL_RUN = 500_000  # shingles of a run that are compared as sets; more stay arrays, a tenth of the memory
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+STEP = 12  # of so many successive starts one begins a window
+LONG_WORD = 128  # bytes; longer runs without blanks are cut into pieces that count as words
 _SENTENCE_END = re.compile(rb"(?<=[.!?])[ \t]+")
+_BLANK = np.array([bytes([b]).isspace() for b in range(256)])
+_GRAM = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 7)], np.uint64)
 
 
 def units(text: bytes) -> list[tuple[int, int, bool]]:
@@ -51,6 +56,57 @@ def units(text: bytes) -> list[tuple[int, int, bool]]:
     return found
 
 
+def _cut_word(word: bytes) -> list[int]:
+    """Where pieces of a long word begin: at a quarter of its characters, chosen by the six bytes that follow."""
+    raw = np.frombuffer(word, np.uint8)
+    near = np.lib.stride_tricks.sliding_window_view(raw.astype(np.uint64), len(_GRAM)) @ _GRAM
+    near = (near ^ (near >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    cuts = (near >> np.uint64(62) == 0) & ((raw[: len(near)] & 0xC0) != 0x80)
+    return [0, *(np.flatnonzero(cuts[1:]) + 1).tolist()]
+
+
+def placed_words(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words, A-Z lower-cased, with their first and last byte positions (the last one exclusive)."""
+    words = text.lower().split()
+    blank = np.concatenate([[True], _BLANK[np.frombuffer(text, np.uint8)], [True]])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if len(words) and (ends - starts).max() > LONG_WORD:
+        pieces, first, last = [], [], []
+        for word, a, b in zip(words, starts.tolist(), ends.tolist(), strict=True):
+            cuts = _cut_word(word) if b - a > LONG_WORD else [0]
+            stops = [*cuts[1:], len(word)]
+            pieces += [word[i:j] for i, j in zip(cuts, stops, strict=True)]
+            first += [a + i for i in cuts]
+            last += [a + j for j in stops]
+        words, starts, ends = pieces, np.array(first), np.array(last)
+    return words, starts, ends
+
+
+def windows(text: bytes) -> list[tuple[int, int, bytes]]:
+    """``start, end`` (bytes) and words of runs of MIN_WORDS words that begin at places their own words choose.
+
+    Of any STEP successive starts the one with the least hash begins a window, so two texts that share MIN_WORDS + STEP - 1 words in
+    a row share a window wherever lines and sentences end. The first and the last words begin and end one: every word lies in
+    a window. A text of fewer words is one window.
+    """
+    words, starts, ends = placed_words(text)
+    if not words:
+        return []
+    size = min(len(words), MIN_WORDS)
+    n = len(words) - size + 1
+    begins = np.array([0, n - 1])
+    if n > STEP:
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        rank = sum(hashes[i : i + n] * f for i, f in enumerate(_GRAM))
+        rank = (rank ^ (rank >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        least = np.lib.stride_tricks.sliding_window_view(rank, STEP).argmin(axis=1)
+        begins = np.concatenate([begins, least + np.arange(len(least))])
+    begins = np.unique(begins)
+    places = zip(begins.tolist(), starts[begins].tolist(), ends[begins + size - 1].tolist(), strict=True)
+    return [(a, b, b" ".join(words[i : i + size])) for i, a, b in places]
+
+
 def normal(unit: bytes) -> bytes:
     return b" ".join(unit.lower().split())
 
@@ -71,30 +127,33 @@ def band_values(sets: list[list[int]]) -> np.ndarray:
 
 def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.int64()), ("bands", pa.list_(pa.int32()))]
-    )
+        [("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.int64()),
+         ("window", pa.bool_()), ("bands", pa.list_(pa.int32()))]
+    )
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
             rows, sets = [], []
             for doc, mark, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                for start, end, paragraph in units(text or b""):
-                    piece = normal(text[start:end])
+                found = [(start, end, normal(text[start:end]), False, paragraph) for start, end, paragraph in units(text or b"")]
+                lines = {(start, end) for start, end, _, _, _ in found}
+                found += [(start, end, piece, True, False) for start, end, piece in windows(text or b"") if (start, end) not in lines]
+                for start, end, piece, window, paragraph in found:
                     digest = xxhash.xxh3_64_intdigest(piece)
-                    rows.append((doc, mark, start, end, digest - (1 << 64) if digest >> 63 else digest, paragraph))
+                    rows.append((doc, mark, start, end, digest - (1 << 64) if digest >> 63 else digest, window, paragraph))
                     if paragraph:
                         sets.append(shingle_hashes(piece, SHINGLE))
             if not rows:
                 continue
             bands = iter(band_values(sets).tolist() if sets else [])
             columns = list(zip(*rows, strict=True))
-            lists = [next(bands) if p else [] for p in columns[5]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns[:5], lists], schema.types, strict=True)], schema=schema)
+            lists = [next(bands) if p else [] for p in columns[6]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns[:6], lists], schema.types, strict=True)], schema=schema)
 
 
 def find_units(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, start, end, digest, bands`` of every unit of ``doc_id, mark, bytes``."""
-    return docs.mapInArrow(_unit_batches, "doc_id long, mark long, start int, end int, digest long, bands array<int>")
+    """``doc_id, mark, start, end, digest, window, bands`` of every unit of ``doc_id, mark, bytes``; only lines have bands."""
+    return docs.mapInArrow(_unit_batches, "doc_id long, mark long, start int, end int, digest long, window boolean, bands array<int>")
 
 
 def connect(keys: list[int], sets: list[frozenset] | list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -198,7 +257,7 @@ def near_links(distinct: DataFrame, docs: DataFrame, similarity: float = SIMILAR
 
 
 def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, mark, start, end, root, class_size, class_doc, keep``: every unit that has an equal or near-equal elsewhere.
+    """``doc_id, mark, start, end, window, root, class_size, class_doc, keep``: every unit that has an equal or near-equal elsewhere.
 
     ``start, end`` are byte positions in the UTF-8 text; ``root`` names the class, ``class_doc`` is the smallest doc_id in it, and ``keep``
     marks its first unit (smallest doc_id, then start; equal rows are all first). ``mark`` is the text's hash. Null and empty texts have no
@@ -207,12 +266,17 @@ def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     body = docs[f"`{text}`"]
     plain = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.xxhash64(body).alias("mark"), body.cast("binary").alias("bytes"))
     found = stored(find_units(plain), "units")
+    lines = found.where(F.size("bands") > 0)
     distinct = stored(
-        found.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("doc_id", "mark", "start", "end", "bands")]), "distinct-units"
+        lines.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("doc_id", "mark", "start", "end", "bands")]), "distinct-units"
     )
-    roots = components(near_links(distinct, plain, similarity))
-    rooted = found.join(roots, found["digest"] == roots["node"], "left").select(
-        "doc_id", "mark", "start", "end", F.coalesce("root", "digest").alias("root")
+    roots = stored(components(near_links(distinct, plain, similarity)), "unit-roots")
+    # what stands once and is like nothing else goes before the wide joins: most windows do
+    twice = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    linked = roots.select(F.explode(F.array("node", "root")).alias("digest"))
+    again = stored(twice.union(linked).distinct(), "repeated-digests")
+    rooted = found.drop("bands").join(again, "digest").join(roots, F.col("digest") == roots["node"], "left").select(
+        "doc_id", "mark", "start", "end", "window", F.coalesce("root", "digest").alias("root")
     )
     rooted = stored(rooted, "rooted-units")
     classes = rooted.groupBy("root").agg(
@@ -221,18 +285,43 @@ def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = stored(classes.where("class_size > 1"), "classes")
     keep = F.struct("doc_id", "start").eqNullSafe(F.col("first"))
     return rooted.join(shared, "root").select(
-        "doc_id", "mark", "start", "end", "root", "class_size", "class_doc", keep.alias("keep")
+        "doc_id", "mark", "start", "end", "window", "root", "class_size", "class_doc", keep.alias("keep")
     )
 
 
+def passages(start: np.ndarray, end: np.ndarray, window: np.ndarray) -> int:
+    """How many lines and sentences there are, and runs of overlapping windows that touch none of them; sorted by ``start``."""
+    lines, reach = start[~window], np.maximum.accumulate(end[~window])
+    start, end = start[window], end[window]
+    if len(lines):
+        before = np.searchsorted(lines, end, "left")
+        apart = (before == 0) | (reach[np.maximum(before - 1, 0)] <= start)
+        start, end = start[apart], end[apart]
+    runs = 1 + int((start[1:] > np.maximum.accumulate(end)[:-1]).sum()) if len(start) else 0
+    return len(lines) + runs
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for run in sorted_runs(batches, ["doc_id", "mark"]):
+        place = [run.column(c).to_numpy() for c in ("start", "end", "window")]
+        gone = ~run.column("keep").to_numpy()
+        counts = passages(*place), passages(*(c[gone] for c in place))
+        yield pa.RecordBatch.from_pydict({"doc_id": run.column("doc_id")[:1].combine_chunks(), "n_repeated": counts[:1], "n_removed": counts[1:]})
+
+
 def document_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each document: ``doc_id, n_repeated, n_removed, class_id``.
 
-    ``n_repeated``: units that stand elsewhere too; ``n_removed``: those that are not the first of their class; ``class_id``:
-    the smallest doc_id connected by repeated units, itself included. Rows that repeat an id count together and each get the sums.
+    ``n_repeated``: lines and sentences that stand elsewhere too, and passages of windows that do, apart from those; ``n_removed``: the
+    same of what is not the first of its class; ``class_id``: the smallest doc_id connected by repeated units, itself included. Rows that repeat an id count together and each get the sums.
     """
     repeated = stored(repeated_units(docs, doc_id, text, similarity), "repeated-units")
-    counts = repeated.groupBy("doc_id").agg(F.count("*").alias("n_repeated"), F.count_if(~F.col("keep")).alias("n_removed"))
+    places = repeated.where(F.col("doc_id").isNotNull()).select("doc_id", "mark", "start", "end", "window", "keep")
+    counted = places.repartition("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "start")
+    counts = (
+        counted.mapInArrow(_count_batches, "doc_id long, n_repeated long, n_removed long")
+        .groupBy("doc_id").agg(F.sum("n_repeated").alias("n_repeated"), F.sum("n_removed").alias("n_removed"))
+    )
     edges = repeated.where(F.col("doc_id").isNotNull() & F.col("class_doc").isNotNull()).select("doc_id", "class_doc").distinct()
     roots = components(edges)
     ids = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"))
