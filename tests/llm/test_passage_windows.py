@@ -43,3 +43,20 @@ def test_every_word_lies_in_a_window(word):
             covered[start:end] = True
             assert piece == passage_dedup.normal(text[start:end])
         assert covered[~passage_dedup._BLANK[np.frombuffer(text, np.uint8)]].all()
+
+
+def test_passages_in_other_surroundings(spark, word):
+    """A passage of 51 words inside long lines: of short sentences, cut inside sentences, without stops, with one word changed."""
+    def stops(words, n):
+        return " ".join(w + "." * (i % n == n - 1) for i, w in enumerate(words))
+
+    short, cut, bare, changed = word(51), word(51), word(51), word(51)
+    docs = []
+    for k, passage in enumerate((stops(short, 8), stops(cut, 20), " ".join(bare), " ".join(changed))):
+        for side in range(2):
+            if k == 3 and side:
+                passage = passage.replace(changed[25], "other")
+            docs.append((10 * k + side, " ".join(word(80)) + " " + passage + " " + " ".join(word(80))))
+    got = classes(spark, docs)
+    assert {d: r["class_id"] for d, r in got.items()} == {10 * k + side: 10 * k for k in range(4) for side in range(2)}
+    assert all(r["n_repeated"] >= 1 for r in got.values())
