@@ -3,7 +3,8 @@
 Text blocks carry the path of tags from the root. For each path of a page, text length and punctuation are added up
 over its blocks and divided by their number; the block sequence of both ratios is smoothed, the two are
 fused by multiplication, and paths whose mean exceeds a share of the page's spread are content. The container that holds
-most of the selected text is the article; all of its blocks that are not boilerplate by their tags are its text.
+most of the selected text is the article; all of its blocks that are not boilerplate by their tags are its text. The search for
+it ends at an article or main element; where there is none, content paths outside the container belong to the text, too.
 """
 
 from __future__ import annotations
@@ -36,6 +37,12 @@ BAD_NAMES = frozenset(
     "subscribe subscription signup login share sharing social related recommended comment comments respond reply replies discussion "
     "pagination pager widget toolbar skip copyright disclaimer".split()
 )
+# A name says what a container is by its last part that is none of these; names that begin with a switch say what it has.
+FILLERS = frozenset(
+    "area bar block body box button buttons container content group holder icons inner item items left link links list outer panel post "
+    "posts right row section slot top bottom unit wrap wrapper zone".split()
+)
+SWITCHES = frozenset("with without has have no not is are hide show enable disable".split())
 BAD_ROLES = frozenset("navigation banner complementary contentinfo search form alert dialog menu menubar".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
@@ -43,6 +50,16 @@ CONTENT_SHARE = 0.8  # of the selected text that one child must hold for the des
 SMOOTHING = (0.25, 0.5, 0.25)
 
 
+def bad_name(name: str) -> bool:
+    """Whether one class or id names boilerplate: ``primary-sidebar`` and ``share-buttons`` do, ``with-sidebar`` and ``related-work`` not."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p and not p.isdigit()]
+    if not parts or (parts[0] in SWITCHES and len(parts) > 1):
+        return False
+    while len(parts) > 1 and parts[-1] in FILLERS:
+        parts.pop()
+    return parts[-1] in BAD_NAMES
+
+
 class _Node:
     __slots__ = ("tag", "path", "parent", "bad")
 
@@ -85,11 +102,11 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             return
         values = {k: (v or "").lower() for k, v in attrs}
-        names = re.split(r"[^a-z0-9]+", f"{values.get('class', '')} {values.get('id', '')}")
+        names = f"{values.get('class', '')} {values.get('id', '')}".split()
         outside = not any(n in ("article", "main") for n in self._tags())
         bad = (
             tag in HIDDEN or tag in BOILERPLATE or (tag == "header" and outside)
-            or (tag not in ("html", "body", "article", "main") and (any(n in BAD_NAMES for n in names) or values.get("role") in BAD_ROLES))
+            or (tag not in ("html", "body", "article", "main") and (any(map(bad_name, names)) or values.get("role") in BAD_ROLES))
             or "hidden" in values or values.get("aria-hidden") == "true"
         )
         label = tag if tag in ("html", "body") else ".".join([tag, *sorted(filter(None, values.get("class", "").split()))])
@@ -183,12 +200,13 @@ def main_text(html: str | None) -> str:
             children[id(node.parent)][id(node)] = node
             node = node.parent
     total, top = inside[id(root)], root
-    while True:
+    while top.tag not in ("article", "main"):  # these are articles as a whole
         heavy = [c for c in children[id(top)].values() if inside[id(c)] >= CONTENT_SHARE * total and _holds_blocks(c)]
         if not heavy:
             break
         top = heavy[0]
-    return " ".join(text for node, text in blocks if _under(node, top))
+    whole = top.tag in ("article", "main")
+    return " ".join(text for (node, text), chosen in zip(blocks, selected, strict=True) if (chosen and not whole) or _under(node, top))
 
 
 def _holds_blocks(node: _Node) -> bool:
