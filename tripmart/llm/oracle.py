@@ -100,5 +100,43 @@ items AS (
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+""",
+    "op13_importance_resampling": r"""
+WITH crc_table AS (  -- CRC-32 of each byte: eight steps of the reflected polynomial
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)::BIGINT[]),
+      lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c
+    FROM range(256) AS r(b))),
+texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, TRUE AS corpus, text FROM documents
+  UNION ALL SELECT NULL, NULL, FALSE, text FROM benchmark),
+words AS (
+  SELECT rid, doc_id, corpus, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws
+  FROM texts),
+spans AS (SELECT rid, corpus, unnest(ws) AS w FROM words),
+codes AS (
+  SELECT w, (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(w))),
+      lambda i: ('0x' || substr(hex(encode(w)), (2 * i + 1)::BIGINT, 2))::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 10000)::INTEGER AS bucket
+  FROM (SELECT DISTINCT w FROM spans), crc_table),
+counts AS (
+  SELECT bucket, count(*) FILTER (corpus) AS s, count(*) FILTER (NOT corpus) AS t FROM spans JOIN codes USING (w) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM counts),
+gains AS (
+  SELECT bucket, floor(1000.0::DOUBLE * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM counts, totals),
+weights AS (SELECT rid, sum(gain)::BIGINT AS weight FROM spans JOIN codes USING (w) JOIN gains USING (bucket) WHERE corpus GROUP BY rid),
+scored AS (
+  SELECT rid, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT
+      + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (rid) WHERE corpus),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM ranked
 """,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from tripmart.llm import (
     html_extraction,
     mixing,
     passage_dedup,
+    periodic_runs,
+    resampling,
+    sentence_pieces,
     simhash,
     suffix_dedup,
     topk,
@@ -130,6 +134,51 @@ def passage_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.document_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def sentence_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only this query needs the files
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = sentence_pieces.encode_texts(docs, model).select("row.doc_id", "ids")
+    decoded = sentence_pieces.decode_ids(encoded, model)
+    return decoded.select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def tiled_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that op12 examines: a tenth of the documents repeat a part of themselves up to their end."""
+    h = crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(docs, rewrite=tiled_words)
+    # the least by (-length, start, period)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"], r["period"])))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    length, period = -F.col("longest.l"), F.col("longest.period")
+    return found.withColumn("longest", longest).select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(length * 1000 / period).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resampling.resample(docs, _table(spark, sf_dir, "benchmark"))
+    return drawn.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filters,
     "op2_source_mixing": source_mixing,
@@ -141,4 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": suffix_array_dedup,
     "op9_toxicity": toxicity_scores,
     "op10_substring_dedup": passage_substring_dedup,
+    "op11_sentencepiece_coding": sentence_piece_coding,
+    "op12_periodic_runs": periodic_run_detection,
+    "op13_importance_resampling": importance_resampling,
 }
