@@ -4,7 +4,7 @@ import pyarrow.parquet as pq
 
 from tests.builders import raw_table, write_month
 from tripmart.plans import audit
-from tripmart.sources.files import footer_metadata, footer_schema
+from tripmart.sources.catalogue import footer_metadata, footer_schema
 
 
 def test_footers_equal_a_direct_read(spark, tmp_path):

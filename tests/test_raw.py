@@ -6,7 +6,8 @@ from tripmart.operators.sinks import materialize_trips, subset_by_files
 from tripmart.plans import audit, evolution, incorporation
 from tripmart.plans.eda import pickup_boroughs
 from tripmart.plans.indicators import top_pickup_zones
-from tripmart.sources.files import _open, footer_metadata, footer_schema
+from tripmart.sources.catalogue import footer_metadata, footer_schema
+from tripmart.sources.files import _open
 from tripmart.sources.raw import read_trips, scan_raw, sources_of_first_periods
 from tripmart.sources.schema import TRIPS_COLUMNS, TRIPS_SCHEMA
 from tripmart.sources.zones import read_zones

@@ -11,15 +11,8 @@ from tripmart.functions.semantics import round_to
 from tripmart.operators.profile import type_name
 from tripmart.operators.shaping import distinct_sorted, ordered
 from tripmart.session import small_table
-from tripmart.sources.files import (
-    NAME_PATTERN,
-    TYPE_FOLDER_PATTERN,
-    YEAR_FOLDER_PATTERN,
-    file_listing,
-    footer_metadata,
-    footer_schema,
-    footers,
-)
+from tripmart.sources.catalogue import default_catalogue, footer_metadata, footer_schema, footers, readable
+from tripmart.sources.files import NAME_PATTERN, TYPE_FOLDER_PATTERN, YEAR_FOLDER_PATTERN, file_listing
 from tripmart.sources.raw import read_trips, scan_raw
 from tripmart.sources.schema import TAXI_TYPES
 
@@ -47,8 +40,9 @@ def total_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def rows_footer_vs_scan(spark: SparkSession, root: str) -> DataFrame:
-    in_footers = footer_metadata(spark, root).agg(F.sum("num_rows").alias("filas_segun_metadatos"))
-    scanned = read_trips(spark, root).agg(F.count("*").alias("filas_segun_conteo"))
+    now = default_catalogue(spark).snapshot(root)
+    in_footers = readable(now.files).agg(F.sum("num_rows").alias("filas_segun_metadatos"))
+    scanned = read_trips(spark, root, snapshot=now).agg(F.count("*").alias("filas_segun_conteo"))
     # One row on each side.
     return in_footers.crossJoin(scanned).withColumn(
         "coinciden", F.col("filas_segun_metadatos") == F.col("filas_segun_conteo")

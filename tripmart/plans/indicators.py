@@ -87,7 +87,11 @@ def named_bands(counts: DataFrame) -> DataFrame:
 
 
 def top_pickup_zones(trips: DataFrame, zones: DataFrame) -> DataFrame:
-    counts = clean_trips(trips).groupBy("taxi_type", "pu_location_id").agg(F.count("*").alias("viajes"))
+    return best_zones(clean_trips(trips).groupBy("taxi_type", "pu_location_id").agg(F.count("*").alias("viajes")), zones)
+
+
+def best_zones(counts: DataFrame, zones: DataFrame) -> DataFrame:
+    """The zones with most trips of each type, from trips per ``taxi_type, pu_location_id``."""
     best_first = Window.partitionBy("taxi_type").orderBy(
         F.col("viajes").desc(), F.col("pu_location_id").asc_nulls_last()
     )

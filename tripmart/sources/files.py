@@ -1,4 +1,4 @@
-"""File listing and Parquet footers, read by tasks rather than by the driver.
+"""File listing, and access to single files from tasks.
 
 A *source* is one monthly dataset, ``.../<type>_tripdata_YYYY-MM.parquet``. It may be a single
 file or, as Spark writes it, a directory of part files; counts per source are the same for both.
@@ -6,10 +6,9 @@ file or, as Spark writes it, a directory of part files; counts per source are th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
+from urllib.parse import unquote, urlparse
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,20 +19,23 @@ NAME_PATTERN = r"(yellow|green)_tripdata_(\d{4}-\d{2})"
 TYPE_FOLDER_PATTERN = r"/(yellow|green)/"
 YEAR_FOLDER_PATTERN = r"/(?:anio=)?(\d{4})/"
 
-_FOOTER_SCHEMA = (
-    "path string, source string, file_size_bytes bigint, readable boolean, "
-    "num_rows bigint, num_row_groups bigint, columns array<struct<name: string, type: string>>"
-)
-
-
 def source_of(path: Column) -> Column:
     """The monthly dataset a file belongs to; the file itself if its name carries no period."""
     found = F.regexp_extract(path, SOURCE_PATTERN, 1)
     return F.when(found != "", found).otherwise(path)
 
 
+def below(path: str, root: str) -> str:
+    """The part of a listed path that comes after the folder ``root``."""
+    inner, folder = unquote(urlparse(path).path), (urlparse(root).path if ":" in root else root).rstrip("/") + "/"
+    at = inner.find(folder if folder.startswith("/") else f"/{folder}")
+    if at < 0:
+        raise ValueError(f"{path} is not below {root}")
+    return inner[inner.index(folder, at) + len(folder) :]
+
+
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
-    """All Parquet files below a folder: (path, source, length). File contents are not read.
+    """All Parquet files below a folder: (path, source, length, modified in milliseconds). File contents are not read.
 
     Spark plans a task per block of data; as none of it is read, tasks are merged to the number of shuffle
     partitions, which does not depend on how many executors have started.
@@ -44,8 +46,9 @@ def file_listing(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", "*.parquet")
         .load(root)
     )
-    path = F.col("_metadata.file_path")
-    listed = files.select(path.alias("path"), source_of(path).alias("source"), "length")
+    path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    modified = F.unix_millis(F.col("_metadata.file_modification_time"))
+    listed = files.select(path.alias("path"), source_of(path).alias("source"), size.alias("length"), modified.alias("modified"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return listed.coalesce(tasks)
 
@@ -68,60 +71,8 @@ def _file_system(scheme: str, host: str):
 
 def _open(path: str):
     """Open a file by the address Spark lists it under."""
-    from urllib.parse import unquote, urlparse
-
     url = urlparse(path)
     inner = unquote(url.path)
     # Object stores address files as bucket/key, HDFS and local disks by absolute path.
     whole = inner if url.scheme in ("", "file", "hdfs", "viewfs") else url.netloc.split("@")[0] + inner
     return _file_system(url.scheme, url.netloc).open_input_file(whole)
-
-
-def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
-    for batch in batches:
-        lines = []
-        for path, source, length in zip(batch["path"], batch["source"], batch["length"]):
-            line = [path, source, length, False, None, None, None]
-            with _open(path) as handle:  # a file that cannot be opened fails the job
-                try:
-                    meta = pq.ParquetFile(handle).metadata
-                except (pa.ArrowInvalid, OSError):  # no Parquet file, or cut short
-                    meta = None
-            if meta is not None:
-                leaves = [meta.schema.column(i) for i in range(meta.num_columns)]
-                columns = [{"name": leaf.name, "type": leaf.physical_type} for leaf in leaves]
-                line[3:] = [True, meta.num_rows, meta.num_row_groups, columns]
-            lines.append(line)
-        names = ["path", "source", "file_size_bytes", "readable", "num_rows", "num_row_groups", "columns"]
-        footers = pd.DataFrame(lines, columns=names)
-        yield footers.astype({"num_rows": "Int64", "num_row_groups": "Int64"})
-
-
-def footers(spark: SparkSession, root: str) -> DataFrame:
-    """One row per file with its footer's counts and columns; the listing tasks read the footers."""
-    return file_listing(spark, root).mapInPandas(_read_footers, _FOOTER_SCHEMA)
-
-
-def readable_footers(spark: SparkSession, root: str) -> DataFrame:
-    """All footers; a file that is no whole Parquet file fails the job, by name. Only the audit tolerates such files."""
-    named = F.raise_error(F.concat(F.lit("not readable as Parquet: "), "path"))
-    return footers(spark, root).where(F.when(F.col("readable"), F.lit(True)).otherwise(named.cast("boolean")))
-
-
-def footer_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """Per monthly dataset: rows, row groups and bytes."""
-    sources = readable_footers(spark, root).groupBy(F.col("source").alias("file_name"))
-    return sources.agg(
-        F.sum("num_rows").alias("num_rows"),
-        F.sum("num_row_groups").alias("num_row_groups"),
-        F.sum("file_size_bytes").alias("file_size_bytes"),
-    )
-
-
-def footer_schema(spark: SparkSession, root: str) -> DataFrame:
-    """Per monthly dataset and column: name and physical type."""
-    columns = readable_footers(spark, root).select(F.col("source").alias("file_name"), F.inline("columns"))
-    return columns.distinct()

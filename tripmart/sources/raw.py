@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Collection
+import re
+from collections import Counter
+from collections.abc import Callable, Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,67 +12,98 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripmart.functions.semantics import to_int_half_even
-from tripmart.sources.files import PERIOD_PATTERN, file_listing, footers, source_of
+from tripmart.sources.catalogue import (
+    ATTEMPTS,
+    Dataset,
+    FooterCatalogue,
+    ReadGroup,
+    Snapshot,
+    default_catalogue,
+    read_groups,
+)
+from tripmart.sources.files import PERIOD_PATTERN, below
 from tripmart.sources.schema import TAXI_TYPES, TRIPS_COLUMNS
 
+# Fixed value: the end of a dated name, YYYY-MM.parquet.
+DATED_END = 15
+
+
+def is_dated(source: str) -> bool:
+    """Whether a dataset's name carries a period, a year and a month between 00 and 99."""
+    return re.search(PERIOD_PATTERN, source) is not None
+
+
+def period_of(source: str) -> tuple[int, int]:
+    """Year and month in the name of a dated dataset."""
+    return int(source[-DATED_END:][:4]), int(source[-DATED_END:][5:7])
+
+
 def src_period(filename: Column) -> tuple[Column, Column]:
-    """Year and month in a file name; NULL where the name carries none."""
-    year = F.regexp_extract(filename, PERIOD_PATTERN, 1).try_cast("int")
-    month = F.regexp_extract(filename, PERIOD_PATTERN, 2).try_cast("int")
+    """Year and month at the end of a dated file name."""
+    year = F.substring(filename, -DATED_END, 4).cast("int")
+    month = F.substring(filename, 5 - DATED_END, 2).cast("int")
     return year, month
 
 
-def _schema_groups(spark: SparkSession, folder: str, sources: Collection[str] | None) -> list[list[str]]:
-    """Paths to read together: datasets of one layout, ordered by their first path.
-
-    One job reads the footers in tasks; the driver receives a row per dataset and layout (and a row per file only
-    in datasets that mix layouts). A file that cannot be read fails the call, by name.
-    """
-    column = F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["type"]))
-    files = footers(spark, folder).withColumn("columns", F.concat_ws(",", column))
-    if sources is not None:
-        files = files.where(F.col("source").isin(list(sources)))
-    layouts = files.groupBy("source", "columns", "readable").agg(F.min("path").alias("path")).collect()
-    broken = sorted(row["path"] for row in layouts if not row["readable"])
-    if broken:
-        raise OSError(f"not readable as Parquet: {', '.join(broken[:10])}")
-    per_source = defaultdict(list)
-    for row in layouts:
-        per_source[row["source"]].append(row)
-    mixed = [source for source, rows in per_source.items() if len(rows) > 1]
-    groups: dict[str, list[str]] = defaultdict(list)
-    for source, rows in per_source.items():
-        if len(rows) == 1:
-            groups[rows[0]["columns"]].append(source)
-    if mixed:
-        for row in files.where(F.col("source").isin(mixed)).select("columns", "path").toLocalIterator():
-            groups[row["columns"]].append(row["path"])
-    return sorted(sorted(paths) for paths in groups.values())
-
-
-def _read_group(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows of a group with filename, src_year and src_month, all taken from the path, so that filters on them prune files."""
-    rows = spark.read.option("mergeSchema", "false").parquet(*paths)
-    named = rows.withColumn("filename", source_of(F.col("_metadata.file_path")))
-    year, month = src_period(F.col("filename"))
+def _read_group(catalogue: FooterCatalogue, group: ReadGroup, sample: str) -> DataFrame:
+    """Rows of a group with filename, src_year and src_month, cut from the path at fixed places, so that filters on them prune files."""
+    rows = catalogue.read(group, sample)
+    if rows is None:
+        raise _Changed
+    path = F.col("_metadata.file_path")
+    named = rows.withColumn("filename", path if group.slashes is None else F.substring_index(path, "/", group.slashes + 1))
+    none = F.lit(None).cast("int")
+    year, month = src_period(F.col("filename")) if group.dated else (none, none)
     return named.withColumns({"src_year": year, "src_month": month})
 
 
+def _datasets(snapshot: Snapshot, root: str, taxi_type: str) -> list[Dataset]:
+    """The datasets in one taxi type's folder."""
+    return [d for d in snapshot.datasets if below(d.source, root).startswith(f"{taxi_type}/")]
+
+
 def scan_raw(
-    spark: SparkSession, root: str, taxi_type: str, sources: Collection[str] | None = None
-) -> DataFrame:
+    spark: SparkSession, root: str, taxi_type: str, sources: Collection[str] | None = None,
+    catalogue: FooterCatalogue | None = None,
+) -> DataFrame:
     """All raw rows of one taxi type plus ``filename``, ``src_year`` and ``src_month``.
 
     Columns are matched by name without regard to case, a missing column is NULL, and numeric
-    types widen. Spark cannot merge such files in one read, so files are grouped by schema
+    types widen. Spark cannot merge such files in one read, so files are grouped by layout
     (few groups), each group is read natively, and the groups are united by name. With
-    ``sources`` only those datasets are opened.
+    ``sources`` only those datasets are opened. Footers come from the catalogue; a file that is not readable as Parquet
+    fails the call, by name.
     """
-    folder = f"{root.rstrip('/')}/{taxi_type}"
-    groups = _schema_groups(spark, folder, sources)
-    if not groups:
-        raise FileNotFoundError(f"no readable Parquet file below {folder}")
-    parts = [_read_group(spark, group) for group in groups]
+    return _read(catalogue or default_catalogue(spark), root, lambda snapshot, c: _scan(c, snapshot, root, taxi_type, sources))
+
+
+class _Changed(Exception):
+    """A folder holds other files than the snapshot says."""
+
+
+def _read(catalogue: FooterCatalogue, root: str, build: Callable[[Snapshot, FooterCatalogue], DataFrame], snapshot: Snapshot | None = None) -> DataFrame:
+    """What ``build`` makes of a snapshot; of a new one if files came or went since it was taken."""
+    for _ in range(ATTEMPTS):
+        try:
+            return build(snapshot or catalogue.snapshot(root), catalogue)
+        except _Changed:
+            snapshot = None
+    raise OSError(f"files below {root} change while they are read")
+
+
+def _scan(catalogue: FooterCatalogue, snapshot: Snapshot, root: str, taxi_type: str, sources: Collection[str] | None) -> DataFrame:
+    datasets = _datasets(snapshot, root, taxi_type)
+    named = [d for d in datasets if sources is None or d.source in set(sources)]
+    if not named:
+        raise FileNotFoundError(f"no readable Parquet file below {root}/{taxi_type}")
+    broken = [d.path for d in named if d.layout is None]
+    if broken:
+        raise OSError(f"not readable as Parquet: {', '.join(broken[:10])}")
+    times = Counter(d.source for d in named)
+    mixed = [source for source, n in times.items() if n > 1]  # datasets of several layouts are read by single files
+    chosen = [d for d in named if times[d.source] == 1] + (snapshot.paths_of(mixed) if mixed else [])
+    samples = {d.layout: d.path for d in reversed(chosen)}
+    parts = [_read_group(catalogue, group, samples[group.layout]) for group in read_groups(datasets, chosen, is_dated)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -85,7 +117,7 @@ _INTEGERS = {
     "payment_type": "payment_type",
 }
 _DOUBLES = ("trip_distance", "fare_amount", "tip_amount", "tolls_amount", "total_amount")
-_TIME_PREFIX = {"yellow": "tpep", "green": "lpep"}
+TIME_PREFIX = {"yellow": "tpep", "green": "lpep"}
 
 
 def normalize_trips(raw: DataFrame, taxi_type: str) -> DataFrame:
@@ -96,7 +128,7 @@ def normalize_trips(raw: DataFrame, taxi_type: str) -> DataFrame:
         fractional = isinstance(types[name.lower()], (T.DoubleType, T.FloatType))
         return to_int_half_even(F.col(name)) if fractional else F.col(name).cast("int")
 
-    prefix = _TIME_PREFIX[taxi_type]
+    prefix = TIME_PREFIX[taxi_type]
     columns = {
         "taxi_type": F.lit(taxi_type),
         "pickup_ts": F.col(f"{prefix}_pickup_datetime").cast("timestamp_ntz"),
@@ -110,28 +142,33 @@ def normalize_trips(raw: DataFrame, taxi_type: str) -> DataFrame:
     return raw.select(*[columns[name].alias(name) for name in TRIPS_COLUMNS])
 
 
-def read_trips(spark: SparkSession, root: str, sources: Collection[str] | None = None) -> DataFrame:
+def read_trips(
+    spark: SparkSession, root: str, sources: Collection[str] | None = None,
+    catalogue: FooterCatalogue | None = None, snapshot: Snapshot | None = None,
+) -> DataFrame:
     """The trips relation over all raw files below a folder with one sub-folder per taxi type.
 
-    Files are listed anew at each call, so a period added to the folder is part of the next
-    result. A taxi type with none of the asked ``sources`` contributes nothing.
+    Files are listed anew at each call (unless a ``snapshot`` taken before is given), so a period added to the folder is part of
+    the next result. A taxi type with none of the asked ``sources`` contributes nothing.
     """
-    parts = []
-    for taxi_type in TAXI_TYPES:
-        try:
-            parts.append(normalize_trips(scan_raw(spark, root, taxi_type, sources), taxi_type))
-        except FileNotFoundError:
-            if sources is None:
-                raise
-    if not parts:
-        raise FileNotFoundError(f"none of the asked sources is below {root}")
-    return reduce(DataFrame.unionByName, parts)
+
+    def build(now: Snapshot, catalogue: FooterCatalogue) -> DataFrame:
+        parts = []
+        for taxi_type in TAXI_TYPES:
+            try:
+                parts.append(normalize_trips(_scan(catalogue, now, root, taxi_type, sources), taxi_type))
+            except FileNotFoundError:
+                if sources is None:
+                    raise
+        if not parts:
+            raise FileNotFoundError(f"none of the asked sources is below {root}")
+        return reduce(DataFrame.unionByName, parts)
+
+    return _read(catalogue or default_catalogue(spark), root, build, snapshot)
 
 
 def sources_of_first_periods(spark: SparkSession, root: str, periods: int) -> list[str]:
     """Monthly datasets of the earliest ``periods`` months: a name per dataset, whatever its size."""
-    names = file_listing(spark, root).select("source").distinct()
-    year, month = src_period(F.col("source"))
-    dated = names.select("source", year.alias("y"), month.alias("m")).where(F.col("m").isNotNull())
-    first = dated.select("y", "m").distinct().orderBy("y", "m").limit(periods)
-    return [row["source"] for row in dated.join(F.broadcast(first), ["y", "m"]).select("source").toLocalIterator()]
+    names = {d.source for d in default_catalogue(spark).snapshot(root).datasets if is_dated(d.source)}
+    first = sorted({name[-DATED_END:] for name in names})[:periods]
+    return sorted(name for name in names if name[-DATED_END:] in first)

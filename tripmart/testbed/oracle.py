@@ -587,6 +587,7 @@ def _files() -> dict[str, str]:
         ),
         "materialize_trips": _sql(totals.format("trips")),
         "materialize_indicators": tables,
+        "incremental_indicators": tables,
         "result_equivalence": verdicts("trips"),
         **{f"result_equivalence_{n}": verdicts(first(n)) for n in (1, 3, 6, 12, 24)},
         "q3_2c_filas_exactas": with_files(
@@ -610,4 +611,10 @@ def _files() -> dict[str, str]:
 def all_sql() -> dict[str, str]:
     """Query name -> SQL. Left out: a random sample, estimates, and sizes of files the SQL cannot see."""
     parts = (_exploration(), _eda(), _incorporation(), _workload(), _indicators(), _evolution(), _dashboard(), _files())
-    return {name: sql for part in parts for name, sql in sorted(part.items())}
+    found = {name: sql for part in parts for name, sql in sorted(part.items())}
+    from_footers = {
+        "b1_conteo_metadatos": "b1_conteo",
+        "q3_2_registros_metadatos": "q3_2_registros_por_tipo_anio",
+        "q3_7_rango_fechas_metadatos": "q3_7_rango_fechas",
+    }
+    return found | {name: found[same] for name, same in from_footers.items()}

@@ -20,11 +20,14 @@ from tripmart.plans.eda import EDA
 from tripmart.plans.evolution import EVOLUTION
 from tripmart.plans.exploration import EXPLORATION, column_profile, first_by_type, random_sample
 from tripmart.plans.incorporation import INCORPORATION
+from tripmart.plans.from_footers import FROM_FOOTERS
+from tripmart.plans.increments import Warehouse
 from tripmart.plans.indicators import INDICATORS
 from tripmart.plans.marts import indicator_builders
 from tripmart.plans.workload import RESULT_KEYS, WORKLOAD
 from tripmart.session import configure, held, new_folder
-from tripmart.sources.files import file_listing, footer_metadata, footer_schema
+from tripmart.sources.catalogue import footer_metadata, footer_schema
+from tripmart.sources.files import file_listing
 from tripmart.sources.raw import read_trips, scan_raw, sources_of_first_periods
 from tripmart.sources.zones import read_zones
 from tripmart.testbed import tables
@@ -60,7 +63,7 @@ def _over_trips(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _over_files(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return audit.AUDIT[name](spark, raw_layout(spark, sf_dir).raw)
+    return {**audit.AUDIT, **FROM_FOOTERS}[name](spark, raw_layout(spark, sf_dir).raw)
 
 
 def _base_name(path: str) -> F.Column:
@@ -167,6 +170,20 @@ def indicator_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [_column_sums(spark.read.parquet(path), name) for name, path in written.items()])
 
 
+def incremental_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sums from indicators that are kept up to date: twelve months are taken over first, then all files.
+
+    Their means come from exact sums.
+    """
+    configure(spark)
+    layout = raw_layout(spark, sf_dir)
+    warehouse = Warehouse.at(spark, new_folder(spark, "warehouse"))
+    warehouse.update(layout.raw, sources_of_first_periods(spark, layout.raw, FIRST_PERIODS))
+    warehouse.update(layout.raw)
+    builds = warehouse.indicators(read_zones(spark, layout.zones_csv))
+    return reduce(DataFrame.unionByName, [_column_sums(build(), name) for name, build in builds.items()])
+
+
 def _column_sums(table: DataFrame, name: str) -> DataFrame:
     numbers = [f.name for f in table.schema.fields if f.dataType.typeName() in ("integer", "long", "double")]
     sums = table.agg(F.count("*").alias("__rows"), *[round_to(F.sum(c), 2).alias(c) for c in numbers])
@@ -234,7 +251,7 @@ def clean_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     named: dict[str, Query] = {name: partial(_over_trips, name) for name in OVER_TRIPS}
-    named |= {name: partial(_over_files, name) for name in audit.AUDIT}
+    named |= {name: partial(_over_files, name) for name in (*audit.AUDIT, *FROM_FOOTERS)}
     named |= {
         "ind_02_ingreso_mensual": monthly_revenue,
         "q3_5b_primeros_por_tipo": first_rows,
@@ -250,6 +267,7 @@ def all_queries() -> dict[str, Query]:
         "subset_by_files": first_periods,
         "materialize_trips": table_totals,
         "materialize_indicators": indicator_tables,
+        "incremental_indicators": incremental_indicators,
         "result_equivalence": source_equivalence,
         **{f"result_equivalence_{n}": partial(source_equivalence, periods=n) for n in PERIOD_SUBSETS},
         "q3_2c_filas_exactas": file_rows,
