@@ -31,9 +31,19 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark parses it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(df: DataFrame, name: str) -> Column:
+    """The column of ``df`` with exactly that name."""
+    return df[quoted(name)]
+
+
 def row_of(df: DataFrame, name: str = "row") -> Column:
     """All columns of a row as one struct, so that an operator's own columns cannot clash with them."""
-    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name)
+    return F.struct(*[named(df, c) for c in df.columns]).alias(name)
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

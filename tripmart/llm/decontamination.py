@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.llm.common import LOWER, UPPER, stored
+from tripmart.llm.common import LOWER, UPPER, named, stored
 
 WINDOW = 10
 ANCHORS = 2
@@ -33,10 +33,10 @@ def _postings(docs: DataFrame) -> DataFrame:
 
 def _items(items: DataFrame, item_id: str, text: str, window: int = WINDOW) -> DataFrame:
     """Distinct items that have words: ``item`` (a number from id and text), ``item_id, ws, last`` (last window start)."""
-    ws = words(items[f"`{text}`"])
-    item = F.xxhash64(items[f"`{item_id}`"], items[f"`{text}`"])
+    ws = words(named(items, text))
+    item = F.xxhash64(named(items, item_id), named(items, text))
     return (
-        items.select(item.alias("item"), items[f"`{item_id}`"].cast("string").alias("item_id"), ws.alias("ws"))
+        items.select(item.alias("item"), named(items, item_id).cast("string").alias("item_id"), ws.alias("ws"))
         .where(F.size("ws") > 0)
         .dropDuplicates(["item"])
         .withColumn("last", F.greatest(F.size("ws") - window, F.lit(0)))
@@ -104,10 +104,10 @@ def phrase_candidates(docs: DataFrame, items: DataFrame, anchors: DataFrame) ->
 
 def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The text with the pair that names it: its id and a hash. Rows that agree in both have one result."""
-    body = docs[f"`{text}`"]
-    rest = [docs[f"`{c}`"] for c in docs.columns if c != text]
+    body = named(docs, text)
+    rest = [named(docs, c) for c in docs.columns if c != text]
     return docs.select(
-        F.struct(*rest).alias("row"), F.coalesce(docs[f"`{doc_id}`"].cast("string"), F.lit("")).alias("id"),
+        F.struct(*rest).alias("row"), F.coalesce(named(docs, doc_id).cast("string"), F.lit("")).alias("id"),
         F.xxhash64(body).alias("mark"), body.alias("text"),
     )
 

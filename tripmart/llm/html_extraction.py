@@ -17,6 +17,10 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tripmart.llm.common import named
 
 # HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -222,18 +226,12 @@ def _under(node: _Node | None, top: _Node) -> bool:
     return False
 
 
-def _extract_batches(html: str):
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            where = batch.schema.get_field_index(html)
-            texts = [main_text(h.as_py()) for h in batch.column(where)]
-            kept = [(n, c) for i, (n, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if i != where]
-            yield pa.RecordBatch.from_arrays(
-                [*(c for _, c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                [*(n for n, _ in kept), "text", "n_chars"],
-            )
-
-    return extract
+def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, html = (batch.column(batch.schema.get_field_index(name)) for name in ("row", "html"))
+        texts = [main_text(h.as_py()) for h in html]
+        made = pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([row, *made], ["row", "text", "n_chars"])
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -241,6 +239,8 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Each row by itself and without a shuffle, whole pages of any length; repeated rows give repeated results.
     """
-    kept = [f for f in pages.schema.fields if f.name not in (html, "text", "n_chars")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "text string, n_chars long"])
-    return pages.select(*[f"`{f.name}`" for f in kept], f"`{html}`").mapInArrow(_extract_batches(html), schema)
+    kept = [named(pages, c) for c in pages.columns if c not in (html, "text", "n_chars")]
+    inputs = pages.select((F.struct(*kept) if kept else F.struct(F.lit(0))).alias("row"), named(pages, html).alias("html"))
+    schema = T.StructType([inputs.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    found = inputs.mapInArrow(_extract_batches, schema)
+    return found.select("row.*", "text", "n_chars") if kept else found.select("text", "n_chars")

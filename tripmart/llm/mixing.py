@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripmart.llm.common import row_of, stored
+from tripmart.llm.common import named, row_of, stored
 
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
@@ -74,10 +74,10 @@ def fair_queue(
     source of their own, null ids count as the empty text, documents without tokens cost nothing and
     are taken with their neighbours. Empty tables give no rows.
     """
-    key = F.md5(F.coalesce(docs[f"`{doc_id}`"].cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.coalesce(named(docs, doc_id).cast("string"), F.lit("")).cast("binary"))
     base = docs.select(
-        row_of(docs), F.coalesce(size, F.lit(0)).cast("long").alias("size"), docs[f"`{source}`"].alias("source"),
-        docs[f"`{doc_id}`"].alias("id"), key.alias("key"),
+        row_of(docs), F.coalesce(size, F.lit(0)).cast("long").alias("size"), named(docs, source).alias("source"),
+        named(docs, doc_id).alias("id"), key.alias("key"),
     ).withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     light = stored(base.select("source_key", "source", "size", "key"), "sizes")
     targets = stored(source_targets(light, weights, share, takes), "targets")

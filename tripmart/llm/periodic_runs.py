@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripmart.llm.common import named
+
 LEAST_WORDS = 6
 LEAST_PERIODS = 4
 GROUP_WORDS = 300_000  # documents that are sorted together
@@ -258,8 +260,8 @@ def periodic_runs(docs: DataFrame, text: str = "text", rewrite: Rewrite | None =
     separated by ASCII white space. Null and empty texts have no words and no runs; repeated rows give the same again; a text of any length
     is one document; an empty table gives no rows. ``rewrite(key, words)`` may replace the words beforehand.
     """
-    rest = [docs[f"`{c}`"] for c in docs.columns if c != text]
-    inputs = docs.select(F.struct(*rest).alias("row"), docs[f"`{text}`"].alias("text"))
+    rest = [named(docs, c) for c in docs.columns if c != text]
+    inputs = docs.select(F.struct(*rest).alias("row"), named(docs, text).alias("text"))
     schema = T.StructType([
         inputs.schema["row"], T.StructField("n_words", T.LongType()),
         T.StructField("runs", T.ArrayType(RUN)), T.StructField("collapsed", T.StringType()),

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripmart.llm.common import stored
+from tripmart.llm.common import named, quoted, stored
 
 MIN_N, MAX_N = 1, 1
 BUCKETS = 10_000  # the table of gains, so many numbers, passes the driver
@@ -71,8 +71,8 @@ def ngram_buckets(
     docs: DataFrame, text: str = "text", min_n: int = MIN_N, max_n: int = MAX_N, buckets: int = BUCKETS, keep_text: bool = False
 ) -> DataFrame:
     """``row`` (all columns, the text only on demand), ``n_words``, ``features``: the bucket of each n-gram, repeats included."""
-    rest = [docs[f"`{c}`"] for c in docs.columns if keep_text or c != text]
-    inputs = docs.select(F.struct(*rest).alias("row"), docs[f"`{text}`"].alias("text"))
+    rest = [named(docs, c) for c in docs.columns if keep_text or c != text]
+    inputs = docs.select(F.struct(*rest).alias("row"), named(docs, text).alias("text"))
     schema = T.StructType([
         inputs.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("features", T.ArrayType(T.IntegerType())),
     ])
@@ -153,7 +153,7 @@ def resample(
     ranks. An empty corpus gives no rows; with an empty target all its counts are 0.
     """
     features = stored(ngram_buckets(docs, text, min_n, max_n, buckets, keep_text), "features")
-    wanted = ngram_buckets(target.select(F.col(f"`{text}`").alias("text")), "text", min_n, max_n, buckets)
+    wanted = ngram_buckets(target.select(F.col(quoted(text)).alias("text")), "text", min_n, max_n, buckets)
     table = bucket_gains(bucket_counts(features), bucket_counts(wanted), buckets)
     gains = np.zeros(buckets, np.int64)
     for bucket, gain in table.collect():

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.llm.common import sorted_runs, stored
+from tripmart.llm.common import quoted, sorted_runs, stored
 from tripmart.llm.graph import components
 
 RADIUS = 4
@@ -238,7 +238,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     groups = simhash_groups(docs, radius)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    return named.select(*[quoted(c) for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def bits_per_key(n: int, radius: int = RADIUS) -> int:

@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tripmart.llm.common import sorted_runs, stored
+from tripmart.llm.common import named, sorted_runs, stored
 
 MIN_LENGTH = 200
 GRAMS = (32, 104, 168, 200)  # bytes; multiples of 8, the last as long as the strings
@@ -371,15 +372,14 @@ def cut_repeats(
     bytes as text, null unless ``with_text``; a character of which only a part remains is left out of ``kept``. All occurrences go, the
     first too; matches never cross documents; repeated rows are occurrences of each other. Null texts are empty.
     """
-    body = docs[f"`{text}`"]
-    rest: list[Column] = [docs[f"`{c}`"] for c in docs.columns if c != text]
+    body = named(docs, text)
+    rest: list[Column] = [named(docs, c) for c in docs.columns if c != text]
     keyed = docs.select(
-        F.coalesce(docs[f"`{doc_id}`"].cast("string"), F.lit("")).alias("id"), F.xxhash64(body).alias("mark"),
+        F.coalesce(named(docs, doc_id).cast("string"), F.lit("")).alias("id"), F.xxhash64(body).alias("mark"),
         F.struct(*rest).alias("row"), body.cast("binary").alias("bytes"),
     )
     ranges = repeated_ranges(keyed, length, hot_segments)
-    row_type = keyed.schema["row"].dataType.simpleString()
-    return keyed.join(ranges, ["id", "mark"], "left").mapInArrow(
-        _cut_batches(length, with_text),
-        f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string",
-    )
+    counts = [T.StructField(name, T.LongType()) for name in ("n_bytes", "n_removed", "n_spans")]
+    texts = [T.StructField(name, T.StringType()) for name in ("kept_sha256", "kept")]
+    schema = T.StructType([keyed.schema["row"], *counts, *texts])
+    return keyed.join(ranges, ["id", "mark"], "left").mapInArrow(_cut_batches(length, with_text), schema)

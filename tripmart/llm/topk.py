@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripmart.llm.common import stored
+from tripmart.llm.common import named, stored
 
 K = 10
 SCALE = 1024
@@ -32,12 +32,12 @@ def quantised(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding")
     part. Rows that repeat an id count once (the smallest vector). Shorter vectors are
     treated as if they ended in zeros.
     """
-    x = df[f"`{vector}`"]
+    x = named(df, vector)
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == F.lit(float("inf"))))
     return (
-        df.where(x.isNotNull() & df[f"`{vec_id}`"].isNotNull() & ~F.coalesce(bad, F.lit(False)))
+        df.where(x.isNotNull() & named(df, vec_id).isNotNull() & ~F.coalesce(bad, F.lit(False)))
         .select(
-            df[f"`{vec_id}`"].cast("long").alias("vec_id"),
+            named(df, vec_id).cast("long").alias("vec_id"),
             F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("long")).alias("v"),
         )
         .groupBy("vec_id")

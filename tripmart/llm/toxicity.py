@@ -20,6 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tripmart.llm.common import named
 
 SAMPLE_ROWS = 3000  # of each label, at most
 SAMPLE_CHARS = 50_000  # longer documents are not drawn for training; all are scored whole
@@ -301,11 +304,12 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Train on a bounded sample of the labelled documents that are not held out."""
-    named = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
-    named = named.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("label_id"))).dropDuplicates(["label_id"])
+    marked = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
+    # an id with both labels counts as toxic
+    marked = marked.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.md5(F.col("label_id").cast("string").cast("binary")), "label_id"))
     # the window keeps only the first rows of each label; ids alone are ranked, texts join later
-    chosen = named.withColumn("place", place).where(F.col("place") <= rows).drop("place")
+    chosen = marked.withColumn("place", place).where(F.col("place") <= rows).drop("place")
     usable = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
     # an id that many rows repeat gives one text, so the sample's bound holds
     sample = (
@@ -337,7 +341,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     other, so repeats get equal scores. Only the text is an input.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rest = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row")
+    rest = F.struct(*[named(docs, c) for c in docs.columns if c != "text"]).alias("row")
     inputs = docs.select(rest, "text")
-    row_type = inputs.schema["row"].dataType.simpleString()
-    return inputs.mapInArrow(_score_batches(sent), f"row {row_type}, text string, score double")
+    schema = T.StructType([*inputs.schema.fields, T.StructField("score", T.DoubleType())])
+    return inputs.mapInArrow(_score_batches(sent), schema)

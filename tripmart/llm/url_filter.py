@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.llm.common import LOWER, UPPER
+from tripmart.llm.common import LOWER, UPPER, named, quoted
 
 DEFAULT_VERDICT = "allow"
 
@@ -96,8 +96,8 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     shuffles by token when it is not.
     """
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    target = df[f"`{url}`"]
-    rows = df.select(*[df[f"`{c}`"] for c in kept], url_host(target).alias("host"), url_path(target).alias("path"))
+    target = named(df, url)
+    rows = df.select(*[named(df, c) for c in kept], url_host(target).alias("host"), url_path(target).alias("path"))
     urls = rows.select("host", "path").distinct()
     looked_up = urls.withColumn("tokens", _tokens(F.col("host"), F.split("path", "/")))
     index = index_rules(looked_up, parse_rules(rules))
@@ -109,6 +109,6 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
         .agg(F.min(F.struct((-F.length("rule")).alias("order"), "rule", "verdict")).alias("best"))
     )
     return rows.join(fits, ["host", "path"], "left").select(
-        *kept, "host", "path", F.col("best.rule").alias("rule"),
+        *[quoted(c) for c in kept], "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
