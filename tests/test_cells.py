@@ -57,11 +57,13 @@ def test_same_bits_however_rows_are_dealt(spark, tmp_path):
     data, zones, seen = trips_table(spark, SMALL).drop("filename"), tables.zones(spark, SMALL), set()
     for deal in range(10):
         dealt = data.repartition(1 + 3 * deal, F.rand(deal))
-        half = F.rand(deal + 50) < 0.5
-        marked = dealt.withColumn("half", half)
-        cells = reduce(DataFrame.unionByName, [trip_cells(marked.where(F.col("half") == side).drop("half")) for side in (True, False)])
-        path = str(tmp_path / f"cells-{deal}")
-        cells.write.parquet(path)
-        built = indicators_of(spark.read.parquet(path), zone_cells(data), zones)
+        marked = dealt.withColumn("half", F.rand(deal + 50) < 0.5)
+        halves = [marked.where(F.col("half") == side).drop("half") for side in (True, False)]
+        tables = []
+        for make in (trip_cells, zone_cells):
+            path = str(tmp_path / f"{make.__name__}-{deal}")
+            reduce(DataFrame.unionByName, map(make, halves)).write.parquet(path)
+            tables.append(spark.read.parquet(path))
+        built = indicators_of(*tables, zones)
         seen.add(repr([built[name]().collect() for name in MEANS]))
     assert len(seen) == 1

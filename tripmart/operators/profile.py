@@ -30,14 +30,14 @@ def type_name(data_type: T.DataType) -> str:
     return TYPE_NAMES.get(text, text.upper())
 
 
-def _is_time(data_type: T.DataType) -> bool:
+def is_time(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.TimestampNTZType, T.TimestampType))
 
 
 def _number(name: str, data_type: T.DataType) -> Column:
     """Times are profiled as seconds since the epoch and shown as times again at the end."""
     column = F.col(name)
-    return F.unix_timestamp(column).cast("double") if _is_time(data_type) else column.cast("double")
+    return F.unix_timestamp(column).cast("double") if is_time(data_type) else column.cast("double")
 
 
 def _statistics(name: str, data_type: T.DataType) -> list[Column]:
@@ -72,7 +72,7 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     one_row = df.agg(F.count("*").alias("rows"), *stats).crossJoin(df.agg(*sketches))
 
     def as_text(value: Column, data_type: T.DataType) -> Column:
-        if _is_time(data_type):
+        if is_time(data_type):
             value = F.timestamp_micros((value * 1_000_000).cast("bigint")).cast("timestamp_ntz")
         return value.cast("string")
 
@@ -83,7 +83,7 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
             F.when(has_values, as_text(F.kll_sketch_get_quantile_double(f"{name}__sketch", F.lit(p)), kind)).alias(q)
             for q, p in QUARTILES.items()
         ]
-        deviation = F.lit(None) if _is_time(kind) else F.col(f"{name}__std")
+        deviation = F.lit(None) if is_time(kind) else F.col(f"{name}__std")
         nulls = F.try_divide(F.lit(100.0) * (F.col("rows") - F.col(f"{name}__count")), F.col("rows").cast("double"))
         return F.struct(
             F.lit(name).alias("column_name"),

@@ -1,7 +1,7 @@
 """All ten dashboard indicators from cells: exact sums that may be stored by month and merged.
 
-Trips are added up twice: by cells (month, day type, hour, payment group, distance band) and by month and zone. Both results follow the
-calendar in size, not the trips. Sums in cells are exact (``operators.exact_sums``), so means by month or hour are added up
+Trips are added up twice: by cells (month, day type, hour, payment group, distance band), which are many and carry few numbers, and by month and
+zone, which are fewer and carry the sums that are shown by month. Both results follow the calendar in size, not the trips. Sums in cells are exact (``operators.exact_sums``), so means by month or hour are added up
 from cells, and cells of months that come later can be merged with stored ones; neither changes a bit of the result.
 
 A mean of doubles that were added one by one (``plans.marts``, as single indicators do) may fall on the other side of a tie: of 160 months
@@ -23,66 +23,67 @@ from tripmart.operators.exact_sums import mean, split, summed, total
 from tripmart.operators.shaping import in_order, with_share
 from tripmart.plans.indicators import MONTH, ORDERS, best_zones, by_month, named_bands, quality
 
-SUMS = ("ingreso", "tarifa", "millas", "minutos", "propina", "velocidad")
-COUNTS = ("registros", "viajes", "con_tarjeta", "con_propina", "sin_propina", "con_minuto")
+SUMS = ("ingreso", "tarifa", "millas", "minutos", "propina")
+COUNTS = ("registros", "viajes", "con_tarjeta", "con_propina", "sin_propina")
 
 
 def trip_cells(trips: DataFrame) -> DataFrame:
-    """Counts and exact sums of each cell of a month; trips that cleaning drops are one cell, without day type and the like."""
-    pickup, fare, tip, clean = F.col("pickup_ts"), F.col("fare_amount"), F.col("tip_amount"), F.col("clean")
+    """Clean trips of each cell of a month, and those of a minute or more with the sum of their speeds."""
+    pickup, minutes = F.col("pickup_ts"), F.col("duration_min")
+    timed = minutes >= 1
+    speed = F.when(timed, speed_mph(F.col("trip_distance"), minutes))
+    rows = clean_trips(trips).select(
+        *MONTH,
+        labels.day_type(pickup).alias("dia_tipo"),
+        hour_of_day(pickup).alias("hora"),
+        labels.payment_group(F.col("payment_type")).alias("metodo"),
+        labels.distance_band_order(F.col("trip_distance")).alias("orden"),
+        timed.alias("timed"),
+        *split(speed, "velocidad"),
+    )
+    return rows.groupBy(*MONTH, "dia_tipo", "hora", "metodo", "orden").agg(
+        F.count("*").alias("viajes"), F.count_if("timed").alias("con_minuto"), *summed("velocidad")
+    )
+
+
+def zone_cells(trips: DataFrame) -> DataFrame:
+    """Counts and exact sums of each month and pickup zone; trips that cleaning drops count in the cell without a zone."""
+    fare, tip, clean = F.col("fare_amount"), F.col("tip_amount"), F.col("clean")
     marked = trips.withColumn("clean", is_clean()).withColumn("minutes", duration_minutes())
     by_card = clean & F.coalesce(F.col("payment_type") == labels.CARD, F.lit(False))
-    timed = clean & F.coalesce(F.col("minutes") >= 1, F.lit(False))
     tipped = F.when(by_card, F.try_divide(tip, fare))
 
     def kept(value: Column) -> Column:
         return F.when(clean, value)
 
-    values = {
-        "ingreso": kept(F.col("total_amount")),
-        "tarifa": kept(fare),
-        "millas": kept(F.col("trip_distance")),
-        "minutos": kept(F.col("minutes")),
-        "propina": tipped,
-        "velocidad": F.when(timed, speed_mph(F.col("trip_distance"), F.col("minutes"))),
-    }
-    keys = [
-        kept(labels.day_type(pickup)).alias("dia_tipo"),
-        kept(hour_of_day(pickup)).alias("hora"),
-        kept(labels.payment_group(F.col("payment_type"))).alias("metodo"),
-        kept(labels.distance_band_order(F.col("trip_distance"))).alias("orden"),
-    ]
+    values = (kept(F.col("total_amount")), kept(fare), kept(F.col("trip_distance")), kept(F.col("minutes")), tipped)
     rows = marked.select(
-        *MONTH, "clean", *keys, *[column for name, value in values.items() for column in split(value, name)],
-        by_card.alias("by_card"), tipped.isNotNull().alias("tipped"), (by_card & (tip == 0)).alias("untipped"), timed.alias("timed"),
+        *MONTH, kept(F.col("pu_location_id")).alias("pu_location_id"), "clean", by_card.alias("by_card"),
+        tipped.isNotNull().alias("tipped"), (by_card & (tip == 0)).alias("untipped"),
+        *[column for name, value in zip(SUMS, values, strict=True) for column in split(value, name)],
     )
-    return rows.groupBy(*MONTH, "dia_tipo", "hora", "metodo", "orden").agg(
+    return rows.groupBy(*MONTH, "pu_location_id").agg(
         F.count("*").alias("registros"),
         F.count_if("clean").alias("viajes"),
         F.count_if("by_card").alias("con_tarjeta"),
         F.count_if("tipped").alias("con_propina"),
         F.count_if("untipped").alias("sin_propina"),
-        F.count_if("timed").alias("con_minuto"),
         *[column for name in SUMS for column in summed(name)],
     )
 
 
-def zone_cells(trips: DataFrame) -> DataFrame:
-    """Clean trips of each month and pickup zone."""
-    return clean_trips(trips).groupBy(*MONTH, "pu_location_id").agg(F.count("*").alias("viajes"))
-
-
-def from_cells(cells: DataFrame) -> dict[str, DataFrame]:
-    """The nine indicators that do not look at zones."""
+def from_cells(cells: DataFrame, by_zone: DataFrame, zones: DataFrame) -> dict[str, DataFrame]:
+    """All ten indicators."""
 
     def counts(*by: str) -> DataFrame:
-        return cells.groupBy(*by).agg(F.sum("viajes").alias("viajes")).where("viajes > 0")
+        return cells.groupBy(*by).agg(F.sum("viajes").alias("viajes"))
 
     counted = [F.sum(name).alias(name) for name in COUNTS]
-    months = by_month(cells, *counted, *[column for name in SUMS[:-1] for column in summed(name)])
+    months = by_month(by_zone, *counted, *[column for name in SUMS for column in summed(name)])
     hours = cells.groupBy("taxi_type", "hora").agg(F.sum("con_minuto").alias("con_minuto"), *summed("velocidad"))
     month, kept, by_card = ["taxi_type", "periodo"], months.where("viajes > 0"), months.where("con_tarjeta > 0")
     n = F.col("viajes")
+    zone_counts = by_zone.groupBy("taxi_type", "pu_location_id").agg(F.sum("viajes").alias("viajes")).where("viajes > 0")
     return {
         "ind_01_viajes_mensuales": kept.select(*month, "viajes"),
         "ind_02_ingreso_mensual": kept.select(
@@ -106,6 +107,7 @@ def from_cells(cells: DataFrame) -> dict[str, DataFrame]:
             round_to(percent(F.col("sin_propina"), F.col("con_tarjeta")), 2).alias("pct_sin_propina"),
         ),
         "ind_07_distribucion_distancia": named_bands(counts("taxi_type", "orden")),
+        "ind_08_top_zonas_recogida": best_zones(zone_counts, zones),
         "ind_09_velocidad_por_hora": hours.where("con_minuto > 0").select(
             "taxi_type",
             "hora",
@@ -118,8 +120,7 @@ def from_cells(cells: DataFrame) -> dict[str, DataFrame]:
 
 def indicators_of(cells: DataFrame, by_zone: DataFrame, zones: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     """Builders of all ten indicators, in order, from cells of any months."""
-    counts = by_zone.groupBy("taxi_type", "pu_location_id").agg(F.sum("viajes").alias("viajes"))
-    found = {**from_cells(cells), "ind_08_top_zonas_recogida": best_zones(counts, zones)}
+    found = from_cells(cells, by_zone, zones)
     return {name: partial(in_order, found[name], *ORDERS[name]) for name in sorted(found)}
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tripmart.operators.month_table import Month, MonthTable
 from tripmart.plans.cells import indicators_of, trip_cells, zone_cells
+from tripmart.plans.month_profiles import merged_profile, month_profiles
 from tripmart.sources.catalogue import FooterCatalogue, Snapshot, default_catalogue
 from tripmart.sources.files import below
 from tripmart.sources.raw import is_dated, period_of, read_trips
@@ -41,11 +42,12 @@ def month_sources(snapshot: Snapshot, root: str) -> tuple[dict[Month, list[str]]
 
 @dataclass(frozen=True)
 class Warehouse:
-    """Trips by month, and the cells that indicators are made of, below one folder."""
+    """Trips by month, the cells that indicators are made of, and column profiles, below one folder."""
 
     trips: MonthTable
     cells: MonthTable
     zones: MonthTable
+    profiles: MonthTable
 
     @classmethod
     def at(cls, spark: SparkSession, path: str) -> Warehouse:
@@ -55,6 +57,7 @@ class Warehouse:
             MonthTable(spark, f"{root}/trips", TRIPS_SCHEMA),
             MonthTable(spark, f"{root}/cells", trip_cells(none).schema),
             MonthTable(spark, f"{root}/zones", zone_cells(none).schema),
+            MonthTable(spark, f"{root}/profiles", month_profiles(none).schema),
         )
 
     def update(
@@ -88,6 +91,16 @@ class Warehouse:
             "zones": self.zones.replace(digests, lambda months: zone_cells(self.trips.read(months, state))),
         }
 
+    def add_profiles(self) -> list[Month]:
+        """Bring the column profiles in line with the published trips; apart from ``add_up``, as sketches cost more."""
+        state = self.trips.state()
+        digests = {m: f"{entry.run}:{entry.digest}" for m, entry in state.months.items()}
+        return self.profiles.replace(digests, lambda months: month_profiles(self.trips.read(months, state)))
+
+    def profile(self, months: Collection[Month] | None = None) -> DataFrame:
+        """Profile of all months or some, merged from stored ones; the trips are not read."""
+        return merged_profile(self.profiles.read(months))
+
     def indicators(self, zones: DataFrame) -> dict[str, Callable[[], DataFrame]]:
         """Builders of the ten indicators from the published cells; the trips are not read."""
         return indicators_of(self.cells.read(), self.zones.read(), zones)

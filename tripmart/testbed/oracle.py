@@ -191,6 +191,21 @@ def _indicators() -> dict[str, str]:
     }
 
 
+def _exact_sum(column: str) -> str:
+    """The sum in whole steps of 2^-64, added as integers of 128 bits; by way of its digits it becomes the nearest double."""
+    return f"(CAST(CAST(sum(CAST(({column}) * pow(2, 64) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 64))"
+
+
+def _exact_indicators() -> dict[str, str]:
+    """The indicators with sums and means that do not depend on the order of rows."""
+    found = _indicators()
+    for column in ("total_amount", "fare_amount", "trip_distance", "duration_min", TIP, MPH):
+        for name, sql in found.items():
+            mean = f"({_exact_sum(column)} / count({column}))"
+            found[name] = sql.replace(f"avg({column})", mean).replace(f"sum({column})", _exact_sum(column))
+    return found
+
+
 # The columns with numbers of each indicator.
 INDICATOR_NUMBERS = {
     "ind_01_viajes_mensuales": "viajes",
@@ -541,12 +556,14 @@ def _files() -> dict[str, str]:
             for name, sql in _workload(rows).items()
         )
 
-    tables = " UNION ALL ".join(
-        f"SELECT '{name}' AS indicador, (SELECT count(*) FROM ({sql})) AS filas, '{column}' AS columna, "
-        f"(SELECT round(CAST(sum({column}) AS DOUBLE), 2) FROM ({sql})) AS suma"
-        for name, sql in _indicators().items()
-        for column in INDICATOR_NUMBERS[name].split()
-    )
+    def tables(indicators: dict[str, str]) -> str:
+        return " UNION ALL ".join(
+            f"SELECT '{name}' AS indicador, (SELECT count(*) FROM ({sql})) AS filas, '{column}' AS columna, "
+            f"(SELECT round(CAST(sum({column}) AS DOUBLE), 2) FROM ({sql})) AS suma"
+            for name, sql in indicators.items()
+            for column in INDICATOR_NUMBERS[name].split()
+        )
+
     return {
         "q3_1_archivos_por_tipo_anio": with_files(
             "SELECT taxi_type, src_year::VARCHAR AS anio, count(*) AS archivos FROM file_list GROUP BY taxi_type, src_year"
@@ -586,8 +603,8 @@ def _files() -> dict[str, str]:
             totals.format(first(12))
         ),
         "materialize_trips": _sql(totals.format("trips")),
-        "materialize_indicators": tables,
-        "incremental_indicators": tables,
+        "materialize_indicators": tables(_indicators()),
+        "incremental_indicators": tables(_exact_indicators()),
         "result_equivalence": verdicts("trips"),
         **{f"result_equivalence_{n}": verdicts(first(n)) for n in (1, 3, 6, 12, 24)},
         "q3_2c_filas_exactas": with_files(
@@ -612,9 +629,10 @@ def all_sql() -> dict[str, str]:
     """Query name -> SQL. Left out: a random sample, estimates, and sizes of files the SQL cannot see."""
     parts = (_exploration(), _eda(), _incorporation(), _workload(), _indicators(), _evolution(), _dashboard(), _files())
     found = {name: sql for part in parts for name, sql in sorted(part.items())}
-    from_footers = {
+    same_results = {
+        "q3_6_resumen_por_meses": "q3_6_resumen_exacto",
         "b1_conteo_metadatos": "b1_conteo",
         "q3_2_registros_metadatos": "q3_2_registros_por_tipo_anio",
         "q3_7_rango_fechas_metadatos": "q3_7_rango_fechas",
     }
-    return found | {name: found[same] for name, same in from_footers.items()}
+    return found | {name: found[same] for name, same in same_results.items()}

@@ -24,6 +24,7 @@ from tripmart.plans.from_footers import FROM_FOOTERS
 from tripmart.plans.increments import Warehouse
 from tripmart.plans.indicators import INDICATORS
 from tripmart.plans.marts import indicator_builders
+from tripmart.plans.month_profiles import merged_profile, month_profiles
 from tripmart.plans.workload import RESULT_KEYS, WORKLOAD
 from tripmart.session import configure, held, new_folder
 from tripmart.sources.catalogue import footer_metadata, footer_schema
@@ -90,6 +91,15 @@ def exact_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.select("column_name", "column_type", "min", "max", "count", "null_percentage")
 
 
+def profile_of_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact part of a profile that is merged from stored profiles of all months."""
+    configure(spark)
+    path = new_folder(spark, "month-profiles")
+    month_profiles(trips_table(spark, sf_dir)).write.parquet(path)
+    merged = merged_profile(spark.read.parquet(path))
+    return merged.select("column_name", "column_type", "min", "max", "count", "null_percentage")
+
+
 def raw_rows(taxi_type: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return scan_raw(spark, raw_layout(spark, sf_dir).raw, taxi_type).withColumn("filename", _base_name("filename"))
@@ -256,6 +266,7 @@ def all_queries() -> dict[str, Query]:
         "ind_02_ingreso_mensual": monthly_revenue,
         "q3_5b_primeros_por_tipo": first_rows,
         "q3_6_resumen_exacto": exact_profile,
+        "q3_6_resumen_por_meses": profile_of_months,
         "scan_raw": partial(raw_rows, "yellow"),
         "scan_raw_green": partial(raw_rows, "green"),
         "normalize_trips": trips_from_files,
