@@ -59,11 +59,11 @@ def test_same_bits_however_rows_are_dealt(spark, tmp_path):
         dealt = data.repartition(1 + 3 * deal, F.rand(deal))
         marked = dealt.withColumn("half", F.rand(deal + 50) < 0.5)
         halves = [marked.where(F.col("half") == side).drop("half") for side in (True, False)]
-        tables = []
+        stored = []
         for make in (trip_cells, zone_cells):
             path = str(tmp_path / f"{make.__name__}-{deal}")
             reduce(DataFrame.unionByName, map(make, halves)).write.parquet(path)
-            tables.append(spark.read.parquet(path))
-        built = indicators_of(*tables, zones)
+            stored.append(spark.read.parquet(path))
+        built = indicators_of(*stored, zones)
         seen.add(repr([built[name]().collect() for name in MEANS]))
     assert len(seen) == 1

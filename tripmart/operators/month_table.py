@@ -48,10 +48,14 @@ def _name(taxi_type: Column, year: Column, month: Column, run: Column) -> Column
 
 
 class MonthTable:
-    """``path`` is a folder in storage that driver and executors share; ``schema`` has the three columns of MONTH."""
+    """``path`` is a folder in storage that driver and executors share; ``schema`` has the three columns of MONTH.
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    Large tables have a folder for each month of a run. Small ones, such as sums by month, do without (``folders=False``): a run is
+    then a few files, and rows of months that later runs replaced are filtered as they are read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, folders: bool = True):
+        self.spark, self.path, self.schema, self.folders = spark, path.rstrip("/"), schema, folders
 
     def _newest(self) -> Row | None:
         try:
@@ -80,7 +84,7 @@ class MonthTable:
         runs = [f"{data}/run={run}" for run in sorted({e.run for e in chosen.values()})]
         stored = T.StructType([*self.schema.fields, T.StructField("run", T.StringType())])
         rows = self.spark.read.schema(stored).option("basePath", data).parquet(*runs)
-        # partition columns only, so that folders of other months are pruned when the scan is planned
+        # with folders these are partition columns only, so that other months are pruned when the scan is planned
         names = ["|".join("-" if v is None else str(v) for v in (e.run, *m)) for m, e in chosen.items()]
         held = _name(*[F.col(c) for c in (*MONTH, "run")]).isin(names)
         return rows.where(held).select(*self.schema.fieldNames())
@@ -98,8 +102,11 @@ class MonthTable:
         run = uuid.uuid4().hex
         if changed:
             # an empty result still leaves the run's folder
-            rows = build(changed).select(*self.schema.fieldNames()).hint("rebalance", *MONTH)
-            rows.write.partitionBy(*MONTH).parquet(f"{self.path}/data/run={run}")
+            rows, path = build(changed).select(*self.schema.fieldNames()), f"{self.path}/data/run={run}"
+            if self.folders:
+                rows.hint("rebalance", *MONTH).write.partitionBy(*MONTH).parquet(path)
+            else:
+                rows.hint("rebalance").write.parquet(path)
         after = {m: before.months[m] for m in wanted if m not in changed} | {m: Entry(wanted[m], run) for m in changed}
         self._publish(before.version + 1, run, after)
         return changed

@@ -55,9 +55,9 @@ class Warehouse:
         root = path.rstrip("/")
         return cls(
             MonthTable(spark, f"{root}/trips", TRIPS_SCHEMA),
-            MonthTable(spark, f"{root}/cells", trip_cells(none).schema),
-            MonthTable(spark, f"{root}/zones", zone_cells(none).schema),
-            MonthTable(spark, f"{root}/profiles", month_profiles(none).schema),
+            MonthTable(spark, f"{root}/cells", trip_cells(none).schema, folders=False),
+            MonthTable(spark, f"{root}/zones", zone_cells(none).schema, folders=False),
+            MonthTable(spark, f"{root}/profiles", month_profiles(none).schema, folders=False),
         )
 
     def update(
