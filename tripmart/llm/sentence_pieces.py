@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripmart.llm.common import named
+
 MARKER = "▁"
 TABLE_CHUNKS = 300_000
 TABLE_CHARACTERS = 20_000_000
@@ -64,18 +66,22 @@ class ChunkTable:
         self.ids, self.ends = array("i"), array("q", [0])
 
     def _chunks(self, text: str) -> list[str]:
+        """Chunks, each without its first marker; blanks of the text are markers."""
         if not text:
             return []
-        return _CHUNK.findall(MARKER + text.replace(" ", MARKER)) if self.separable else [text]
+        if not self.separable:
+            return [text]
+        if "  " in text or text[0] == " " or MARKER in text:
+            return [chunk[1:] for chunk in _CHUNK.findall(MARKER + text.replace(" ", MARKER))]
+        return text.split(" ")  # nothing but single blanks between words: one marker each
 
     def _add(self, chunks: list[str]) -> None:
         """Segment chunks and append their ids to the table; a few thousand at a time, so that the lists die young."""
         for at in range(0, len(chunks), SEGMENTED):
             part = chunks[at : at + SEGMENTED]
             # The library adds the first marker itself, but none to an empty text.
-            bare = [chunk[1:] for chunk in part] if self.separable else part
-            for text, ids in zip(bare, self.processor.encode(bare, num_threads=1), strict=True):
-                self.ids.extend(ids if text else self.lone_marker)
+            for chunk, ids in zip(part, self.processor.encode(part, num_threads=1), strict=True):
+                self.ids.extend(ids if chunk else self.lone_marker)
                 self.ends.append(len(self.ids))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +154,8 @@ def encode_texts(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     Ids have neither begin nor end marks and are not sampled. Null and empty texts have none; repeated rows stay; texts of
     any length are encoded whole; an empty table gives no rows. The row's struct holds every column but ``text``, which stands beside it.
     """
-    rest = [docs[f"`{c}`"] for c in docs.columns if c != text]
-    inputs = docs.select(F.struct(*rest).alias("row"), docs[f"`{text}`"].alias("text"))
+    rest = [named(docs, c) for c in docs.columns if c != text]
+    inputs = docs.select(F.struct(*rest).alias("row"), named(docs, text).alias("text"))
     schema = T.StructType([*inputs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return inputs.mapInArrow(_encoder(_model_bytes(docs, model), "ids"), schema)
 
@@ -159,7 +165,7 @@ def decode_ids(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
 
     Null and empty lists decode to the empty text; ids outside the model fail in the library, by number.
     """
-    rest = [encoded[f"`{c}`"] for c in encoded.columns if c != ids]
-    inputs = encoded.select(F.struct(*rest).alias("row"), encoded[f"`{ids}`"].alias("ids"))
+    rest = [named(encoded, c) for c in encoded.columns if c != ids]
+    inputs = encoded.select(F.struct(*rest).alias("row"), named(encoded, ids).alias("ids"))
     schema = T.StructType([*inputs.schema.fields, T.StructField("decoded", T.StringType())])
     return inputs.mapInArrow(_decoder(_model_bytes(encoded, model), "decoded"), schema)
