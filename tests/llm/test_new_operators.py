@@ -75,6 +75,26 @@ def test_window_digests():
     assert [len(x) for x in passage_dedup.window_digests(b" \n")] == [0, 0, 0]
 
 
+def test_unit_digests_and_shingles(spark):
+    """Lines and sentences of real texts: digests are equal just where the words are, shingles are those of the unit alone."""
+    import numpy as np
+
+    from tripmart.llm import passage_dedup as p
+
+    texts = [(r[0] or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    texts += [b"x" * 500 + b" a b c d e f g h i j k l m n o p", b"the the thing " * 9, b"the a thing " * 9, ("é" * 300 + " y" * 20).encode()]
+    seen, units = {}, 0
+    for text in texts:
+        hashes, begins, stops = p.hashed_words(text)
+        for start, end, _ in p.units(text):
+            first, last = np.searchsorted(begins, start), np.searchsorted(stops, end, "right")
+            digest = int(p.sequence_digests(hashes, np.array([first]), np.array([last]))[0])
+            assert seen.setdefault(digest, p.normal(text[start:end])) == p.normal(text[start:end])
+            assert (p.unit_shingles(text[start:end]) == p.shingles(hashes)[first : last - p.SHINGLE + 1]).all()
+            units += 1
+    assert units > 500 and len(set(seen.values())) == len(seen)
+
+
 # Pieces -----------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ equality, which finds passages that stand in different surroundings: any 25 equa
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.llm.common import sorted_runs, stored
+from tripmart.llm.common import named, sorted_runs, stored
 from tripmart.llm.graph import components
-from tripmart.llm.simhash import shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -34,6 +33,7 @@ STEP = 12  # of so many successive starts one begins a window
 LONG_WORD = 128  # bytes; longer runs without blanks are cut into pieces that count as words
 _SENTENCE_END = re.compile(rb"(?<=[.!?])[ \t]+")
 _BLANK = np.array([bytes([b]).isspace() for b in range(256)])
+_PLACES = np.random.default_rng(7).integers(1, 1 << 63, MIN_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _GRAM = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 7)], np.uint64)
 
 
@@ -83,38 +83,73 @@ def placed_words(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return words, starts, ends
 
 
-def windows(text: bytes) -> list[tuple[int, int, bytes]]:
-    """``start, end`` (bytes) and words of runs of MIN_WORDS words that begin at places their own words choose.
+def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first and last byte positions of the words."""
+    words, starts, ends = placed_words(text)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), starts, ends
+
+
+def shingles(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of SHINGLE words; fewer words are one run."""
+    size = min(SHINGLE, len(hashes))
+    n = len(hashes) - size + 1 if size else 0
+    value = sum(hashes[i : i + n] * f for i, f in enumerate(_PLACES[:size])) if n else np.zeros(0, np.uint64)
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return value ^ (value >> np.uint64(33))
+
+
+def sequence_digests(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A digest of the words first..last-1 for each pair (none empty)."""
+    length = last - first
+    before = np.concatenate([[0], np.cumsum(length)[:-1]])
+    place = np.arange(length.sum()) - np.repeat(before, length)
+    powers = np.full(length.max() + 1, 0x9E3779B97F4A7C15, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    value = np.add.reduceat(hashes[np.repeat(first, length) + place] * powers[place], before) + length.astype(np.uint64)
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return value ^ (value >> np.uint64(33))
+
+
+def window_digests(text: bytes, hashed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte positions and digests of runs of MIN_WORDS words that begin at places their own words choose.
 
     Of any STEP successive starts the one with the least hash begins a window, so two texts that share MIN_WORDS + STEP - 1 words in
     a row share a window wherever lines and sentences end. The first and the last words begin and end one: every word lies in
-    a window. A text of fewer words is one window.
+    a window. A text of fewer words is one window. Digests are polynomials of the words' hashes, all taken at once.
     """
-    words, starts, ends = placed_words(text)
-    if not words:
-        return []
-    size = min(len(words), MIN_WORDS)
-    n = len(words) - size + 1
+    hashes, starts, ends = hashed_words(text) if hashed is None else hashed
+    if not len(hashes):
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64)
+    size = min(len(hashes), MIN_WORDS)
+    n = len(hashes) - size + 1
     begins = np.array([0, n - 1])
     if n > STEP:
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         rank = sum(hashes[i : i + n] * f for i, f in enumerate(_GRAM))
         rank = (rank ^ (rank >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         least = np.lib.stride_tricks.sliding_window_view(rank, STEP).argmin(axis=1)
         begins = np.concatenate([begins, least + np.arange(len(least))])
     begins = np.unique(begins)
-    places = zip(begins.tolist(), starts[begins].tolist(), ends[begins + size - 1].tolist(), strict=True)
-    return [(a, b, b" ".join(words[i : i + size])) for i, a, b in places]
+    value = (hashes[begins[:, None] + np.arange(size)] * _PLACES[:size]).sum(axis=1, dtype=np.uint64)
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return starts[begins], ends[begins + size - 1], value ^ (value >> np.uint64(33))
 
 
 def normal(unit: bytes) -> bytes:
     return b" ".join(unit.lower().split())
 
 
-def band_values(sets: list[list[int]]) -> np.ndarray:
+def windows(text: bytes) -> list[tuple[int, int, bytes]]:
+    """``start, end`` (bytes) and text of each window."""
+    start, end, _ = window_digests(text)
+    return [(a, b, normal(text[a:b])) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+
+def band_values(sets: list[np.ndarray]) -> np.ndarray:
     """BANDS 32-bit values for each set of hashes (none empty)."""
     sizes = np.array([len(s) for s in sets])
-    flat = np.fromiter((h for s in sets for h in s), np.uint64, int(sizes.sum()))
+    flat = np.concatenate(sets)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out = np.zeros((len(sets), BANDS), np.uint64)
     for j, factor in enumerate(_FACTORS):
@@ -125,30 +160,48 @@ def band_values(sets: list[list[int]]) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+_UNITS = pa.schema(
+    [("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.int64()),
+     ("window", pa.bool_()), ("bands", pa.list_(pa.int32()))]
+)
+
+
+def _unit_batch(part: pa.RecordBatch, at: np.ndarray, start, end, digest: np.ndarray, window: bool, bands: pa.Array) -> pa.RecordBatch:
+    """Units of the documents at ``at`` in ``part``."""
+    rows = pa.array(at)
+    columns = [
+        part.column(0).take(rows), part.column(1).take(rows), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
+        pa.array(digest.view(np.int64)), pa.array(np.full(len(at), window)), bands,
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_UNITS)
+
+
 def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.int64()),
-         ("window", pa.bool_()), ("bands", pa.list_(pa.int32()))]
-    )
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            rows, sets = [], []
-            for doc, mark, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                found = [(start, end, normal(text[start:end]), False, paragraph) for start, end, paragraph in units(text or b"")]
-                lines = {(start, end) for start, end, _, _, _ in found}
-                found += [(start, end, piece, True, False) for start, end, piece in windows(text or b"") if (start, end) not in lines]
-                for start, end, piece, window, paragraph in found:
-                    digest = xxhash.xxh3_64_intdigest(piece)
-                    rows.append((doc, mark, start, end, digest - (1 << 64) if digest >> 63 else digest, window, paragraph))
-                    if paragraph:
-                        sets.append(shingle_hashes(piece, SHINGLE))
-            if not rows:
+            texts = [text or b"" for text in part.column(2).to_pylist()]
+            hashed = [hashed_words(text) for text in texts]
+            found = [window_digests(text, words) for text, words in zip(texts, hashed, strict=True)]
+            start, end, digest = (np.concatenate(c) for c in zip(*found, strict=True))
+            where = np.repeat(np.arange(len(texts)), [len(w[0]) for w in found])
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(len(where) + 1, np.int32)), pa.array([], pa.int32()))
+            yield _unit_batch(part, where, start, end, digest, True, none)
+            lines = [(i, *unit) for i, text in enumerate(texts) for unit in units(text)]
+            if not lines:
                 continue
+            where, start, end, paragraph = (np.array(c) for c in zip(*lines, strict=True))
+            sets, digests = [], []
+            for i in np.unique(where):
+                hashes, begins, stops = hashed[i]
+                mine = where == i
+                first, last = np.searchsorted(begins, start[mine]), np.searchsorted(stops, end[mine], "right")
+                digests.append(sequence_digests(hashes, first, last))
+                runs, whole = shingles(hashes), paragraph[mine]
+                sets += [runs[a : b - SHINGLE + 1] for a, b in zip(first[whole], last[whole], strict=True)]
             bands = iter(band_values(sets).tolist() if sets else [])
-            columns = list(zip(*rows, strict=True))
-            lists = [next(bands) if p else [] for p in columns[6]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns[:6], lists], schema.types, strict=True)], schema=schema)
+            lists = pa.array([next(bands) if whole else [] for whole in paragraph], pa.list_(pa.int32()))
+            yield _unit_batch(part, where, start, end, np.concatenate(digests), False, lists)
 
 
 def find_units(docs: DataFrame) -> DataFrame:
@@ -196,21 +249,30 @@ def _compare(similarity: float):
     return compare
 
 
-def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unit_shingles(unit: bytes) -> np.ndarray:
+    return shingles(hashed_words(unit)[0])
+
+
+def _shingle_batches(shingles_of: Callable[[bytes], np.ndarray]):
     schema = pa.schema([("digest", pa.int64()), ("shingles", pa.binary())])
-    for batch in batches:
-        index = batch.schema.get_field_index
-        rows = []
-        for text, wanted in zip(batch.column(index("bytes")), batch.column(index("wanted")), strict=True):
-            text = text.as_py()
-            for w in wanted.as_py():
-                hashes = np.array(shingle_hashes(normal(text[w["start"] : w["end"]]), SHINGLE), np.uint64)
-                rows.append((w["digest"], np.unique(hashes).tobytes()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-
-def near_links(distinct: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index = batch.schema.get_field_index
+            rows = []
+            for text, wanted in zip(batch.column(index("bytes")), batch.column(index("wanted")), strict=True):
+                text = text.as_py()
+                for w in wanted.as_py():
+                    rows.append((w["digest"], np.unique(shingles_of(text[w["start"] : w["end"]])).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    return make
+
+
+def near_links(
+    distinct: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingles_of: Callable[[bytes], np.ndarray] = unit_shingles
+) -> DataFrame:
     """Links ``a, b`` between digests of different paragraphs, enough to connect all that are similar.
 
     Buckets with the same members count once. Buckets of more than TILE members are cut into tiles by hash, and each two tiles are
@@ -236,7 +298,7 @@ def near_links(distinct: DataFrame, docs: DataFrame, similarity: float = SIMILAR
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["mark"] == wanted["mark"])
     sets = stored(
         docs.join(wanted, same).select(docs["bytes"], "wanted")
-        .mapInArrow(_shingle_batches, "digest long, shingles binary")
+        .mapInArrow(_shingle_batches(shingles_of), "digest long, shingles binary")
         .dropDuplicates(["digest"]),
         "shingle-sets",
     )
@@ -263,8 +325,8 @@ def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marks its first unit (smallest doc_id, then start; equal rows are all first). ``mark`` is the text's hash. Null and empty texts have no
     units; repeated rows repeat each other's units. Ids that are null come first.
     """
-    body = docs[f"`{text}`"]
-    plain = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.xxhash64(body).alias("mark"), body.cast("binary").alias("bytes"))
+    body = named(docs, text)
+    plain = docs.select(named(docs, doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("mark"), body.cast("binary").alias("bytes"))
     found = stored(find_units(plain), "units")
     lines = found.where(F.size("bands") > 0)
     distinct = stored(
@@ -324,7 +386,7 @@ def document_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     )
     edges = repeated.where(F.col("doc_id").isNotNull() & F.col("class_doc").isNotNull()).select("doc_id", "class_doc").distinct()
     roots = components(edges)
-    ids = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"))
+    ids = docs.select(named(docs, doc_id).cast("long").alias("doc_id"))
     return (
         ids.join(counts, "doc_id", "left")
         .join(roots, ids["doc_id"] == roots["node"], "left")
