@@ -52,3 +52,24 @@ def test_stage_keeps_one_of_near_copies(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
     assert got.columns == docs.columns
     assert Counter(r["doc_id"] for r in got.collect()) == Counter(brute_force(rows))
+
+
+def test_wide_prints_by_bit_planes(spark):
+    """The stage's candidates come from fingerprints: bit planes of several words, and recall at 0.8 from them alone."""
+    from tripmart.llm import near_copies, simhash
+
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, (150, 4), dtype=np.uint64)
+    prints[1::2] = prints[::2] ^ (np.uint64(1) << rng.integers(0, 63, (75, 4), dtype=np.uint64))
+    near = np.unpackbits(simhash.near_lanes(prints, 72), axis=1, bitorder="little")[:, :150].astype(bool)
+    bits = np.unpackbits(prints.view(np.uint8).reshape(150, -1), axis=1)
+    assert (near == ((bits[:, None] != bits[None]).sum(axis=2) <= 72)).all()
+    rows = [(i, 0, 0, len(t), i, near_copies.wide_prints([np.unique(near_copies.word_shingles(t.encode()))])[0].astype("<u8").tobytes()) for i, t in planted(rng)]
+    distinct = spark.createDataFrame([(*r[:5], bytearray(r[5])) for r in rows], near_copies._WHOLE)
+    found = {(r["band"], r["value"], r["digest"]) for r in near_copies.near_lanes_of(distinct).collect()}
+    together = {}
+    for band, value, digest in found:
+        together.setdefault((band, value), set()).add(digest)
+    pairs = {(i, i + 1) for i, _ in planted(np.random.default_rng(3))[::2]}
+    assert {(i, i + 1) for i in (p[0] for p in pairs) if any({i, i + 1} <= g for g in together.values())} == pairs
+    assert all(max(g) - min(g) <= 1 for g in together.values())

@@ -271,14 +271,17 @@ def _shingle_batches(shingles_of: Callable[[bytes], np.ndarray]):
 
 
 def near_links(
-    distinct: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingles_of: Callable[[bytes], np.ndarray] = unit_shingles
-) -> DataFrame:
+    distinct: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingles_of: Callable[[bytes], np.ndarray] = unit_shingles,
+    entries: DataFrame | None = None,
+) -> DataFrame:
     """Links ``a, b`` between digests of different paragraphs, enough to connect all that are similar.
 
+    What is compared stands together in a bucket of ``entries`` (``digest, band, value``); without them the ``bands`` are the buckets.
     Buckets with the same members count once. Buckets of more than TILE members are cut into tiles by hash, and each two tiles are
     compared in a group of their own. Shingles are made again only for paragraphs that collide.
     """
-    entries = distinct.select("digest", F.posexplode("bands").alias("band", "value"))
+    if entries is None:
+        entries = distinct.select("digest", F.posexplode("bands").alias("band", "value"))
     buckets = (
         entries.groupBy("band", "value")
         .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("members"), F.min("digest").alias("low"))

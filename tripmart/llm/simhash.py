@@ -101,12 +101,14 @@ def part_plan(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
 
 
 def near_lanes(prints: np.ndarray, radius: int = RADIUS, block: int = 16) -> np.ndarray:
-    """Bit matrix (n x n bits, as bytes) of the pairs that differ in at most ``radius`` bits."""
+    """Bit matrix (n x n bits, as bytes) of the pairs that differ in at most ``radius`` bits; a print is a word or a row of words."""
     n = len(prints)
     words = -(-n // 64)
-    bits = np.zeros((words * 64, BITS), np.uint8)
-    bits[:n] = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")  # 64 planes of `words` words
+    packed = np.ascontiguousarray(prints.astype("<u8")).view(np.uint8).reshape(n, -1)
+    wide = 8 * packed.shape[1]
+    bits = np.zeros((words * 64, wide), np.uint8)
+    bits[:n] = np.unpackbits(packed, axis=1, bitorder="little")
+    planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")  # a plane of `words` words for each bit
     flip = (np.uint64(0) - bits[:n].T.astype(np.uint64))  # all ones where the query's bit is 1
     width = max(1, radius.bit_length())
     near = np.zeros((n, words), np.uint64)
@@ -115,13 +117,13 @@ def near_lanes(prints: np.ndarray, radius: int = RADIUS, block: int = 16) -> np.
         live = np.arange(n)
         count = [np.zeros((n, span.shape[1]), np.uint64) for _ in range(width)]
         over = np.zeros((n, span.shape[1]), np.uint64)
-        for j in range(BITS):
+        for j in range(wide):
             carry = span[j][None, :] ^ flip[j, live][:, None]
             for c in count:
                 c ^= carry
                 carry &= ~c
             over |= carry  # more than the counter holds
-            if j % 8 == 7 and j < BITS - 1:
+            if j % 8 == 7 and radius < j < wide - 1:
                 past = over | _above(count, radius)
                 over = past
                 stay = ~(past == np.uint64(0xFFFFFFFFFFFFFFFF)).all(axis=1)
