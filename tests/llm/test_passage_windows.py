@@ -1,6 +1,10 @@
 """Passages that lines and sentences of 14 words miss."""
 
+import random
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tripmart.llm import passage_dedup
@@ -60,3 +64,48 @@ def test_passages_in_other_surroundings(spark, word):
     got = classes(spark, docs)
     assert {d: r["class_id"] for d, r in got.items()} == {10 * k + side: 10 * k for k in range(4) for side in range(2)}
     assert all(r["n_repeated"] >= 1 for r in got.values())
+
+
+def plain_units(text):
+    """Lines of 14 words or more, and such sentences of lines with several, one line at a time."""
+    found, at = set(), 0
+    for line in text.split(b"\n"):
+        if len(line.split()) >= passage_dedup.MIN_WORDS:
+            found.add((at, at + len(line), True))
+            ends = [(m.start(), m.end()) for m in re.finditer(rb"(?<=[.!?])[ \t]+", line)]
+            pieces = [(a, b) for a, b in zip([0, *(e for _, e in ends)], [*(b for b, _ in ends), len(line)], strict=True) if a < b]
+            if len(pieces) > 1:
+                found |= {(at + a, at + b, False) for a, b in pieces if len(line[a:b].split()) >= passage_dedup.MIN_WORDS}
+        at += len(line) + 1
+    return found
+
+
+def unit_rows(texts):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [*range(len(texts))], "mark": [7] * len(texts), "bytes": pa.array(texts, pa.binary())})
+    return sorted((tuple(r.values()) for b in passage_dedup._unit_batches(iter([batch])) for r in b.to_pylist()), key=repr)
+
+
+def test_texts_together(monkeypatch):
+    """Texts that a task takes together have the units, digests and bands that each has by itself; nothing crosses their ends."""
+    rng = random.Random(5)
+    ends = [" ", " ", " ", "\n", ". ", "!\t ", "? \n", " \r ", ".\r\n", "\x0b"]
+    words = ["a", "Bb", "ccc", "é", "x" * 130, "ab" * 300, "..."]
+    texts = [None, b"", b" \n", b"one. "]
+    for n in (1, 13, 14, 25, 26, 27, 200) * 12:
+        kinds, gaps = rng.randint(1, len(words)), rng.randint(1, len(ends))
+        texts.append("".join(rng.choice(words[:kinds]) + rng.choice(ends[:gaps]) for _ in range(n)).encode())
+    together = unit_rows(texts)
+    monkeypatch.setattr(passage_dedup, "PART", 1)
+    assert unit_rows(texts) == together and len(together) > 500
+    for doc, text in enumerate(texts):
+        mine = {(r[2], r[3], bool(r[6])) for r in together if r[0] == doc and not r[5]}
+        assert mine == set(passage_dedup.units(text or b"")) == plain_units(text or b"")
+        assert sum(r[0] == doc and r[5] for r in together) == len(passage_dedup.windows(text or b""))
+
+
+def test_different_words_are_hashed_once(monkeypatch):
+    """The words of many texts cost a hash for each different one, not for each."""
+    calls, real = [], passage_dedup.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(passage_dedup.xxhash, "xxh3_64_intdigest", lambda word: calls.append(word) or real(word))
+    assert len(unit_rows([b"One two three " * 60] * 20)) > 20
+    assert sorted(calls) == [b"one", b"three", b"two"]

@@ -10,11 +10,12 @@ equality, which finds passages that stand in different surroundings: any 25 equa
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,29 +32,44 @@ SMALL_RUN = 500_000  # shingles of a run that are compared as sets; more stay ar
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = 12  # of so many successive starts one begins a window
 LONG_WORD = 128  # bytes; longer runs without blanks are cut into pieces that count as words
-_SENTENCE_END = re.compile(rb"(?<=[.!?])[ \t]+")
+FEW_WORDS = 1000  # fewer are hashed one by one
+PART = 1 << 20  # bytes of texts that a task looks at together
 _BLANK = np.array([bytes([b]).isspace() for b in range(256)])
+_STOP = np.array([b in b".!?" for b in range(256)])
+_BASE = 0x9E3779B97F4A7C15  # of the digests' polynomials, odd
 _PLACES = np.random.default_rng(7).integers(1, 1 << 63, MIN_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _GRAM = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 7)], np.uint64)
 
 
+def found_units(raw: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte positions of each unit and whether it is a paragraph; ``whole`` are the places where words begin."""
+    last = np.append(np.flatnonzero(raw == 10), len(raw))
+    first = np.append(0, last[:-1] + 1)
+    before = np.searchsorted(whole, np.append(first, len(raw)))
+    long = np.diff(before) >= MIN_WORDS
+    first, last = first[long], last[long]
+    # sentences end before blanks and tabs that follow a stop
+    blank = (raw == 32) | (raw == 9)
+    stops = np.flatnonzero(blank[1:] & _STOP[raw[:-1]]) + 1
+    line = np.searchsorted(last, stops)
+    stops = stops[(line < len(last)) & (np.append(first, len(raw))[line] <= stops)]
+    past = np.append(np.flatnonzero(blank[:-1] & ~blank[1:]) + 1, len(raw))
+    begin = np.sort(np.concatenate([first, past[np.searchsorted(past, stops)]]))
+    end = np.sort(np.concatenate([stops, last]))
+    line = np.searchsorted(last, end)
+    some = begin < end
+    many = np.bincount(line[some], minlength=len(last)) > 1
+    some &= many[line]
+    begin, end = begin[some], end[some]
+    some = np.searchsorted(whole, end) - np.searchsorted(whole, begin) >= MIN_WORDS
+    paragraph = np.arange(len(first) + int(some.sum())) < len(first)
+    return np.concatenate([first, begin[some]]), np.concatenate([last, end[some]]), paragraph
+
+
 def units(text: bytes) -> list[tuple[int, int, bool]]:
     """``start, end`` (bytes) of each unit and whether it is a paragraph."""
-    found, at = [], 0
-    for line in text.split(b"\n"):
-        words = len(line.split())
-        if words >= MIN_WORDS:
-            found.append((at, at + len(line), True))
-            begin, pieces = 0, []
-            for m in _SENTENCE_END.finditer(line):
-                pieces.append((begin, m.start()))
-                begin = m.end()
-            if pieces and begin < len(line):
-                pieces.append((begin, len(line)))
-            if len(pieces) > 1:
-                found += [(at + a, at + b, False) for a, b in pieces if len(line[a:b].split()) >= MIN_WORDS]
-        at += len(line) + 1
-    return found
+    _, _, _, whole = _hashed(text)
+    return list(zip(*(c.tolist() for c in found_units(np.frombuffer(text, np.uint8), whole)), strict=True))
 
 
 def _cut_word(word: bytes) -> list[int]:
@@ -65,28 +81,39 @@ def _cut_word(word: bytes) -> list[int]:
     return [0, *(np.flatnonzero(cuts[1:]) + 1).tolist()]
 
 
-def placed_words(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The words, A-Z lower-cased, with their first and last byte positions (the last one exclusive)."""
-    words = text.lower().split()
-    blank = np.concatenate([[True], _BLANK[np.frombuffer(text, np.uint8)], [True]])
+def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first and last byte positions (the last one exclusive) of the words, A-Z lower-cased; where words begin before long ones are cut.
+
+    Each different word is hashed once, unless there are few.
+    """
+    text = text.lower()
+    raw = np.frombuffer(text, np.uint8)
+    blank = np.ones(len(raw) + 2, bool)
+    blank[1:-1] = _BLANK[raw]
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     starts, ends = edges[::2], edges[1::2]
-    if len(words) and (ends - starts).max() > LONG_WORD:
-        pieces, first, last = [], [], []
-        for word, a, b in zip(words, starts.tolist(), ends.tolist(), strict=True):
-            cuts = _cut_word(word) if b - a > LONG_WORD else [0]
-            stops = [*cuts[1:], len(word)]
-            pieces += [word[i:j] for i, j in zip(cuts, stops, strict=True)]
-            first += [a + i for i in cuts]
-            last += [a + j for j in stops]
-        words, starts, ends = pieces, np.array(first), np.array(last)
-    return words, starts, ends
+    whole, places = starts, np.concatenate([[0], np.cumsum(ends - starts)])
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    if len(long):
+        cuts = [np.array(_cut_word(raw[starts[i] : ends[i]].tobytes())[1:], np.int64) for i in long]
+        at = np.repeat(long, [len(c) for c in cuts])
+        cuts = np.concatenate(cuts)
+        starts, ends = np.sort(np.append(starts, starts[at] + cuts)), np.sort(np.append(ends, starts[at] + cuts))
+        places = np.sort(np.append(places, places[at] + cuts))
+    if len(starts) < FEW_WORDS:
+        pieces = (text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(starts)), starts, ends, whole
+    letters = pa.py_buffer(raw[~blank[1:-1]])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places.astype(np.int64)), letters]).dictionary_encode()
+    _, stops, letters = words.dictionary.buffers()
+    stops, letters = np.frombuffer(stops, np.int64)[: len(words.dictionary) + 1].tolist(), letters.to_pybytes() if letters else b""
+    different = np.fromiter((xxhash.xxh3_64_intdigest(letters[a:b]) for a, b in pairwise(stops)), np.uint64, len(words.dictionary))
+    return different[words.indices.to_numpy()], starts, ends, whole
 
 
 def hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, first and last byte positions of the words."""
-    words, starts, ends = placed_words(text)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), starts, ends
+    return _hashed(text)[:3]
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -98,42 +125,65 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(33))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    powers = np.full(n, base, np.uint64)
+    powers[:1] = 1
+    return np.cumprod(powers, dtype=np.uint64)
+
+
 def sequence_digests(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A digest of the words first..last-1 for each pair (none empty)."""
-    length = last - first
-    before = np.concatenate([[0], np.cumsum(length)[:-1]])
-    place = np.arange(length.sum()) - np.repeat(before, length)
-    powers = np.full(length.max() + 1, 0x9E3779B97F4A7C15, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    value = np.add.reduceat(hashes[np.repeat(first, length) + place] * powers[place], before) + length.astype(np.uint64)
+    """A digest of the words first..last-1 for each pair (none empty): a polynomial, from the sums of all words before its ends."""
+    sums = np.append(np.uint64(0), np.cumsum(hashes * _powers(_BASE, len(hashes)), dtype=np.uint64))
+    value = (sums[last] - sums[first]) * _powers(pow(_BASE, -1, 1 << 64), len(hashes))[first] + (last - first).astype(np.uint64)
     value = (value ^ (value >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
     return value ^ (value >> np.uint64(33))
 
 
-def window_digests(text: bytes, hashed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last byte positions and digests of runs of MIN_WORDS words that begin at places their own words choose.
+def _least(rank: np.ndarray, size: int) -> np.ndarray:
+    """Where the least of each ``size`` successive values is, the first of equal ones."""
+    value, place, width = rank, np.arange(len(rank)), 1
+    while width < size:
+        step = min(width, size - width)
+        left, right = value[: len(value) - step], value[step:]
+        later = right < left
+        value, place = np.where(later, right, left), np.where(later, place[step:], place[: len(place) - step])
+        width += step
+    return place
+
 
-    Of any STEP successive starts the one with the least hash begins a window, so two texts that share MIN_WORDS + STEP - 1 words in
+def placed_windows(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first word, number of words and digest of each window of texts that begin at the words ``first`` and have ``count`` words.
+
+    Windows are runs of MIN_WORDS words that begin at places their own words choose: of any STEP successive starts the one with the
+    least hash begins a window, so two texts that share MIN_WORDS + STEP - 1 words in
     a row share a window wherever lines and sentences end. The first and the last words begin and end one: every word lies in
     a window. A text of fewer words is one window. Digests are polynomials of the words' hashes, all taken at once.
     """
-    hashes, starts, ends = hashed_words(text) if hashed is None else hashed
-    if not len(hashes):
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64)
-    size = min(len(hashes), MIN_WORDS)
-    n = len(hashes) - size + 1
-    begins = np.array([0, n - 1])
-    if n > STEP:
+    first, count = first[count > 0], count[count > 0]
+    size = np.minimum(count, MIN_WORDS)
+    chosen = np.zeros(len(hashes), bool)
+    chosen[first] = chosen[first + count - size] = True
+    n = len(hashes) - len(_GRAM) + 1
+    if (count >= MIN_WORDS + STEP).any():
         rank = sum(hashes[i : i + n] * f for i, f in enumerate(_GRAM))
         rank = (rank ^ (rank >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        least = np.lib.stride_tricks.sliding_window_view(rank, STEP).argmin(axis=1)
-        begins = np.concatenate([begins, least + np.arange(len(least))])
-    begins = np.unique(begins)
-    value = (hashes[begins[:, None] + np.arange(size)] * _PLACES[:size]).sum(axis=1, dtype=np.uint64)
+        least = _least(rank, STEP)
+        rest = np.repeat(np.where(count >= MIN_WORDS + STEP, first + count, 0), count)[: len(least)] - np.arange(len(least))
+        chosen[least[rest >= MIN_WORDS + STEP - 1]] = True
+    begins = np.flatnonzero(chosen)
+    size = size[np.searchsorted(first, begins, "right") - 1]
+    short, value = size < MIN_WORDS, np.zeros(len(begins), np.uint64)
+    for i, factor in enumerate(_PLACES):
+        value += np.where(i < size, hashes[np.minimum(begins + i, len(hashes) - 1)] * factor, np.uint64(0)) if short.any() else hashes[begins + i] * factor
     value = (value ^ (value >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-    return starts[begins], ends[begins + size - 1], value ^ (value >> np.uint64(33))
+    return begins, size, value ^ (value >> np.uint64(33))
+
+
+def window_digests(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte positions and digests of the windows of one text."""
+    hashes, starts, ends = hashed_words(text)
+    begins, size, digest = placed_windows(hashes, np.array([0]), np.array([len(hashes)]))
+    return starts[begins], ends[begins + size - 1], digest
 
 
 def normal(unit: bytes) -> bytes:
@@ -152,8 +202,9 @@ def band_values(sets: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate(sets)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out = np.zeros((len(sets), BANDS), np.uint64)
+    product = np.empty_like(flat)
     for j, factor in enumerate(_FACTORS):
-        low = np.minimum.reduceat(flat * factor, first)
+        low = np.minimum.reduceat(np.multiply(flat, factor, out=product), first)
         band = out[:, j // ROWS]
         band ^= low + np.uint64(0x9E3779B97F4A7C15) + (band << np.uint64(6)) + (band >> np.uint64(2))
         band *= np.uint64(0xFF51AFD7ED558CCD)
@@ -176,32 +227,39 @@ def _unit_batch(part: pa.RecordBatch, at: np.ndarray, start, end, digest: np.nda
     return pa.RecordBatch.from_arrays(columns, schema=_UNITS)
 
 
-def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in turn, about PART bytes of texts together or one text that is longer."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            texts = [text or b"" for text in part.column(2).to_pylist()]
-            hashed = [hashed_words(text) for text in texts]
-            found = [window_digests(text, words) for text, words in zip(texts, hashed, strict=True)]
-            start, end, digest = (np.concatenate(c) for c in zip(*found, strict=True))
-            where = np.repeat(np.arange(len(texts)), [len(w[0]) for w in found])
-            none = pa.ListArray.from_arrays(pa.array(np.zeros(len(where) + 1, np.int32)), pa.array([], pa.int32()))
-            yield _unit_batch(part, where, start, end, digest, True, none)
-            lines = [(i, *unit) for i, text in enumerate(texts) for unit in units(text)]
-            if not lines:
-                continue
-            where, start, end, paragraph = (np.array(c) for c in zip(*lines, strict=True))
-            sets, digests = [], []
-            for i in np.unique(where):
-                hashes, begins, stops = hashed[i]
-                mine = where == i
-                first, last = np.searchsorted(begins, start[mine]), np.searchsorted(stops, end[mine], "right")
-                digests.append(sequence_digests(hashes, first, last))
-                runs, whole = shingles(hashes), paragraph[mine]
-                sets += [runs[a : b - SHINGLE + 1] for a, b in zip(first[whole], last[whole], strict=True)]
-            bands = iter(band_values(sets).tolist() if sets else [])
-            lists = pa.array([next(bands) if whole else [] for whole in paragraph], pa.list_(pa.int32()))
-            yield _unit_batch(part, where, start, end, np.concatenate(digests), False, lists)
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _parts(batches):
+        texts = [text or b"" for text in part.column(2).to_pylist()]
+        offset = np.cumsum([0, *(len(text) + 1 for text in texts)])
+        joined = b"\n".join(texts)
+        hashes, starts, ends, whole = _hashed(joined)
+        if not len(hashes):
+            continue
+        word = np.searchsorted(starts, offset)
+        begins, size, digest = placed_windows(hashes, word[:-1], np.diff(word))
+        where = np.searchsorted(word, begins, "right") - 1
+        none = pa.ListArray.from_arrays(pa.array(np.zeros(len(where) + 1, np.int32)), pa.array([], pa.int32()))
+        yield _unit_batch(part, where, starts[begins] - offset[where], ends[begins + size - 1] - offset[where], digest, True, none)
+        start, end, paragraph = found_units(np.frombuffer(joined, np.uint8), whole)
+        if not len(start):
+            continue
+        where = np.searchsorted(offset, start, "right") - 1
+        first, last = np.searchsorted(starts, start), np.searchsorted(ends, end, "right")
+        runs = shingles(hashes)
+        bands = band_values([runs[a:b] for a, b in zip(first[paragraph].tolist(), (last[paragraph] - SHINGLE + 1).tolist(), strict=True)])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(BANDS * paragraph)), pa.int32()), pa.array(bands.ravel()))
+        yield _unit_batch(part, where, start - offset[where], end - offset[where], sequence_digests(hashes, first, last), False, lists)
 
 
 def find_units(docs: DataFrame) -> DataFrame:
