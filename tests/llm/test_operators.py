@@ -1,9 +1,11 @@
 """The operators against plain statements of the same results, with nulls, empties, ties and repeats."""
 
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -174,6 +176,56 @@ def test_toxicity():
     assert (scores[200:] < 0.7).all()
 
 
+def test_toxicity_memory():
+    """Many distinct words, and a long text, take a bounded share of memory and get the scores of a fresh start."""
+    rng, letters = np.random.default_rng(2), np.array(list("abcdefghijklmnopqrst"))
+    words = ["".join(w) for w in letters[rng.integers(20, size=(330_000, 8))]]
+    model = toxicity.Model({"aaaa": 2.0, words[5]: -1.0}, {g: float(rng.normal()) for w in words[:3000] for g in toxicity.grams(w)})
+    texts = ["", None, "12", *(" ".join(words[at : at + 400]) for at in range(0, 210_000, 400)), " ".join(words[210_000:]), "aaaa qrst"]
+    scorer = toxicity.Scorer(model)
+    tracemalloc.start()
+    try:
+        scores = scorer.scores(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 90e6  # over 300 MB with the words of all texts in one table
+    assert scores[0] == scores[1] == scores[2] and len(set(scores.tolist())) > 100
+    for i in (0, 3, 100, 400, len(texts) - 2, len(texts) - 1):
+        ids = toxicity.text_words(texts[i])
+        table = model.gates(model.inputs(*model.lookup(ids)))
+        logit = model.forward(table, toxicity.windows(np.arange(1, len(ids) + 1))).max()
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-float(logit))), abs=1e-5)
+
+
+def test_word_runs(monkeypatch):
+    """The windows of the runs are those of the whole text, at any length."""
+    monkeypatch.setattr(toxicity, "_RUN", 2 * toxicity.STRIDE)
+    for n in [0, 1, 40, 63, 64, 65, 111, 112, 113, 160, 161, 208, 209, 500, *range(590, 700)]:
+        text = " ".join("x" * (i % 5 + 1) + "abcde"[i % 3] for i in range(n)) + " 7"
+        number = {}
+        cut = [toxicity.windows(np.array([number.setdefault(w, len(number) + 1) for w in run], int)) for run in toxicity.word_runs(text)]
+        whole = toxicity.windows(np.array([number[w] for w in toxicity.text_words(text)], int))
+        assert np.array_equal(np.concatenate(cut), whole)
+
+
+def test_toxicity_batches_are_bounded(spark):
+    """Wide rows reach the scorer in Arrow batches of a few MB, and each gets its score."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 400).alias("text"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        scored = toxicity.score_toxicity(docs, toxicity.train([], []))
+        largest = scored.select("text").mapInArrow(lambda batches: (pa.record_batch([[b.nbytes]], ["n"]) for b in batches), "n long")
+        assert largest.agg(F.max("n")).first()[0] < 5e6
+        assert scored.select("row.doc_id").distinct().count() == scored.where("score < 0.7").count() == 4000
+    finally:
+        if before is not None:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+        else:
+            spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def test_gradients():
     model = toxicity.Model({"a": 1.0}, {"<aa>": 1.0})
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}

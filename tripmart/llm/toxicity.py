@@ -3,7 +3,8 @@
 Inputs of a word: how strongly the word and its character grams go with the label in one part of the
 training sample (word score; greatest and mean gram score), and learned vectors of the word and of its grams. The network reads
 windows of words in both directions, pools its states by attention and gives a score; a document's score is the
-greatest of all its overlapping windows. The network is trained on the other part of the sample, so that it
+greatest of all its overlapping windows. A scoring task holds a batch of a few MB, one group of windows and a bounded
+memory of words at a time, however long or many its texts are. The network is trained on the other part of the sample, so that it
 never sees scores that its own labels made; each document gives its highest window, found again between rounds.
 
 Training takes a sample of at most SAMPLE_ROWS labelled documents (those with the smallest MD5 of their id, each label apart), which
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripmart.llm.common import named
+from tripmart.session import bound_batches
 
 SAMPLE_ROWS = 3000  # of each label, at most
 SAMPLE_CHARS = 50_000  # longer documents are not drawn for training; all are scored whole
@@ -32,7 +35,9 @@ HIDDEN, DIM = 8, 4
 WINDOW, STRIDE = 64, 48
 _PAD_GATE = 30.0  # keeps the state through padding
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 300_000  # words whose inputs a task remembers
+_CACHE = 1 << 17  # words whose inputs a task remembers
+_GROUP = 1024  # windows that a task scores at a time
+_RUN = _GROUP * STRIDE  # words of a text that a task holds at a time
 GRAM_SIZES = (4, 5)
 
 
@@ -40,6 +45,19 @@ def text_words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def word_runs(text: str | None) -> Iterator[list[str]]:
+    """The words of a text in overlapping runs, whose windows together are those of the whole text."""
+    if not text or len(text) <= _RUN:  # no more words than characters
+        yield text_words(text)
+        return
+    found = map(re.Match.group, _WORD.finditer(text.lower()))
+    run = list(islice(found, _RUN + WINDOW - STRIDE))
+    yield run
+    while more := list(islice(found, _RUN)):
+        run = run[_RUN:] + more
+        yield run
+
+
 def grams(word: str) -> list[str]:
     """Character grams of the word between marks of its ends."""
     marked = f"<{word}>"
@@ -188,45 +206,76 @@ def windows(ids: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Scores texts, remembering the inputs of the words it has met."""
+    """Scores texts, a group of windows at a time, remembering the inputs of words it has met."""
 
     def __init__(self, model: Model):
         self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.table = np.zeros((1 << 16, 6 * HIDDEN), np.float32)
-        self.table[0] = self.model.gates(np.zeros((0, 3 + 2 * DIM), np.float32))[0]
-
-    def _learn(self, texts: list[list[str]]) -> None:
-        if len(self.number) > _CACHE:
-            self._forget()
-        new = sorted({w for words in texts for w in words} - self.number.keys())
-        if new:
-            begin = len(self.number) + 1
-            end = begin + len(new)
-            self.number.update(zip(new, range(begin, end), strict=True))
-            if end > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((max(end - len(self.table), len(self.table)), 6 * HIDDEN), np.float32)])
-            self.table[begin:end] = self.model.gates(self.model.inputs(*self.model.lookup(new)))[1:]
-
-    def window_logits(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The logit of each window, and the number of windows of each text."""
-        self._learn(texts)
-        get = self.number.__getitem__
-        cut = [windows(np.fromiter(map(get, words), np.int32, len(words))) for words in texts]
-        whole = np.concatenate(cut) if cut else np.zeros((0, WINDOW), np.int32)
-        logits = [self.model.forward(self.table, whole[at : at + 2048]) for at in range(0, len(whole), 2048)]
-        return (np.concatenate(logits) if logits else np.zeros(0, np.float32)), np.array([len(c) for c in cut], np.int64)
-
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+        self.known = np.empty((_CACHE, 3 + 2 * DIM), np.float32)
+        self.again = np.zeros(_CACHE, bool)
+
+    def _remember(self, words: list[str], inputs: np.ndarray) -> None:
+        """Where there is no room, words that were not met again are forgotten."""
+        if len(self.number) + len(words) > _CACHE:
+            stay = np.flatnonzero(self.again)[: _CACHE // 2]
+            names = list(self.number)
+            self.number = {names[i]: at for at, i in enumerate(stay.tolist())}
+            self.known[: len(stay)] = self.known[stay]
+            self.again[:] = False
+        begin = len(self.number)
+        end = min(begin + len(words), _CACHE)
+        self.number.update(zip(words, range(begin, end), strict=False))
+        self.known[begin:end] = inputs[: end - begin]
+
+    def _inputs(self, words: list[str]) -> np.ndarray:
+        """The inputs of words, each given once."""
+        place = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        met = place >= 0
+        out = np.empty((len(words), 3 + 2 * DIM), np.float32)
+        out[met] = self.known[place[met]]
+        self.again[place[met]] = True
+        if not met.all():
+            new = [words[i] for i in np.flatnonzero(~met).tolist()]
+            out[~met] = made = self.model.inputs(*self.model.lookup(new))
+            self._remember(new, made)
+        return out
+
+    def window_logits(self, runs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The logit of each window, and the number of windows of each run of words."""
+        words = list(dict.fromkeys(chain.from_iterable(runs)))
+        get = dict(zip(words, range(1, len(words) + 1), strict=True)).__getitem__
+        cut = [windows(np.fromiter(map(get, run), np.int32, len(run))) for run in runs]
+        whole, table = np.concatenate(cut), self.model.gates(self._inputs(words))
+        logits = [self.model.forward(table, whole[at : at + _GROUP]) for at in range(0, len(whole), _GROUP)]
+        return np.concatenate(logits), np.array([len(c) for c in cut], np.int64)
+
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
         """A score of 0 to 1 for each text; a text without words has the score of padding alone."""
-        logits, sizes = self.window_logits([text_words(t) for t in texts])
-        if not len(sizes):
-            return np.zeros(0)
-        top = np.maximum.reduceat(logits, np.concatenate([[0], np.cumsum(sizes)[:-1]])).astype(np.float64)
-        return 1 / (1 + np.exp(-top))
+        top: list[float] = []
+        for owners, runs in _groups(texts):
+            logits, sizes = self.window_logits(runs)
+            highest = np.maximum.reduceat(logits, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            for i, logit in zip(owners, highest.tolist(), strict=True):
+                if i < len(top):  # another run of the same text
+                    top[i] = max(top[i], logit)
+                else:
+                    top.append(logit)
+        return 1 / (1 + np.exp(-np.array(top, np.float64)))
+
+
+def _groups(texts: Iterable[str | None]) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Runs of words of about ``_GROUP`` windows, with the places of their texts."""
+    owners, runs, size = [], [], 0
+    for i, text in enumerate(texts):
+        for run in word_runs(text):
+            owners.append(i)
+            runs.append(run)
+            size += 1 + len(run) // STRIDE
+            if size >= _GROUP:
+                yield owners, runs
+                owners, runs, size = [], [], 0
+    if runs:
+        yield owners, runs
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 4, seed: int = 7) -> Model:
@@ -325,10 +374,8 @@ def _score_batches(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            texts, out = batch.column(batch.schema.get_field_index("text")), []
-            for at in range(0, len(texts), 1000):
-                out.append(scorer.scores(texts.slice(at, 1000).to_pylist()))
-            made = pa.array(np.concatenate(out) if out else np.zeros(0))
+            texts = batch.column(batch.schema.get_field_index("text"))
+            made = pa.array(scorer.scores(text.as_py() for text in texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "score"])
 
     return score
@@ -340,6 +387,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts, and texts without letters, get the score of an empty window. Rows are scored apart from each
     other, so repeats get equal scores. Only the text is an input.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rest = F.struct(*[named(docs, c) for c in docs.columns if c != "text"]).alias("row")
     inputs = docs.select(rest, "text")
